@@ -15,7 +15,7 @@ from loomspark.llm.queries import table, toxicity_model, vocabulary
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score 0.5 or more go."""
     model = toxicity_model(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, [c for c in docs.columns if c != "text"], keep_text=True).where("score < 0.5").select(*docs.columns)
+    return toxicity.drop_toxic(docs, model)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

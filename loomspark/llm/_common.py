@@ -19,6 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: As LOWER, and ASCII characters other than letters and digits become spaces.
@@ -99,6 +100,16 @@ def documents(docs: DataFrame) -> DataFrame:
     )
 
 
+def packed(docs: DataFrame, keep: list) -> DataFrame:
+    """row (a struct of the kept columns, whatever their names) and body (the text)."""
+    return docs.select(F.struct(*keep).alias("row"), F.col("text").cast("string").alias("body"))
+
+
+def with_row(rows: DataFrame, more: str) -> StructType:
+    """The schema of ``row`` and further columns."""
+    return StructType([rows.schema["row"], *StructType.fromDDL(more).fields])
+
+
 def same_document(left: DataFrame, right: DataFrame):
     return left["doc_id"].eqNullSafe(right["doc_id"]) & (left["text_key"] == right["text_key"])
 

@@ -26,9 +26,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from loomspark.llm._common import ship
+from loomspark.llm._common import packed, ship, with_row
 
 #: Up to here the pattern's classes are spelt out.
 _KNOWN = 0x250
@@ -172,8 +171,7 @@ def encode_decode(docs: DataFrame, path: str, keep: list[str] | None = None, dec
     ``path``: a byte-level BPE vocabulary file that every executor has there.
     """
     ship(docs.sparkSession)
-    rows = docs.select(*(keep or ["doc_id"]), F.col("text").cast("string").alias("_text"))
-    names = rows.columns[:-1]
+    rows = packed(docs, keep or ["doc_id"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from loomspark.llm import bpe
@@ -182,12 +180,12 @@ def encode_decode(docs: DataFrame, path: str, keep: list[str] | None = None, dec
         for b in batches:
             for part in range(0, b.num_rows, 1024):
                 few = b.slice(part, 1024)
-                ids = [enc.encode(x or "") for x in few.column("_text").to_pylist()]
+                ids = [enc.encode(x or "") for x in few.column("body").to_pylist()]
                 shown = [enc.decode(x) if decode else None for x in ids]
                 yield pa.RecordBatch.from_arrays(
-                    [*[few.column(n) for n in names], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(shown, pa.string())],
-                    [*names, "n_tokens", "ids", "decoded"],
+                    [few.column("row"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(shown, pa.string())],
+                    ["row", "n_tokens", "ids", "decoded"],
                 )
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1])
-    return rows.mapInArrow(run, f"{kinds}, n_tokens long, ids binary, decoded string")
+    out = rows.mapInArrow(run, with_row(rows, "n_tokens long, ids binary, decoded string"))
+    return out.select("row.*", "n_tokens", "ids", "decoded")

@@ -13,7 +13,7 @@ of text. It is broadcast; its size is at most ``max_languages`` times
 Null text, or text without a letter: ``und``, score 0. ``rejected`` marks
 texts whose margin (the best size below the second best, as a share) is under
 ``min_margin``; they keep their best guess in ``lang_pred``. Equal sizes: the
-first language in order of name. Without any labelled row all is ``und``.
+language with more labelled documents, then the first by name. Without any labelled row all is ``und``.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomspark.llm._common import LOWER, column_bytes, ship
+from loomspark.llm._common import LOWER, column_bytes, packed, ship, with_row
 
 _NOT_LETTERS = re.compile(rb"[\x00-\x40\x5b-\x60\x7b-\x7f]+")
 _SOME_LETTER = re.compile(r"[^\W\d_]")
@@ -38,16 +38,17 @@ def letters(text: bytes) -> bytes:
     return _NOT_LETTERS.sub(b" ", text.translate(LOWER))
 
 
-def fit(labelled: DataFrame, sample_docs: int = 200, dict_bytes: int = 48 << 10, max_languages: int = 256) -> dict[str, bytes]:
-    """lang -> dictionary, of the rows with a lang and a text."""
+def fit(labelled: DataFrame, sample_docs: int = 400, dict_bytes: int = 110 << 10, max_languages: int = 256) -> dict[str, bytes]:
+    """lang -> dictionary, of the rows with a lang and a text; the most frequent language first."""
     rows = labelled.select(
         F.xxhash64(F.col("doc_id").cast("string")).alias("h"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")
     ).where(F.col("lang").isNotNull())
     # the sample's bounds come from ids alone, so that no text is sorted or shuffled
-    ranked = rows.select("lang", "h", F.row_number().over(W.partitionBy("lang").orderBy("h")).alias("n")).where(F.col("n") <= sample_docs)
-    bounds = ranked.groupBy("lang").agg(F.max("h").alias("bound")).limit(max_languages + 1).collect()
-    if len(bounds) > max_languages:
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(max_languages + 1).collect()
+    if len(counts) > max_languages:
         raise ValueError(f"more than {max_languages} languages: raise max_languages")
+    ranked = rows.select("lang", "h", F.row_number().over(W.partitionBy("lang").orderBy("h")).alias("n")).where(F.col("n") <= sample_docs)
+    bounds = ranked.groupBy("lang").agg(F.max("h").alias("bound")).collect()
     if not bounds:
         return {}
     bounds = labelled.sparkSession.createDataFrame([(r["lang"], r["bound"]) for r in bounds], "_lang string, bound long")
@@ -57,12 +58,13 @@ def fit(labelled: DataFrame, sample_docs: int = 200, dict_bytes: int = 48 << 10,
     out: dict[str, list[bytes]] = {}
     for r in sample.toLocalIterator():
         out.setdefault(r["lang"], []).append(letters(r["text"].encode()))
-    return {lang: b" ".join(parts)[:dict_bytes] for lang, parts in out.items()}
+    order = {r["lang"]: (-r["n"], r["lang"]) for r in counts}
+    return {lang: b" ".join(out[lang])[:dict_bytes] for lang in sorted(out, key=order.__getitem__)}
 
 
 class Model:
     def __init__(self, dictionaries: dict[str, bytes], chunk: int, level: int):
-        self.langs, self.chunk, self.compressors = sorted(dictionaries), chunk, []
+        self.langs, self.chunk, self.compressors = list(dictionaries), chunk, []
         for lang in self.langs:
             d = zstandard.ZstdCompressionDict(dictionaries[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(level=level)
@@ -78,7 +80,7 @@ class Model:
         if not self.langs or not clean.strip() or not _SOME_LETTER.search(text.decode("utf-8", "replace")):
             return "und", 0.0, 0.0
         sizes = self.sizes(clean)
-        best = min(range(len(sizes)), key=lambda i: (sizes[i], self.langs[i]))
+        best = min(range(len(sizes)), key=sizes.__getitem__)
         if len(sizes) == 1:
             return self.langs[best], 1.0, 1.0
         second = min(s for i, s in enumerate(sizes) if i != best)
@@ -86,23 +88,21 @@ class Model:
         return self.langs[best], min(1.0, 0.5 + 5 * margin), margin
 
 
-def identify(docs: DataFrame, dictionaries: dict[str, bytes], keep: list[Column | str] | None = None, min_margin: float = 0.01, chunk: int = 4096, level: int = 1) -> DataFrame:
+def identify(docs: DataFrame, dictionaries: dict[str, bytes], keep: list[Column | str] | None = None, min_margin: float = 0.01, chunk: int = 4096, level: int = 5) -> DataFrame:
     """The ``keep`` columns (default doc_id), lang_pred, score (0 to 1, from the margin), margin and rejected of every row's whole text."""
     spark = docs.sparkSession
     ship(spark)
     sent = spark.sparkContext.broadcast(dictionaries)
-    rows = docs.select(*(keep or ["doc_id"]), F.col("text").cast("string").alias("_text"))
-    names = rows.columns[:-1]
+    rows = packed(docs, keep or ["doc_id"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(sent.value, chunk, level)
         for b in batches:
-            got = [model.predict(x) for x in column_bytes(b, "_text")]
+            got = [model.predict(x) for x in column_bytes(b, "body")]
             yield pa.RecordBatch.from_arrays(
-                [*[b.column(n) for n in names], pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64()), pa.array([x[2] for x in got], pa.float64())],
-                [*names, "lang_pred", "score", "margin"],
+                [b.column("row"), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64()), pa.array([x[2] for x in got], pa.float64())],
+                ["row", "lang_pred", "score", "margin"],
             )
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1])
-    out = rows.mapInArrow(run, f"{kinds}, lang_pred string, score double, margin double")
-    return out.withColumn("rejected", F.col("margin") < min_margin)
+    out = rows.mapInArrow(run, with_row(rows, "lang_pred string, score double, margin double"))
+    return out.select("row.*", "lang_pred", "score", "margin", (F.col("margin") < min_margin).alias("rejected"))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm._common import column_bytes, materialise, ship
+from loomspark.llm._common import column_bytes, materialise, packed, ship, with_row
 
 _NOT_SYMBOLS = bytes(b for b in range(256) if chr(b) not in "#*$%&|<>")
 _CONTINUED = bytes(range(0x80, 0xC0))
@@ -77,16 +77,14 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 def counts(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The ``keep`` columns and the counts of every row's whole text."""
     ship(docs.sparkSession)
-    rows = docs.select(*keep, F.col("text").cast("string").alias("_text"))
-    names = rows.columns[:-1]
+    rows = packed(docs, keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = np.array([measure(x) for x in column_bytes(b, "_text")], np.int64).reshape(-1, len(COUNTS))
-            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], *[pa.array(got[:, i]) for i in range(len(COUNTS))]], [*names, *COUNTS])
+            got = np.array([measure(x) for x in column_bytes(b, "body")], np.int64).reshape(-1, len(COUNTS))
+            yield pa.RecordBatch.from_arrays([b.column("row"), *[pa.array(got[:, i]) for i in range(len(COUNTS))]], ["row", *COUNTS])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1])
-    return rows.mapInArrow(run, f"{kinds}, " + ", ".join(f"{c} long" for c in COUNTS))
+    return rows.mapInArrow(run, with_row(rows, ", ".join(f"{c} long" for c in COUNTS))).select("row.*", *COUNTS)
 
 
 def _rates(out: DataFrame) -> DataFrame:

@@ -1,17 +1,20 @@
 """Toxicity by maximum-scoring segments.
 
-Words get log-odds between toxic and other labelled documents (documents that
-hold the word), with an informative Dirichlet prior (Monroe et al.,
-"Fightin' Words"); words whose z-score is under ``min_z`` count as background
-and cost ``drift`` each, so that scores fall in expected value. A linear-time
-scan (Ruzzo and Tompa) finds all maximal segments. A text's evidence is that
-of its best segment in extreme-value form (Karlin and Altschul): lambda S - ln(K n),
-with lambda and K fitted on clean documents; segments whose expected number in
-a clean text of that length is under ``max_expected`` are significant. A
-logistic curve of evidence, fitted on the same labelled rows, gives the score.
+Tokens are words and their beginnings of 4, 6 and 8 characters, so that rare
+forms share what is known of their stem. Tokens get log-odds between toxic and
+other labelled documents, with an informative Dirichlet prior (Monroe et al.,
+"Fightin' Words"); a document counts 1 + ln(occurrences), as words come in
+bursts. Tokens whose z-score is under ``min_z`` are background, and background
+costs ``drift`` a word, so that scores fall in expected value; a word has the
+weight of its most significant token. A linear-time scan (Ruzzo and Tompa)
+finds all maximal segments. A text's evidence is that of its best segment in
+extreme-value form (Karlin and Altschul): lambda S - ln(K n), with lambda and K
+fitted on clean documents; segments whose expected number in a clean text of
+that length is under ``max_expected`` are significant. A logistic curve of
+evidence, fitted on the same labelled rows, gives the score.
 
 Fitted on a bounded sample: ``sample_docs`` labelled documents with the
-smallest hash of their id. The model is at most ``max_words`` words and is
+smallest hash of their id. The model is at most ``max_words`` tokens and is
 broadcast. Null and empty texts have no evidence and get the curve's score for
 that. Without labelled rows of both kinds the score is 0.
 """
@@ -19,6 +22,7 @@ that. Without labelled rows of both kinds the score is 0.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -27,13 +31,33 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm._common import LOWER_ALNUM, column_bytes, ship
+from loomspark.llm._common import LOWER_ALNUM, column_bytes, materialise, packed, ship, with_row
+
+
+class Weights(dict):
+    """word -> weight or None, from the tokens' (z, weight); forgets all beyond a bound."""
+
+    def __init__(self, tokens: dict[bytes, tuple[float, float]], most: int = 300_000):
+        self.tokens, self.most = tokens, most
+
+    def __missing__(self, word: bytes) -> float | None:
+        if len(self) >= self.most:
+            self.clear()
+        found = [self.tokens[t] for t in tokens_of(word) if t in self.tokens]
+        w = self[word] = max(found)[1] if found else None
+        return w
+
+
+def tokens_of(word: bytes) -> list[bytes]:
+    """The word, and its beginnings, marked by a star."""
+    text = word.decode("utf-8", "replace")
+    return [word, *[text[:n].encode() + b"*" for n in (4, 6, 8) if len(text) >= n]]
 
 
 @dataclass
 class Model:
-    weights: dict[bytes, float] = field(default_factory=dict)
-    drift: float = 0.5
+    weights: dict[bytes, tuple[float, float]] = field(default_factory=dict)
+    drift: float = 0.02
     lam: float = 1.0
     ln_k: float = 0.0
     curve: tuple[float, float] = (-10.0, 0.0)
@@ -71,11 +95,10 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(LOWER_ALNUM).split()
 
 
-def evidence(text: bytes, model: Model) -> tuple[float, list[tuple[int, int, float]], int]:
+def evidence(text: bytes, model: Model, known: Weights) -> tuple[float, list[tuple[int, int, float]], int]:
     """(lambda S - ln(K n) of the best segment, at least -20; significant segments; words)"""
     words = words_of(text)
-    get = model.weights.get
-    hits = [(i, w) for i, x in enumerate(words) if (w := get(x)) is not None]
+    hits = [(i, w) for i, w in enumerate(map(known.__getitem__, words)) if w is not None]
     if not hits:
         return -20.0, [], len(words)
     found = maximal_segments([i for i, _ in hits], [w for _, w in hits], model.drift)
@@ -111,7 +134,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float,
     return float(w[0] - w[1] * centre / width), float(w[1] / width)
 
 
-def fit(docs: DataFrame, labels: DataFrame, allowed: Column, sample_docs: int = 24_000, max_words: int = 20_000, prior: float = 50.0, min_z: float = 3.0, drift: float = 0.5) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, allowed: Column, sample_docs: int = 12_000, max_words: int = 20_000, prior: float = 50.0, min_z: float = 4.0, drift: float = 0.02) -> Model:
     """A model from the labelled rows for which ``allowed`` (a condition on ``doc_id``) holds."""
     spark = docs.sparkSession
     ship(spark)
@@ -122,40 +145,57 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, sample_docs: int =
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sample = rows.join(F.broadcast(chosen_rows), rows["doc_id"] == chosen_rows["_id"])  # at most sample_docs rows of 12 bytes
 
-    def each_word(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def each_token(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words, toxic = [], []
-            for text, t in zip(column_bytes(b, "text"), b.column("toxic").to_pylist()):  # noqa: B905
-                own = {w for w in words_of(text) if len(w) <= 64} | {b""}
-                words += own
-                toxic += [t] * len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(toxic, pa.int32())], ["word", "toxic"])
-
-    held = sample.select("text", "toxic").mapInArrow(each_word, "word binary, toxic int")
-    counts = held.groupBy("word").agg(F.sum(F.col("toxic").cast("long")).alias("a"), F.sum(1 - F.col("toxic").cast("long")).alias("b"))
+            for at in range(0, b.num_rows, 256):
+                few = b.slice(at, 256)
+                sums: dict[tuple[bytes, int], list[float]] = {}
+                for text, t in zip(column_bytes(few, "text"), few.column("toxic").to_pylist()):  # noqa: B905
+                    own = Counter(words_of(text))
+                    seen: Counter = Counter({b"": 1})
+                    for w, n in own.items():
+                        if len(w) <= 64:
+                            for x in tokens_of(w):
+                                seen[x] += n
+                    for x, n in seen.items():
+                        into = sums.setdefault((x, t), [0.0, 0])
+                        into[0] += 1 + math.log(n)
+                        into[1] += 1
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([k[0] for k in sums], pa.binary()), pa.array([k[1] for k in sums], pa.int32()), pa.array([v[0] for v in sums.values()], pa.float64()), pa.array([v[1] for v in sums.values()], pa.int64())],
+                    ["word", "toxic", "amount", "docs"],
+                )
+
+    held = sample.select("text", "toxic").mapInArrow(each_token, "word binary, toxic int, amount double, docs long")
+    counts = held.groupBy("word").agg(
+        F.sum(F.when(F.col("toxic") == 1, F.col("amount")).otherwise(0.0)).alias("a"), F.sum(F.when(F.col("toxic") == 1, 0.0).otherwise(F.col("amount"))).alias("b"), F.sum("docs").alias("docs")
+    )
+    counts = counts.where((F.col("docs") >= 3) | (F.length("word") == 0))
+    counts = materialise(counts, "tokens")
     # the empty word stands for the documents themselves
     total = counts.where(F.length("word") == 0).first()
     if total is None or not total["a"] or not total["b"]:
         return Model(drift=drift)
     n_a, n_b = float(total["a"]), float(total["b"])
+    # rates are per document of each kind; the prior is that of both kinds together
     share = (F.col("a") + F.col("b")) / F.lit(n_a + n_b)
     one, two = F.col("a") + prior * share, F.col("b") + prior * share
-    odds = F.log(one / (n_a + prior - one)) - F.log(two / (n_b + prior - two))
-    ranked = counts.where((F.length("word") > 0) & (F.col("a") + F.col("b") >= 3)).select("word", "a", "b", odds.alias("odds"), (odds / F.sqrt(1 / one + 1 / two)).alias("z"))
+    odds = F.log(one / (n_a + prior)) - F.log(two / (n_b + prior))
+    ranked = counts.where(F.length("word") > 0).select("word", "a", "b", odds.alias("odds"), (odds / F.sqrt(1 / one + 1 / two)).alias("z"))
     top = ranked.where(F.col("z") >= min_z).orderBy(F.desc("z"), "word").limit(max_words).collect()
-    model = Model({bytes(r["word"]): float(r["odds"]) for r in top}, drift)
+    model = Model({bytes(r["word"]): (float(r["z"]), float(r["odds"])) for r in top}, drift)
     if not model.weights:
         return model
 
     sent = spark.sparkContext.broadcast(model.weights)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw = Model(sent.value, drift)
+        known = Weights(sent.value)
         for b in batches:
             got = []
             for text in column_bytes(b, "text"):
                 words = words_of(text)
-                hits = [(i, w) for i, x in enumerate(words) if (w := raw.weights.get(x)) is not None]
+                hits = [(i, w) for i, w in enumerate(map(known.__getitem__, words)) if w is not None]
                 best = max((s for _, _, s in maximal_segments([i for i, _ in hits], [w for _, w in hits], drift)), default=0.0)
                 got.append((best, len(words), len(hits)))
             cols = list(zip(*got)) or [(), (), ()]  # noqa: B905
@@ -166,7 +206,7 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, sample_docs: int =
     clean = toxic == 0
     # background of clean texts: the model's words at their clean rates, all else -drift
     n_words = max(words[clean].sum(), 1.0)
-    weights = np.array(list(model.weights.values()))
+    weights = np.array([w for _, w in model.weights.values()])
     rates = np.array([r["b"] for r in top], float) + 0.5
     rates *= max(hits[clean].sum(), 0.5) / n_words / rates.sum()
     model.lam = _lambda(np.append(weights, -drift), np.append(rates, 1 - rates.sum()))
@@ -179,27 +219,36 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, sample_docs: int =
     return model
 
 
-def score(docs: DataFrame, model: Model, keep: list[str] | None = None, keep_text: bool = False) -> DataFrame:
-    """The ``keep`` columns (default doc_id), text if kept, score (0 to 1), evidence, n_words and the significant passages (word spans) of every row's whole text."""
-    spark = docs.sparkSession
+def scored(rows: DataFrame, model: Model) -> DataFrame:
+    """``rows`` has ``row`` (anything) and ``body`` (a text): row, score, evidence, n_words, passages."""
+    spark = rows.sparkSession
     ship(spark)
     sent = spark.sparkContext.broadcast(model)
-    rows = docs.select(*(keep or ["doc_id"]), F.col("text").cast("string").alias("_text"))
-    names = rows.columns[:-1]
-    sent_names = [*names, *["_text"] * keep_text]
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
+        known = Weights(m.weights)
         a, c = m.curve
         for b in batches:
-            got = [evidence(x, m) for x in column_bytes(b, "_text")]
+            got = [evidence(x, m, known) for x in column_bytes(b, "body")]
             score = [1 / (1 + math.exp(-max(-30.0, min(30.0, a + c * x)))) if m.weights else 0.0 for x, _, _ in got]
             passages = [[{"start": s, "end": e, "score": v} for s, e, v in found] for _, found, _ in got]
             yield pa.RecordBatch.from_arrays(
-                [*[b.column(n) for n in sent_names], pa.array(score, pa.float64()), pa.array([x[0] for x in got], pa.float64()), pa.array([x[2] for x in got], pa.int64()), pa.array(passages, kind)],
-                [*names, *["text"] * keep_text, "score", "evidence", "n_words", "passages"],
+                [b.column("row"), pa.array(score, pa.float64()), pa.array([x[0] for x in got], pa.float64()), pa.array([x[2] for x in got], pa.int64()), pa.array(passages, kind)],
+                ["row", "score", "evidence", "n_words", "passages"],
             )
 
-    kinds = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1]] + ["text string"] * keep_text)
-    return rows.mapInArrow(run, f"{kinds}, score double, evidence double, n_words long, passages array<struct<start:int,end:int,score:double>>")
+    return rows.select("row", "body").mapInArrow(
+        run, with_row(rows, "score double, evidence double, n_words long, passages array<struct<start:int,end:int,score:double>>")
+    )
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, score (0 to 1), evidence, n_words and the significant passages (word spans) of every row's whole text."""
+    return scored(packed(docs, ["doc_id"]), model).select("row.*", "score", "evidence", "n_words", "passages")
+
+
+def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """The rows that score less, with their columns."""
+    return scored(packed(docs, docs.columns), model).where(F.col("score") < threshold).select("row.*")

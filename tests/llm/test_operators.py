@@ -350,12 +350,12 @@ def test_toxicity_query(spark):
 
 
 def test_toxicity_odd_rows(spark):
-    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(None, 1), (3, None)], "doc_id long, toxic int")
-    docs = frame(spark, [("you utter moron " if i % 2 else "a quiet day ") + "in the town" for i in range(40)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)] + [(None, 1), (3, None)], "doc_id long, toxic int")
+    docs = frame(spark, [("you utter moron " if i % 2 else "a quiet day ") + "in the town" for i in range(400)])
     model = toxicity.fit(docs, labels, F.lit(True))
     assert b"moron" in model.weights and b"town" not in model.weights
     got = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
-    assert all((got[i].score >= 0.5) == bool(i % 2) for i in range(40)) and got[1].n_words == 6
+    assert all((got[i].score >= 0.5) == bool(i % 2) for i in range(400)) and got[1].n_words == 6
     assert toxicity.score(odd_frame(spark), model).where("score < 0.5").count() == len(ODD) + 3
     assert toxicity.fit(docs.limit(0), labels, F.lit(True)).weights == {}
 
@@ -473,13 +473,13 @@ def test_quality_query(spark):
 def test_quality_fences_follow_groups(spark):
     rng = random.Random(1)
     body = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 8))) for _ in range(80))
-    texts = [body() for _ in range(300)] + ["#### " * 100 + body()]
+    texts = [body() for _ in range(300)] + [" ".join(f"{x}####{i}" for i, x in enumerate(body().split()))]
     got = {r.doc_id: r for r in quality.judged(frame(spark, texts), ["doc_id"]).collect()}
     assert all(got[i].kept for i in range(300)) and not got[300].kept and not got[300].base_failed
 
 
 def test_quality_odd_rows(spark):
-    got = quality.judged(odd_frame(spark).drop("n_words"), ["doc_id"]).collect()
+    got = quality.judged(odd_frame(spark), ["doc_id"]).collect()
     assert len(got) == len(ODD) + 3 and not any(r.kept for r in got)
     assert quality.judged(frame(spark, ["a"]).limit(0), ["doc_id"]).count() == 0
 
@@ -523,6 +523,6 @@ def test_bpe_cuts_are_certain():
 
 
 def test_bpe_odd_rows(spark):
-    got = bpe.encode_decode(odd_frame(spark), queries.vocabulary(), ["doc_id", "n_words"]).collect()
+    got = bpe.encode_decode(odd_frame(spark), queries.vocabulary()).collect()
     assert len(got) == len(ODD) + 3
     assert all(r.decoded == (ODD[r.doc_id] or "") for r in got if r.doc_id is not None)

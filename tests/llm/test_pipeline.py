@@ -4,7 +4,8 @@ import corpus_pipeline
 from tests.llm.test_operators import brute_components, brute_overlap, brute_print, brute_repeats, odd_frame
 
 
-def test_stages(spark, sf_dir, tmp_path):
+def test_stages(spark, tmp_path):
+    sf_dir = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     columns, seen = docs.columns, [docs.collect()]
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
@@ -36,7 +37,7 @@ def test_run(spark, sf_dir):
 
 
 def test_odd_rows(spark, sf_dir):
-    docs = odd_frame(spark).drop("n_words")
+    docs = odd_frame(spark)
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, sf_dir).columns == docs.columns
         assert stage(spark, docs.limit(0), sf_dir).count() == 0
