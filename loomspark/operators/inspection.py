@@ -30,7 +30,7 @@ def rates(readings: DataFrame) -> DataFrame:
 def facts(rated: DataFrame) -> DataFrame:
     """The governing grid (thinnest, first on a tie), the largest loss, and what follows."""
     out = rated.groupBy("doc_id").agg(
-        F.min_by(F.struct("grid", "current", "rate", "life"), F.struct("current", "ord")).alias("g"),
+        F.min_by(F.struct("grid", "current", "rate", "life"), F.struct("current", "ord", "life")).alias("g"),
         F.max("loss").alias("max_loss"), F.max_by("grid", F.struct("loss", -F.col("ord"))).alias("max_loss_grid"), F.count(F.lit(1)).alias("grids"),
     )
     return out.select(

@@ -423,7 +423,7 @@ def inspection_rates(spark, d):
     return out.select("doc_id", "grid", fixed(F.col("rate"), 4).alias("rate"), F.when(F.col("life") != float("inf"), fixed(F.when(F.col("life") != float("inf"), F.col("life")), 4)).alias("life"))
 
 
-@query(f"""WITH {READ} SELECT doc_id, arg_min(grid, (current, ord)) AS governing, min(current) AS current, max(loss) AS max_loss, arg_max(grid, (loss, -ord)) AS max_loss_grid, count(*) AS grids FROM g GROUP BY doc_id""")
+@query(f"""WITH {READ} SELECT doc_id, arg_min(grid, (current, ord, life)) AS governing, min(current) AS current, max(loss) AS max_loss, arg_max(grid, (loss, -ord)) AS max_loss_grid, count(*) AS grids FROM g GROUP BY doc_id""")
 def governing_min_by(spark, d):
     return inspection.facts(inspection.rates(_readings(spark, d))).select("doc_id", "governing", "current", "max_loss", "max_loss_grid", "grids")
 
@@ -433,7 +433,7 @@ SELECT doc_id, 'loss mismatch' AS rule, grid FROM g WHERE abs(previous - current
 SELECT doc_id, 'non-physical', grid FROM g WHERE previous <= 0 OR current <= 0 UNION ALL
 SELECT doc_id, 'wall grew', grid FROM g WHERE current > previous UNION ALL
 SELECT doc_id, 'grid life', grid FROM g WHERE isinf(life) OR life IS NULL UNION ALL
-SELECT doc_id, 'life', gv FROM (SELECT doc_id, arg_min(grid, (current, ord)) AS gv, arg_min(life, (current, ord)) AS gl FROM g GROUP BY doc_id) WHERE isinf(gl) OR gl <= 0)
+SELECT doc_id, 'life', gv FROM (SELECT doc_id, arg_min(grid, (current, ord, life)) AS gv, arg_min(life, (current, ord, life)) AS gl FROM g GROUP BY doc_id) WHERE isinf(gl) OR gl <= 0)
 SELECT rule, count(*) AS n FROM v GROUP BY rule""")
 def consistency_violations(spark, d):
     rated = inspection.rates(_readings(spark, d))
