@@ -132,7 +132,7 @@ def _search(index: Index, min_words: int, min_identity: float, mismatch: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for b in batches:
+        for b in (x.slice(at, 512) for x in batches for at in range(0, max(x.num_rows, 1), 512)):
             texts = [words_of(x) for x in column_bytes(b, "text")]
             h = hashes.of([w for words in texts for w in words])
             ends = np.cumsum([len(x) for x in texts])
