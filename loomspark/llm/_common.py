@@ -122,7 +122,7 @@ def column_bytes(batch: pa.RecordBatch, name: str) -> list[bytes]:
 class WordHashes(dict):
     """word -> 64-bit hash; forgets all beyond a bound, so that memory doesn't follow the vocabulary."""
 
-    def __init__(self, most: int = 300_000):
+    def __init__(self, most: int = 100_000):
         self.most = most
 
     def __missing__(self, word: bytes) -> int:

@@ -54,7 +54,7 @@ def splitter() -> re.Pattern:
 class Encoder(dict):
     """Maps a pre-token to its ids, packed as little-endian 32-bit numbers; holds at most ``most`` of them."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 100_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.most = most

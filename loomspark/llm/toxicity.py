@@ -37,7 +37,7 @@ from loomspark.llm._common import LOWER_ALNUM, column_bytes, materialise, packed
 class Weights(dict):
     """word -> weight or None, from the tokens' (z, weight); forgets all beyond a bound."""
 
-    def __init__(self, tokens: dict[bytes, tuple[float, float]], most: int = 300_000):
+    def __init__(self, tokens: dict[bytes, tuple[float, float]], most: int = 100_000):
         self.tokens, self.most = tokens, most
 
     def __missing__(self, word: bytes) -> float | None:
