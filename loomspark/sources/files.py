@@ -11,13 +11,13 @@ METRIC = "t double, step long, total_steps long, loss double, grad_norm double,
 
 def markdown_folder(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id (the file's stem) and text of every ``*.md``."""
-    df = spark.read.option("wholetext", True).option("pathGlobFilter", "*.md").text(folder)
+    df = spark.read.option("pathGlobFilter", "*.md").text(folder, wholetext=True)
     return df.select(F.regexp_replace(F.col("_metadata.file_name"), r"\.md$", "").alias("doc_id"), F.col("value").alias("text"))
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """line_no (from 0, blank lines skipped) and value of one file, in file order."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     lines = F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "")
     return whole.select(F.posexplode(lines).alias("line_no", "value")).select(F.col("line_no").cast("long").alias("line_no"), "value")
 
@@ -77,7 +77,7 @@ def jailed_file(spark: SparkSession, root: str, name: str, limit: int = 6000) ->
     from loomspark.functions.text import truncate
     from loomspark.operators.tools import jailed
 
-    return spark.read.option("wholetext", True).text(f"{root}/{jailed(name)}").select(truncate(F.col("value"), limit, "\n[truncated]").alias("text"))
+    return spark.read.text(f"{root}/{jailed(name)}", wholetext=True).select(truncate(F.col("value"), limit, "\n[truncated]").alias("text"))
 
 
 def nearby(spark: SparkSession, root: str, n: int = 20) -> DataFrame:
@@ -95,7 +95,7 @@ def attachments(spark: SparkSession, root: str, most: int = 6 << 20) -> DataFram
 def run_folders(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     """Configurations and metrics of every run folder, with run_id."""
     run = F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/[^/]+$", 1).alias("run_id")
-    configs = spark.read.option("wholetext", True).text(f"{root}/*/config.json").select(run, F.col("value").alias("config"))
+    configs = spark.read.text(f"{root}/*/config.json", wholetext=True).select(run, F.col("value").alias("config"))
     metrics = spark.read.schema(METRIC).json(f"{root}/*/metrics.jsonl").select(run, "*")
     return configs, metrics
 
