@@ -114,6 +114,19 @@ def same_document(left: DataFrame, right: DataFrame):
     return left["doc_id"].eqNullSafe(right["doc_id"]) & (left["text_key"] == right["text_key"])
 
 
+def join_counted(rows: DataFrame, keyed: DataFrame, keys: list[str], copies: str) -> DataFrame:
+    """Rows with what ``keyed`` (one row a key, of which ``copies`` rows have it) says of their key.
+
+    Keys that more than a thousandth of all rows have, so fewer than a thousand
+    keys, are broadcast: their rows never meet in one task. Give tables that are
+    written, not plans; both are read more than once.
+    """
+    often = F.col(copies) * 1000 > rows.count()
+    hot, cold = F.broadcast(keyed.where(often)), keyed.where(~often)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return rows.join(hot, keys).unionByName(rest.join(cold, keys))
+
+
 def column_bytes(batch: pa.RecordBatch, name: str) -> list[bytes]:
     """A string column's UTF-8, null as empty."""
     return [x or b"" for x in batch.column(name).cast(pa.binary()).to_pylist()]

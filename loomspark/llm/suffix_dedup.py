@@ -14,9 +14,10 @@ throughout; in any other run each distinct context is extended, word by word,
 to the left and right of the minimiser, and each extension that covers
 ``min_words`` words is compared with its neighbours again. Digests have 64
 bits, two of them always have to agree. Runs are only counted and minimised
-(sort or hash aggregation with partial results, Spark's choice), so a passage
-that a third of the corpus holds never lands in one task, and copies of a
-context are one row before anything is extended.
+(sort or hash aggregation with partial results, Spark's choice) and joined
+back by count (``join_counted``), so a passage that a third of the corpus holds
+never lands in one task, and copies of a context are one row before anything
+is extended.
 
 The result is exact: a word is repeated if it lies in ``min_words`` words that
 occur at two places or more (of one document or of several). The first
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm._common import WordHashes, column_bytes, documents, materialise, mix, prefix_sums, same_document, ship, span_hashes
+from loomspark.llm._common import WordHashes, column_bytes, documents, join_counted, materialise, mix, prefix_sums, same_document, ship, span_hashes
 
 SPANS = "array<struct<start:int,end:int>>"
 
@@ -170,8 +171,8 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, k: int = 20) -> Data
     runs = found.groupBy("prefix").agg(
         F.count(F.lit(1)).alias("copies"), F.min("context").alias("low"), F.max("context").alias("high"), F.min(_order("place")).alias("first")
     )
-    runs = runs.where("copies > 1").select("prefix", (F.col("low") == F.col("high")).alias("same"), "first")
-    shared = materialise(found.join(runs, "prefix"), "shared")
+    runs = materialise(runs.where("copies > 1").select("prefix", "copies", (F.col("low") == F.col("high")).alias("same"), "first"), "runs")
+    shared = materialise(join_counted(found, runs, ["prefix"], "copies").drop("copies"), "shared")
     shifted = lambda x, by: F.call_function("shiftleft", x, by)
     one = F.lit(1).cast("long")
     offsets = lambda: shifted(shifted(one, F.col("hi") - F.col("lo") + 1) - 1, F.col("place") - F.col("hi"))
@@ -191,17 +192,19 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, k: int = 20) -> Data
         _extend(min_words), "doc_id long, text_key long, prefix long, context long, copies long, back int, start int, passage long"
     )
     extended = materialise(extended, "extended")
-    passages = extended.groupBy("prefix", "passage", "back").agg(F.sum("copies").alias("places"), F.min(_order("start")).alias("first"))
-    again = extended.join(passages.where("places > 1").drop("places"), ["prefix", "passage", "back"])
+    passages = extended.groupBy("prefix", "passage", "back").agg(F.sum("copies").alias("places"), F.count(F.lit(1)).alias("rows"), F.min(_order("start")).alias("first"))
+    passages = materialise(passages.where("places > 1").drop("places"), "passages")
+    again = join_counted(extended, passages, ["prefix", "passage", "back"], "rows")
     bit = shifted(one, F.col("back"))
     masks = again.groupBy("prefix", "context").agg(
         F.bit_or(bit).alias("again"), F.bit_or(F.when(_order("start") == F.col("first"), F.lit(0).cast("long")).otherwise(bit)).alias("later")
     )
-    first = contexts.select(F.col("prefix"), F.col("context"), F.col("m.o").alias("owner"))
-    partly = mixed.join(masks.join(first, ["prefix", "context"]), ["prefix", "context"]).select(
+    first = contexts.select("prefix", "context", F.col("copies").alias("rows"), F.col("m.o").alias("owner"))
+    masks = materialise(masks.join(first, ["prefix", "context"]), "masks")
+    partly = join_counted(mixed, masks, ["prefix", "context"], "rows").select(
         "doc_id", "text_key", "place", "again", F.when(_order("place") == F.col("owner"), F.col("later")).otherwise(F.col("again")).alias("later")
     )
-    each = whole.union(partly).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("place", "again", "later")).alias("found"))
+    each = whole.union(partly).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("place", "again", "later")).alias("found"))
     return each.mapInArrow(_spans(min_words), f"doc_id long, text_key long, repeated {SPANS}, removed {SPANS}")
 
 
