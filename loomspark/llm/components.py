@@ -4,7 +4,8 @@ Alternating large-star and small-star steps (Kiveris et al., "Connected
 components in MapReduce and beyond"): each step replaces edges by edges to the
 smallest neighbour, until every component is a star around its smallest node.
 Neighbourhoods are only ever minimised (partial aggregation), never gathered,
-so a node with very many neighbours doesn't land in one task. Each round is
+and joined back by count (``join_counted``), so a node with very many
+neighbours doesn't land in one task. Each step is
 written to the shared folder; the driver only sees a count and a checksum.
 """
 
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm._common import remove, written
+from loomspark.llm._common import join_counted, remove, written
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -21,14 +22,14 @@ def _signature(edges: DataFrame) -> tuple:
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """edges: u > v. Large: neighbours above u go to u's smallest; small: those below."""
+    """edges (written): u > v. Large: neighbours above u go to u's smallest; small: those below."""
     if large:
         near = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        out = near.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+        out = join_counted(near, least, ["u"], "n").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        joined = edges.join(least, "u")
+        least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        joined = join_counted(edges, least, ["u"], "n")
         out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
     return out.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
@@ -41,9 +42,10 @@ def components(edges: DataFrame, u: str, v: str, max_rounds: int = 100) -> DataF
     edges = spark.read.schema("u long, v long").parquet(path)
     before = _signature(edges)
     for _ in range(max_rounds if before[0] else 0):
-        after_path = written(_star(_star(edges, large=True), large=False), "edges")
-        remove(spark, path)
-        path, edges = after_path, spark.read.schema("u long, v long").parquet(after_path)
+        for large in (True, False):
+            after_path = written(_star(edges, large), "edges")
+            remove(spark, path)
+            path, edges = after_path, spark.read.schema("u long, v long").parquet(after_path)
         after = _signature(edges)
         if after == before:
             break

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm._common import LOWER, column_bytes, documents, materialise, ship
+from loomspark.llm._common import LOWER, column_bytes, documents, join_counted, materialise, ship
 from loomspark.llm.components import components
 
 BITS = 64
@@ -233,16 +233,17 @@ def print_links(prints: DataFrame, radius: int = 4, most: int = 4096) -> DataFra
 def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 4, seed: int = 42) -> DataFrame:
     """doc_id, text_key, fingerprint (long), component_id (smallest doc_id that links lead to, null only if all of them are), component (long)."""
     prints = materialise(fingerprints(docs, shingle, seed), "simhash")
-    nodes = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least"))
+    nodes = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
     found = components(print_links(nodes.select("fingerprint"), radius), "u", "v")
-    linked = nodes.join(found, nodes["fingerprint"] == found["node"]).select("fingerprint", "root", "least")
-    least = linked.groupBy("root").agg(F.min("least").alias("all_least"))
-    named = linked.join(least, "root").select(F.col("fingerprint").alias("_f"), F.col("root"), F.col("all_least"))
-    alone = nodes.select(F.col("fingerprint").alias("_n"), "least")
+    linked = materialise(nodes.join(found, nodes["fingerprint"] == found["node"]).select("fingerprint", "root", "least"), "linked")
+    least = linked.groupBy("root").agg(F.min("least").alias("all_least"), F.count(F.lit(1)).alias("members"))
+    named = join_counted(linked, least, ["root"], "members").select(F.col("fingerprint").alias("_f"), F.col("root"), F.col("all_least"))
+    alone = nodes.select(F.col("fingerprint").alias("_n"), "least", "copies")
     named = alone.join(named, F.col("_n") == F.col("_f"), "left").select(
-        "_n", F.coalesce("root", "_n").alias("component"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("all_least")).alias("component_id")
+        F.col("_n").alias("fingerprint"), "copies", F.coalesce("root", "_n").alias("component"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("all_least")).alias("component_id")
     )
-    return prints.join(named, prints["fingerprint"] == named["_n"]).select("doc_id", "text_key", "fingerprint", "component_id", "component")
+    named = join_counted(prints, materialise(named, "components"), ["fingerprint"], "copies")
+    return named.select("doc_id", "text_key", "fingerprint", "component_id", "component")
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 4, seed: int = 42) -> DataFrame:
