@@ -52,12 +52,15 @@ def splitter() -> re.Pattern:
 
 
 class Encoder(dict):
-    """Maps a pre-token to its ids, packed as little-endian 32-bit numbers; holds at most ``most`` of them."""
+    """Maps a pre-token to its ids, packed as little-endian 32-bit numbers.
 
-    def __init__(self, path: str, most: int = 100_000):
+    Holds at most ``most`` of them in two generations: when the younger is full, the older goes and what is still in use comes back from it.
+    """
+
+    def __init__(self, path: str, most: int = 160_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.most = most
+        self.most, self.older = most, {}
         names = byte_names()
         vocab = spec["model"]["vocab"]
         self.added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
@@ -122,21 +125,26 @@ class Encoder(dict):
                 offer(before[i])
         return [x for x in ids if x >= 0]
 
-    def __missing__(self, pre_token: str) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
-        parts = []
-        for fragment in self.cuts(pre_token.encode("utf-8", "replace")):
-            ids = self.fragments.get(fragment)
-            if ids is None:
-                if len(self.fragments) >= self.most:
+    def fragment(self, data: bytes) -> bytes:
+        """Ids of a part of a pre-token; such parts recur in other pre-tokens."""
+        ids = self.fragments.get(data)
+        if ids is None:
+            ids = np.array(self.merged(data), "<u4").tobytes()
+            if len(data) <= 64:
+                if len(self.fragments) >= self.most // 4:
                     self.fragments.clear()
-                ids = np.array(self.merged(fragment), "<u4").tobytes()
-                if len(fragment) <= 64:
-                    self.fragments[fragment] = ids
-            parts.append(ids)
-        packed = b"".join(parts)
+                self.fragments[data] = ids
+        return ids
+
+    def __missing__(self, pre_token: str) -> bytes:
+        packed = self.older.get(pre_token)
+        if packed is None:
+            parts = self.cuts(pre_token.encode("utf-8", "replace"))
+            packed = b"".join(map(self.fragment, parts)) if len(parts) > 1 else np.array(self.merged(parts[0]), "<u4").tobytes()
         if len(pre_token) <= 64:
+            if len(self) >= self.most // 2:
+                self.older = dict(self)
+                self.clear()
             self[pre_token] = packed
         return packed
 
