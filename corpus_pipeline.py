@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm import bpe, decontaminate, simhash, suffix_dedup, toxicity
+from loomspark.llm import bpe, decontaminate, near_copies, suffix_dedup, toxicity
 from loomspark.llm._common import shared_dir
 from loomspark.llm.queries import table, toxicity_model, vocabulary
 
@@ -19,8 +19,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return simhash.drop_near_duplicates(docs)
+    """One document of each group of near copies (0.8 or more of their five-word shingles) stays."""
+    return near_copies.drop_near_copies(docs)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ other. Fewer words than a shingle: the whole sequence is the one shingle.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +33,11 @@ from loomspark.llm.components import components
 BITS = 64
 
 
-def fingerprint(text: bytes, shingle: int, seed: int) -> int:
+def shingle_hashes(text: bytes, shingle: int, seed: int) -> np.ndarray:
+    """XXH64 of each shingle, repeats included."""
     words = text.translate(LOWER).split()
     if not words:
-        return 0
+        return np.empty(0, "<u8")
     if len(words) <= shingle:
         hashes = [xxhash.xxh64_intdigest(b" ".join(words), seed)]
     else:
@@ -45,13 +46,21 @@ def fingerprint(text: bytes, shingle: int, seed: int) -> int:
         starts = [0, *[e + 1 for e in ends[: len(words) - shingle]]]
         digest = xxhash.xxh64_intdigest
         hashes = [digest(line[s:e], seed) for s, e in zip(starts, ends[shingle - 1 :])]  # noqa: B905  as many of each
-    h = np.array(hashes, "<u8")
+    return np.array(hashes, "<u8")
+
+
+def majority(h: np.ndarray) -> int:
+    """The fingerprint: bit by bit, what over half of the hashes have."""
     counts = np.zeros(BITS, np.int64)
     for at in range(0, len(h), 1 << 15):
         counts += np.unpackbits(h[at : at + (1 << 15)].view(np.uint8), bitorder="little").reshape(-1, BITS).sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * counts > len(h), bitorder="little").tobytes(), "little")
 
 
+def fingerprint(text: bytes, shingle: int, seed: int) -> int:
+    return majority(shingle_hashes(text, shingle, seed))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 5, seed: int = 42) -> DataFrame:
     """doc_id, text_key, fingerprint (long, its bits as they are) of every row."""
     ship(docs.sparkSession)
@@ -77,7 +86,7 @@ def planes_of(prints: np.ndarray) -> np.ndarray:
 
 
 def links(queries: np.ndarray, prints: np.ndarray, radius: int, upper: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (query, print) that differ in at most ``radius`` (0 to 6) bits; upper: only print > query, of one array."""
+    """Index pairs (query, print) that differ in at most ``radius`` bits; upper: only print > query, of one array."""
     n, words = len(prints), -(-len(prints) // 64)
     if not n or not len(queries):
         return np.empty(0, np.int64), np.empty(0, np.int64)
@@ -87,7 +96,7 @@ def links(queries: np.ndarray, prints: np.ndarray, radius: int, upper: bool = Fa
     live = np.zeros(words * 64, np.uint8)
     live[:n] = 1
     valid = np.packbits(live, bitorder="little").view("<u8")
-    limit = np.uint64(radius + 1)
+    limit = radius + 1
     ones = ~np.uint64(0)
     for at in range(0, len(queries), step):
         q = queries[at : at + step]
@@ -95,18 +104,21 @@ def links(queries: np.ndarray, prints: np.ndarray, radius: int, upper: bool = Fa
         if upper:
             column = np.arange(words * 64)[None, :]
             over |= np.packbits((column <= np.arange(at, at + len(q))[:, None]).astype(np.uint8), axis=1, bitorder="little").view("<u8")
-        c0, c1, c2 = np.zeros_like(over), np.zeros_like(over), np.zeros_like(over)
+        counter = [np.zeros_like(over) for _ in range(limit.bit_length())]
         for b in range(BITS):
             bit = np.where((q >> np.uint64(b)) & np.uint64(1), ones, np.uint64(0))[:, None]
             x = planes[b][None, :] ^ bit
             x &= ~over
-            carry = c0 & x
-            c0 ^= x
-            x = c1 & carry
-            c1 ^= carry
-            c2 ^= x
+            for i, c in enumerate(counter):
+                carry = c & x if i + 1 < len(counter) else None
+                c ^= x
+                x = carry
             # a counter that has reached radius + 1 stays over
-            over |= (c0 if limit & np.uint64(1) else ~c0) & (c1 if limit & np.uint64(2) else ~c1) & (c2 if limit & np.uint64(4) else ~c2)
+            reached = None
+            for i, c in enumerate(counter):
+                digit = c if limit >> i & 1 else ~c
+                reached = digit if reached is None else reached & digit
+            over |= reached
             if b % 4 == 3 and (over == ones).all():
                 break
         else:
@@ -119,8 +131,8 @@ def links(queries: np.ndarray, prints: np.ndarray, radius: int, upper: bool = Fa
     return both[0], both[1]
 
 
-def forest(a: np.ndarray, b: np.ndarray, n: int) -> list[tuple[int, int]]:
-    """Of the links (a, b) between n nodes, as many as connect what all of them connect."""
+def forest(a: np.ndarray, b: np.ndarray, n: int, holds: Callable[[int, int], bool] | None = None) -> list[tuple[int, int]]:
+    """Of the links (a, b) between n nodes (those that hold), as many as connect what all of them connect."""
     parent = list(range(n))
 
     def root(x: int) -> int:
@@ -132,7 +144,7 @@ def forest(a: np.ndarray, b: np.ndarray, n: int) -> list[tuple[int, int]]:
     kept = []
     for x, y in zip(a.tolist(), b.tolist()):  # noqa: B905  as many of each
         rx, ry = root(x), root(y)
-        if rx != ry:
+        if rx != ry and (holds is None or holds(x, y)):
             parent[max(rx, ry)] = min(rx, ry)
             kept.append((x, y))
     return kept
@@ -148,10 +160,13 @@ def _bits(value: Column, first: int, n: int) -> Column:
     return F.shiftrightunsigned(value, first).bitwiseAND(F.lit((1 << n) - 1)) if n else F.lit(0).cast("long")
 
 
-def _compare(radius: int):
-    """Runs of rows with equal bucket, one after the other; side 0 and 1 tell the two pieces of a cut bucket."""
+def _compare(radius: int, node: str = "fingerprint", similarity: float | None = None):
+    """Runs of rows with equal bucket, one after the other; side 0 and 1 tell the two pieces of a cut bucket.
+
+    similarity: links must also have that share of equal ``shingles``, closest fingerprints first.
+    """
 
-    def emit(rows: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int]]:
+    def emit(rows: list[tuple]) -> list[tuple[int, int]]:
         prints = np.concatenate([r[0] for r in rows]).view(np.uint64)
         side = np.concatenate([r[1] for r in rows])
         if len(prints) < 2:
@@ -162,14 +177,29 @@ def _compare(radius: int):
             a, b = one[a], two[b]
         else:
             a, b = links(prints, prints, radius, upper=True)
-        signed = prints.view(np.int64)
-        return [(int(signed[x]), int(signed[y])) for x, y in forest(a, b, len(prints))]
+        name = np.concatenate([r[2] for r in rows])
+        holds = None
+        if similarity is not None:
+            order = np.argsort(np.bitwise_count(prints[a] ^ prints[b]), kind="stable")
+            a, b = a[order], b[order]
+            sets = [np.frombuffer(x, "<u8") for r in rows for x in r[3]]
+
+            def holds(x: int, y: int) -> bool:
+                one, two = sets[x], sets[y]
+                if min(len(one), len(two)) < similarity * max(len(one), len(two)):
+                    return False
+                both = np.sort(np.concatenate((one, two)), kind="stable")
+                equal = int((both[1:] == both[:-1]).sum())
+                return equal >= similarity * (len(both) - equal)
+
+        return [(int(name[x]), int(name[y])) for x, y in forest(a, b, len(prints), holds)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, bucket = [], None
         for batch in batches:
             keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "piece")], 1)
-            prints, side = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("fingerprint", "side"))
+            prints, side, name = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("fingerprint", "side", node))
+            sets = batch.column("shingles").to_pylist() if similarity is not None else []
             if not len(keys):
                 continue
             cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
@@ -180,7 +210,7 @@ def _compare(radius: int):
                     out += emit(held)
                     held = []
                 bucket = now
-                held.append((prints[s:e], side[s:e]))
+                held.append((prints[s:e], side[s:e], name[s:e], sets[s:e]))
             yield _edges(out)
         yield _edges(emit(held) if held else [])
 
@@ -191,6 +221,18 @@ def _compare(radius: int):
     return run
 
 
+def dealt(rows: DataFrame, cuts: Column, columns: list[str]) -> DataFrame:
+    """columns (the first identifies a row), bucket, piece, side: each bucket cut into ``cuts`` pieces, and a row sent to each pair of pieces that its own is in."""
+    own = F.pmod(F.xxhash64(columns[0], F.lit(1)), cuts.cast("long")).cast("int")
+    rows = rows.select(*columns, "bucket", cuts.alias("cuts"), own.alias("own"))
+    rows = rows.select(*columns, "bucket", "cuts", "own", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("other"))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    rows = rows.select(
+        *columns, "bucket", (low.cast("long") * F.lit(1 << 31) + high).alias("piece"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side")
+    )
+    return rows.repartition("bucket", "piece").sortWithinPartitions("bucket", "piece")
+
+
 def print_links(prints: DataFrame, radius: int = 4, most: int = 4096) -> DataFrame:
     """u, v: links between distinct fingerprints that connect exactly what all links within the radius connect."""
     ship(prints.sparkSession)
@@ -215,18 +257,8 @@ def print_links(prints: DataFrame, radius: int = 4, most: int = 4096) -> DataFra
     level2 = level2.select("fingerprint", F.xxhash64("bucket", "c.u", "c.key").alias("bucket"))
     rows = fine.union(level2)
     # what is still too large is cut into pieces; a row goes to each pair that its piece is in
-    n = F.col("n2")
-    cuts = F.ceil(n / F.lit(most)).cast("int")
-    own = F.pmod(F.xxhash64(value, F.lit(1)), cuts.cast("long")).cast("int")
     rows = rows.join(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n2")), "bucket").where("n2 > 1")
-    rows = rows.select("fingerprint", "bucket", cuts.alias("cuts"), own.alias("own")).select(
-        "fingerprint", "bucket", "cuts", "own", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("other")
-    )
-    low, high = F.least("own", "other"), F.greatest("own", "other")
-    rows = rows.select(
-        "fingerprint", "bucket", (low.cast("long") * F.lit(1 << 31) + high).alias("piece"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side")
-    )
-    rows = rows.repartition("bucket", "piece").sortWithinPartitions("bucket", "piece")
+    rows = dealt(rows, F.ceil(F.col("n2") / F.lit(most)).cast("int"), ["fingerprint"])
     return rows.mapInArrow(_compare(radius), "u long, v long")
 
 
@@ -244,13 +276,3 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 4, seed: in
     )
     named = join_counted(prints, materialise(named, "components"), ["fingerprint"], "copies")
     return named.select("doc_id", "text_key", "fingerprint", "component_id", "component")
-
-
-def drop_near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 4, seed: int = 42) -> DataFrame:
-    """One document of each component stays, that with the smallest id, and one row of it; columns as they were."""
-    found = near_duplicates(docs, shingle, radius, seed)
-    order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("text_key").alias("c"))
-    keep = found.groupBy("component").agg(F.min(order).alias("k")).select(F.col("k.b").alias("_id"), F.col("k.c").alias("_key"))
-    rows = docs.withColumn("_text_key", F.xxhash64("text"))
-    rows = rows.join(keep, rows["doc_id"].cast("long").eqNullSafe(keep["_id"]) & (rows["_text_key"] == keep["_key"]))
-    return rows.dropDuplicates(["_id", "_key"]).select(*[rows[c] for c in docs.columns])

@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from loomspark.llm import bpe, chat_format, components, decontaminate, langid, license_scan, quality, queries, sharding, simhash, suffix_dedup, toxicity
+from loomspark.llm import bpe, chat_format, components, decontaminate, langid, license_scan, near_copies, quality, queries, sharding, simhash, suffix_dedup, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -176,7 +176,7 @@ def test_bit_sliced_links():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 1 << 63, 150, dtype=np.uint64)
     b = np.concatenate([a[:70] ^ np.uint64(0b1011), a[70:100] ^ np.uint64(0b111110), rng.integers(0, 1 << 63, 33, dtype=np.uint64)])
-    for radius in (0, 3, 4, 5, 6):
+    for radius in (0, 3, 4, 5, 6, 7, 24):
         want = {(i, j) for i in range(len(a)) for j in range(len(b)) if int(a[i] ^ b[j]).bit_count() <= radius}
         assert set(zip(*map(np.ndarray.tolist, simhash.links(a, b, radius)))) == want
 
@@ -185,12 +185,48 @@ def test_simhash_odd_rows(spark):
     got = simhash.near_duplicates(odd_frame(spark), shingle=4).collect()
     assert len(got) == len(ODD) + 3
     assert {r.component_id for r in got if r.fingerprint == 0} == {0}
-    kept = simhash.drop_near_duplicates(odd_frame(spark))
+    kept = near_copies.drop_near_copies(odd_frame(spark))
     assert kept.columns == odd_frame(spark).columns
     assert sorted(kept.select("doc_id").toPandas()["doc_id"].fillna(-1)) == [-1, 0, 3, 5, 6, 7]
     assert simhash.near_duplicates(frame(spark, ["a"]).limit(0)).count() == 0
 
 
+def brute_shingles(text, n):
+    words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
+    return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
+
+
+def alike(a, b, similarity=0.8):
+    """Of two sets; empty ones are equal."""
+    return len(a & b) >= similarity * len(a | b)
+
+
+@pytest.mark.parametrize("most", [1024, 8])
+def test_near_copies_against_all_pairs(spark, most):
+    rng = random.Random(most)
+    word = lambda: f"w{rng.randint(0, 4000)}"
+    texts = [None, "", "One two", "one  TWO", "one two three"]
+    for size in (6, 30, 60, 400):
+        for _ in range(3):
+            base = [word() for _ in range(size)]
+            for _ in range(14):
+                own = list(base)
+                for _ in range(rng.randint(0, max(1, size // 30))):
+                    own[rng.randrange(size)] = word()
+                texts.append(" ".join(own + ["spam"] * rng.choice([0, 0, 200])))
+    sets = {i: brute_shingles(t, 5) for i, t in enumerate(texts)}
+    want = brute_components(sets, lambda a, b: alike(sets[a], sets[b]))
+    got = defaultdict(set)
+    for r in near_copies.near_copies(frame(spark, texts), most=most).collect():
+        got[r.component].add(r.doc_id)
+    expected = defaultdict(set)
+    for n, r in want.items():
+        expected[r].add(n)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, expected.values()))
+    kept = near_copies.drop_near_copies(frame(spark, texts)).select("doc_id").collect()
+    assert {r.doc_id for r in kept} == set(want.values())
+
+
 def test_components_of_a_path(spark):
     df = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (5, 5)], "u long, v long")
     got = {r.node: r.root for r in components.components(df, "u", "v").collect()}

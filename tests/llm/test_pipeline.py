@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tests.llm.test_operators import brute_components, brute_overlap, brute_print, brute_repeats, odd_frame
+from tests.llm.test_operators import alike, brute_components, brute_overlap, brute_repeats, brute_shingles, odd_frame
 
 
 def test_stages(spark, tmp_path):
@@ -15,8 +15,8 @@ def test_stages(spark, tmp_path):
         seen.append(docs.collect())
     ids = [{r.doc_id for r in rows} for rows in seen]
     assert len(ids[1]) < len(ids[0])
-    prints = {r.doc_id: brute_print(r.text, 5) for r in seen[1]}
-    roots = brute_components(prints, lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 4)
+    sets = {r.doc_id: brute_shingles(r.text, 5) for r in seen[1]}
+    roots = brute_components(sets, lambda a, b: alike(sets[a], sets[b]))
     assert ids[2] == set(roots.values())
     cut = brute_repeats([(r.doc_id, r.text) for r in seen[2]], 50)
     text = {r.doc_id: r.text for r in seen[3]}
