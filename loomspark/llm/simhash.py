@@ -85,13 +85,12 @@ def planes_of(prints: np.ndarray) -> np.ndarray:
     return np.packbits(padded.T.copy(), axis=1, bitorder="little").view("<u8")
 
 
-def links(queries: np.ndarray, prints: np.ndarray, radius: int, upper: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (query, print) that differ in at most ``radius`` bits; upper: only print > query, of one array."""
+def near_rows(queries: np.ndarray, prints: np.ndarray, radius: int, upper: bool = False) -> Iterator[tuple[int, np.ndarray]]:
+    """Of each query that has any: its index, and the indexes of the prints that differ in at most ``radius`` bits; upper: only print > query, of one array."""
     n, words = len(prints), -(-len(prints) // 64)
     if not n or not len(queries):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+        return
     planes = planes_of(prints)
-    found: list[np.ndarray] = []
     step = max(1, (1 << 16) // words)
     live = np.zeros(words * 64, np.uint8)
     live[:n] = 1
@@ -123,30 +122,35 @@ def links(queries: np.ndarray, prints: np.ndarray, radius: int, upper: bool = Fa
                 break
         else:
             near = np.unpackbits((~over).view(np.uint8), axis=1, bitorder="little")
-            i, j = np.nonzero(near)
-            found.append(np.stack([i + at, j]))
-    if not found:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    both = np.concatenate(found, axis=1)
-    return both[0], both[1]
+            for i in np.flatnonzero(near.any(1)).tolist():
+                yield at + i, np.flatnonzero(near[i])
+
 
+def links(queries: np.ndarray, prints: np.ndarray, radius: int, upper: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """All index pairs (query, print) of ``near_rows``."""
+    found = [np.stack([np.full(len(j), i), j]) for i, j in near_rows(queries, prints, radius, upper)]
+    both = np.concatenate([np.empty((2, 0), np.int64), *found], axis=1)
+    return both[0], both[1]
 
-def forest(a: np.ndarray, b: np.ndarray, n: int, holds: Callable[[int, int], bool] | None = None) -> list[tuple[int, int]]:
-    """Of the links (a, b) between n nodes (those that hold), as many as connect what all of them connect."""
-    parent = list(range(n))
 
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
+def forest(near: Iterator[tuple[int, np.ndarray]], prints: np.ndarray, holds: Callable[[int, int], bool] | None = None) -> list[tuple[int, int]]:
+    """Of the links between nodes (those that hold), as many as connect what all of them connect; a node's neighbours are never more than one row of indexes.
 
+    With a check, the closest fingerprints come first, and nodes that are connected already aren't checked.
+    """
+    group = np.arange(len(prints))
     kept = []
-    for x, y in zip(a.tolist(), b.tolist()):  # noqa: B905  as many of each
-        rx, ry = root(x), root(y)
-        if rx != ry and (holds is None or holds(x, y)):
-            parent[max(rx, ry)] = min(rx, ry)
-            kept.append((x, y))
+    for x, others in near:
+        others = others[group[others] != group[x]]
+        if holds is not None and len(others) > 1:
+            others = others[np.argsort(np.bitwise_count(prints[others] ^ prints[x]), kind="stable")]
+        while len(others):
+            y = int(others[0])
+            others = others[1:]
+            if holds is None or holds(x, y):
+                group[group == group[y]] = group[x]
+                others = others[group[others] != group[x]]
+                kept.append((x, y))
     return kept
 
 
@@ -173,15 +177,12 @@ def _compare(radius: int, node: str = "fingerprint", similarity: float | None =
             return []
         if side.any():
             one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-            a, b = links(prints[one], prints[two], radius)
-            a, b = one[a], two[b]
+            near = ((int(one[i]), two[j]) for i, j in near_rows(prints[one], prints[two], radius))
         else:
-            a, b = links(prints, prints, radius, upper=True)
+            near = near_rows(prints, prints, radius, upper=True)
         name = np.concatenate([r[2] for r in rows])
         holds = None
         if similarity is not None:
-            order = np.argsort(np.bitwise_count(prints[a] ^ prints[b]), kind="stable")
-            a, b = a[order], b[order]
             sets = [np.frombuffer(x, "<u8") for r in rows for x in r[3]]
 
             def holds(x: int, y: int) -> bool:
@@ -192,7 +193,7 @@ def _compare(radius: int, node: str = "fingerprint", similarity: float | None =
                 equal = int((both[1:] == both[:-1]).sum())
                 return equal >= similarity * (len(both) - equal)
 
-        return [(int(name[x]), int(name[y])) for x, y in forest(a, b, len(prints), holds)]
+        return [(int(name[x]), int(name[y])) for x, y in forest(near, prints, holds)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, bucket = [], None
