@@ -6,7 +6,9 @@ sketches of each language and of the whole table, so no value is sorted or
 gathered. A threshold is a fence: the upper quartile plus ``spread`` times the
 distance between the quartiles (below: the lower quartile minus that), of the
 smallest group that has ``min_group`` documents: language and source, language,
-or all. A rate may in any case reach its ``slack``, so that a group without
+or all. Where a group's quartiles are equal, the distance is that of the next
+larger group: between its quartiles, or else its outer tenths. Only where these
+are equal in the whole table too it is ``MIN_WIDTH``, so that a table without
 any variation doesn't reject all that differs. Thresholds are joined to the
 documents by Spark's choice of join (a broadcast only if they are small).
 
@@ -32,13 +34,11 @@ _NOT_SYMBOLS = bytes(b for b in range(256) if chr(b) not in "#*$%&|<>")
 _CONTINUED = bytes(range(0x80, 0xC0))
 _WORD = re.compile(rb"[^\x20\x09-\x0d]")
 
-#: rate: (least and largest value allowed whatever the fence says; None: no fence on that side)
-SLACK: dict[str, tuple[float | None, float | None]] = {
-    "word_length": (3.0, 12.0),
-    "symbol_rate": (None, 0.1),
-    "dup_line_rate": (None, 0.3),
-    "repeat_rate": (None, 0.2),
-}
+RATES = ["word_length", "symbol_rate", "dup_line_rate", "repeat_rate"]
+#: rates with a fence on the lower side too
+LOWER = {"word_length"}
+#: distance where nine tenths of the whole table have one value
+MIN_WIDTH = 0.01
 
 
 def repeat_words(words: list[bytes], n: int = 3) -> int:
@@ -95,21 +95,20 @@ def _rates(out: DataFrame) -> DataFrame:
     })
 
 
-def _fences(sketch: str, rate: str, spread: float) -> list[Column]:
+def _quartiles(sketch: str, rate: str) -> list[Column]:
+    """Quartiles, the distance between them and that between the outer tenths; a distance of 0 is null."""
     q = lambda p: F.kll_sketch_get_quantile_double(F.col(sketch), F.lit(p))
-    least, most = SLACK[rate]
-    low = F.lit(None).cast("double") if least is None else F.least(F.lit(least), q(0.25) - spread * (q(0.75) - q(0.25)))
-    return [low.alias(f"{rate}_least"), F.greatest(F.lit(most), q(0.75) + spread * (q(0.75) - q(0.25))).alias(f"{rate}_most")]
+    width = lambda p: F.nullif(q(1 - p) - q(p), F.lit(0.0))
+    return [q(0.25).alias(f"{rate}_low"), q(0.75).alias(f"{rate}_high"), width(0.25).alias(f"{rate}_width"), width(0.1).alias(f"{rate}_wide")]
 
 
-def thresholds(measured: DataFrame, spread: float = 4.0, min_group: int = 200, k: int = 400) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Fences by language and source, by language, and of all, each from merged sketches of the one before."""
-    rates = list(SLACK)
+def quartiles(measured: DataFrame, min_group: int = 200, k: int = 400) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Quartiles by language and source, by language, and of all, each from merged sketches of the one before."""
     good = measured.where(~F.col("base_failed"))
-    first = good.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), *[F.kll_sketch_agg_double(F.col(r), F.lit(k)).alias(f"_{r}") for r in rates])
+    first = good.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), *[F.kll_sketch_agg_double(F.col(r), F.lit(k)).alias(f"_{r}") for r in RATES])
     first = materialise(first, "sketches")
-    merge = [F.sum("n").alias("n"), *[F.kll_merge_agg_double(F.col(f"_{r}"), F.lit(k)).alias(f"_{r}") for r in rates]]
-    shown = lambda df, keys: df.where(F.col("n") >= (min_group if keys else 1)).select(*[F.col(c).alias(f"_k_{c}") for c in keys], *[x for r in rates for x in _fences(f"_{r}", r, spread)])
+    merge = [F.sum("n").alias("n"), *[F.kll_merge_agg_double(F.col(f"_{r}"), F.lit(k)).alias(f"_{r}") for r in RATES]]
+    shown = lambda df, keys: df.where(F.col("n") >= (min_group if keys else 1)).select(*[F.col(c).alias(f"_k_{c}") for c in keys], *[x for r in RATES for x in _quartiles(f"_{r}", r)])
     return shown(first, ["lang", "source"]), shown(first.groupBy("lang").agg(*merge), ["lang"]), shown(first.groupBy().agg(*merge), [])
 
 
@@ -120,19 +119,23 @@ def judged(docs: DataFrame, keep: list[str], spread: float = 4.0, min_group: int
     out = _rates(counts(named, [c for c in named.columns if c != "text"]))
     out = out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     out = materialise(out, "quality")
-    fences = [f"{r}_{side}" for r in SLACK for side in ("least", "most")]
-    levels = thresholds(out, spread, min_group)
-    for i, (level, keys) in enumerate(zip(levels, (own, ["lang"], []))):  # noqa: B905
-        level = level.select(*[f"_k_{c}" for c in keys], *[F.col(f).alias(f"_{i}_{f}") for f in fences])
+    found = [f"{r}_{x}" for r in RATES for x in ("low", "high", "width", "wide")]
+    for i, (level, keys) in enumerate(zip(quartiles(out, min_group), (own, ["lang"], []))):  # noqa: B905
+        level = level.select(*[f"_k_{c}" for c in keys], *[F.col(f).alias(f"_{i}_{f}") for f in found])
         if keys:
             on = [out[c].eqNullSafe(level[f"_k_{c}"]) for c in keys]
             out = out.join(level, on, "left").drop(*[f"_k_{c}" for c in keys])
         else:
             out = out.join(F.broadcast(level), how="left")  # one row
-    for f in fences:
-        out = out.withColumn(f, F.coalesce(*[F.col(f"_{i}_{f}") for i in range(3)]))
     fits = ~F.col("base_failed")
-    for r in SLACK:
+    fences = {}
+    for r in RATES:
+        width = F.coalesce(*[F.col(f"_{i}_{r}_{x}") for i, x in ((0, "width"), (1, "width"), (1, "wide"), (2, "width"), (2, "wide"))], F.lit(MIN_WIDTH))
+        low, high = (F.coalesce(*[F.col(f"_{i}_{r}_{x}") for i in range(3)]) for x in ("low", "high"))
+        fences[f"{r}_least"] = low - spread * width if r in LOWER else F.lit(None).cast("double")
+        fences[f"{r}_most"] = high + spread * width
+    out = out.withColumns(fences)
+    for r in RATES:
         inside = F.coalesce(F.col(r) <= F.col(f"{r}_most"), F.lit(True)) & F.coalesce(F.col(r) >= F.col(f"{r}_least"), F.lit(True))
         fits = fits & inside
-    return out.withColumn("kept", fits).drop(*[f"_{i}_{f}" for i in range(3) for f in fences])
+    return out.withColumn("kept", fits).drop(*[f"_{i}_{f}" for i in range(3) for f in found])

@@ -514,6 +514,27 @@ def test_quality_fences_follow_groups(spark):
     assert all(got[i].kept for i in range(300)) and not got[300].kept and not got[300].base_failed
 
 
+def test_quality_fences_alone_decide(spark):
+    """Words of 7 characters are far out in source s and usual in source t; where a source has no repeated lines at all, its language's documents say how many are usual."""
+    rng = random.Random(2)
+    word = lambda a, z: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(a, z)))
+    body = lambda a, z: [" ".join(word(a, z) for _ in range(10)) for _ in range(10)]
+    rows = [("s", "\n".join(body(4, 5))) for _ in range(300)] + [("s", "\n".join(body(7, 7)))]
+    rows += [("t", "\n".join(body(*((3, 5) if i % 2 else (7, 9))))) for i in range(300)] + [("t", "\n".join(body(7, 7)))]
+    rows.append(("s", "\n".join(["a b", *body(4, 5), "a b"])))
+    many = lambda: "\n".join(["a b", *body(3, 9), "a b"])
+    base = len(rows)
+    rows += [("t", many()) for _ in range(250)] + [("t", "\n".join(w.replace(" ", "# ", 4) for w in body(5, 6)))]
+    df = spark.createDataFrame([(i, t, "en", s, len(t)) for i, (s, t) in enumerate(rows)], DOCS)
+    got = {r.doc_id: r for r in quality.judged(df, ["doc_id"]).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert not got[300].kept and got[300].word_length < got[601].word_length + 1 and got[601].kept
+    assert got[602].kept and got[602].dup_line_rate > 0 and all(got[i].kept for i in range(base, base + 250))
+    # symbols in four of ten words: nobody else has any
+    assert not got[base + 250].kept and got[base + 250].symbol_rate < 0.1
+    assert got[300].word_length_most < got[601].word_length_most and got[300].dup_line_rate_most > 0
+
+
 def test_quality_odd_rows(spark):
     got = quality.judged(odd_frame(spark), ["doc_id"]).collect()
     assert len(got) == len(ODD) + 3 and not any(r.kept for r in got)
