@@ -477,6 +477,42 @@ def test_decontamination_substitutions(spark):
     assert [r.doc_id for r in decontaminate.overlaps(frame(spark, ["a tiny item here", "tiny"]), bench).collect()] == [0]
 
 
+def holds_stretch(equal, least, tenths=8):
+    """Whether any stretch of ``least`` places or more has so many tenths of equal ones, by trying all."""
+    return any(10 * sum(equal[a:z]) >= tenths * (z - a) for a in range(len(equal)) for z in range(a + least, len(equal) + 1))
+
+
+def test_decontamination_any_stretch():
+    rng = random.Random(5)
+    for _ in range(600):
+        equal = [rng.random() < rng.choice((0.6, 0.75, 0.85)) for _ in range(rng.randint(5, 40))]
+        found = decontaminate.similar_stretch(np.array(equal), 13, 0.8)
+        assert (found is not None) == holds_stretch(equal, 13), equal
+        assert found is None or (found[1] - found[0] >= 13 and 10 * sum(equal[found[0] : found[1]]) >= 8 * (found[1] - found[0]))
+
+
+def test_decontamination_replaced_words(spark):
+    """A replaced word at any place, and half of the words around an exact run, don't hide a passage; nothing else is found."""
+    rng = random.Random(4)
+    items = [[f"i{k}w{j}" for j in range(n)] for k, n in enumerate((13, 15, 20, 38, 59))]
+    texts, want = [], set()
+    for k, item in enumerate(items):
+        for t in range(60):
+            share = (0.0, 0.1, 0.2, 0.25)[t % 4]
+            equal = [rng.random() >= share for _ in item]
+            if t < len(item):
+                equal = [j != t for j in range(len(item))] if k == 0 else equal
+            if k == 4 and t >= 30:
+                equal = [20 <= j < 34 or rng.random() < 0.5 for j in range(len(item))]
+            if holds_stretch(equal, min(13, len(item))):
+                want.add((len(texts), k))
+            texts.append(" ".join(["before"] * 9 + [w if e else "other" for w, e in zip(item, equal)] + ["after"] * 9))
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    rows = decontaminate.overlaps(frame(spark, texts), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in rows} == want and 0 < len(want) < len(texts)
+    assert all(r.n_words >= 13 and 10 * r.n_equal >= 8 * r.n_words for r in rows)
+
+
 def test_decontamination_odd_rows(spark):
     bench = spark.createDataFrame([(1, "a b c " * 20), (1, "a b c " * 20)], "item_id long, text string")
     df = odd_frame(spark)
