@@ -4,7 +4,9 @@ Tokens are words and their beginnings of 4, 6 and 8 characters, so that rare
 forms share what is known of their stem. Tokens get log-odds between toxic and
 other labelled documents, with an informative Dirichlet prior (Monroe et al.,
 "Fightin' Words"); a document counts 1 + ln(occurrences), as words come in
-bursts. Tokens whose z-score is under ``min_z`` are background, and background
+bursts. A token's z is the signed root of the likelihood ratio of its rates in
+both kinds, which needs no clean use to be large. Tokens whose z is under
+``min_z`` are background, and background
 costs ``drift`` a word, so that scores fall in expected value; a word has the
 weight of its most significant token. A linear-time scan (Ruzzo and Tompa)
 finds all maximal segments. A text's evidence is that of its best segment in
@@ -181,7 +183,10 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, sample_docs: int =
     share = (F.col("a") + F.col("b")) / F.lit(n_a + n_b)
     one, two = F.col("a") + prior * share, F.col("b") + prior * share
     odds = F.log(one / (n_a + prior)) - F.log(two / (n_b + prior))
-    ranked = counts.where(F.length("word") > 0).select("word", "a", "b", odds.alias("odds"), (odds / F.sqrt(1 / one + 1 / two)).alias("z"))
+    # 2 sum of observed ln(observed / expected), 0 where nothing is observed; the variance of log-odds would be that of the prior alone for a word of one kind
+    part = lambda x, n: F.when(F.col(x) > 0, F.col(x) * F.log(F.col(x) / (share * n))).otherwise(0.0)
+    ratio = F.greatest(2 * (part("a", n_a) + part("b", n_b)), F.lit(0.0))
+    ranked = counts.where(F.length("word") > 0).select("word", "a", "b", odds.alias("odds"), (F.signum(odds) * F.sqrt(ratio)).alias("z"))
     top = ranked.where(F.col("z") >= min_z).orderBy(F.desc("z"), "word").limit(max_words).collect()
     model = Model({bytes(r["word"]): (float(r["z"]), float(r["odds"])) for r in top}, drift)
     if not model.weights:

@@ -396,6 +396,20 @@ def test_toxicity_odd_rows(spark):
     assert toxicity.fit(docs.limit(0), labels, F.lit(True)).weights == {}
 
 
+def test_toxicity_words_of_toxic_documents_only(spark):
+    """A word of 12 toxic and no clean documents counts, as one of 12 and 1 does; one as frequent in both kinds doesn't."""
+    texts, labels = [], []
+    for i in range(2000):
+        toxic = i < 100
+        extra = "vaurien" if i < 12 else "schuft" if i < 24 or i == 500 else "fiend" if toxic else "calm"
+        texts.append(f"{extra} {'market' if i % 20 == 0 else 'river'} in the town")
+        labels.append((i, int(toxic)))
+    model = toxicity.fit(frame(spark, texts), spark.createDataFrame(labels, "doc_id long, toxic int"), F.lit(True))
+    assert {b"vaurien", b"schuft", b"fiend"} <= set(model.weights) and not {b"market", b"town", b"calm"} & set(model.weights)
+    got = {r.doc_id: r.score for r in toxicity.score(frame(spark, texts), model).collect()}
+    assert all(got[i] >= 0.5 for i in range(12)) and all(got[i] < 0.5 for i in range(600, 2000))
+
+
 # -- 7 --------------------------------------------------------------------------------------------
 
 
