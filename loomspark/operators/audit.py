@@ -67,6 +67,18 @@ def text_chain(rows: DataFrame, order: str, payload: Column, chain: str | None =
     return digested.withColumn("prev_hash", F.lag("hash", 1, GENESIS).over(w)).withColumn("seq", F.row_number().over(w) - 1)
 
 
+def text_log(rows: DataFrame, order: str, payload: Column, width: int = 1 << 16) -> DataFrame:
+    """line_no (dense, from 0), seq, payload, hash, prev_hash: one chain over all rows by the integer ``order``. Lines are counted within ranges of ``width`` numbers, links come from an equi-join, so no task holds the log."""
+    told = rows.select(F.col(order).alias("_order"), F.floor(F.col(order) / width).alias("_range"), payload.alias("payload"))
+    sizes = told.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))  # a row for each range
+    before = sizes.select("_range", (F.sum("_n").over(W.orderBy("_range")) - F.col("_n")).alias("_before"))
+    within = F.row_number().over(W.partitionBy("_range").orderBy("_order", "payload")) - 1
+    lines = told.withColumn("_within", within).join(before, told["_range"].eqNullSafe(before["_range"]))
+    lines = lines.select((F.col("_before") + F.col("_within")).alias("line_no"), "payload", F.sha2("payload", 256).alias("hash"))
+    links = lines.select((F.col("line_no") + 1).alias("line_no"), F.col("hash").alias("prev_hash"))
+    return lines.join(links, "line_no", "left").select("line_no", F.col("line_no").alias("seq"), "payload", "hash", F.coalesce("prev_hash", F.lit(GENESIS)).alias("prev_hash"))
+
+
 def tail(rows: DataFrame, order: str, n: int) -> DataFrame:
     """O3: the last n, in order."""
     return rows.orderBy(F.desc(order)).limit(n).orderBy(order)

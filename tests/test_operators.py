@@ -18,6 +18,14 @@ def test_chain_finds_tampering(spark):
     assert tuple(check([*lines[:2], "not json", *lines[3:]])) == (False, 2)
 
 
+def test_text_log_verifies_every_line(spark):
+    rows = spark.range(0, 900, 3).select("id", F.concat(F.lit("p"), F.col("id")).alias("p"))
+    log = audit.text_log(rows, "id", F.col("p"), width=64)
+    assert sorted(r.line_no for r in log.collect()) == list(range(300))
+    ask = lambda n: audit.verify(log.withColumn("digest", F.sha2(F.when(F.col("line_no") == n, F.lit("x")).otherwise(F.col("payload")), 256))).first()
+    assert tuple(ask(-1)) == (True, None) and tuple(ask(257)) == (False, 257)
+
+
 def test_chunks(spark):
     docs = spark.createDataFrame([(1, "intro\n# Findings\nbody\n## Recommendation\nmore"), (2, "\n\n".join("x" * 1040 for _ in range(3))), (3, "  \n "), (4, None)], "doc_id long, text string")
     got = [(r.doc_id, r.section, len(r.text)) for r in retrieval.chunks(docs).orderBy("doc_id", "chunk_ix").collect()]
