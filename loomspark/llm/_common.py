@@ -100,6 +100,11 @@ def documents(docs: DataFrame) -> DataFrame:
     )
 
 
+def identified(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key as in ``documents``, and row: all columns in a struct, where their names can't clash."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
 def packed(docs: DataFrame, keep: list) -> DataFrame:
     """row (a struct of the kept columns, whatever their names) and body (the text)."""
     return docs.select(F.struct(*keep).alias("row"), F.col("text").cast("string").alias("body"))

@@ -34,14 +34,14 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
-def components(edges: DataFrame, u: str, v: str, max_rounds: int = 100) -> DataFrame:
+def components(edges: DataFrame, u: str, v: str) -> DataFrame:
     """node, root (the component's smallest node) of each node that has an edge to another one; node types must be ordered longs."""
     spark = edges.sparkSession
     edges = edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where("u <> v").distinct()
     path = written(edges, "edges")
     edges = spark.read.schema("u long, v long").parquet(path)
     before = _signature(edges)
-    for _ in range(max_rounds if before[0] else 0):
+    while before[0]:
         for large in (True, False):
             after_path = written(_star(edges, large), "edges")
             remove(spark, path)
@@ -50,7 +50,4 @@ def components(edges: DataFrame, u: str, v: str, max_rounds: int = 100) -> DataF
         if after == before:
             break
         before = after
-    else:
-        if before[0]:
-            raise RuntimeError(f"no fixed point after {max_rounds} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v"), F.col("v")).distinct())

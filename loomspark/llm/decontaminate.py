@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm._common import LOWER_ALNUM, WordHashes, column_bytes, documents, mix, ship
+from loomspark.llm._common import LOWER_ALNUM, WordHashes, column_bytes, documents, identified, mix, same_document, ship
 
 MASKS = ("11111", "1101011", "1010110011", "11001001011")
 SCHEMA = "doc_id long, text_key long, item_id long, doc_start int, item_start int, n_words int, n_equal int"
@@ -206,9 +206,6 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, min_ide
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """Documents that overlap with no item; columns as they were."""
-    found = overlaps(docs, benchmark, **options).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    rows = docs.withColumn("_text_key", F.xxhash64("text"))
-    hit = rows["doc_id"].cast("long").eqNullSafe(found["_id"]) & (rows["_text_key"] == found["_key"])
-    return rows.join(found, hit, "left_anti").select(*docs.columns)
-
-
+    found = overlaps(docs, benchmark, **options).select("doc_id", "text_key").distinct()
+    rows = identified(docs)
+    return rows.join(found, same_document(rows, found), "left_anti").select("row.*")

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm._common import WordHashes, column_bytes, documents, join_counted, materialise, mix, prefix_sums, same_document, ship, span_hashes
+from loomspark.llm._common import WordHashes, column_bytes, documents, identified, join_counted, materialise, mix, prefix_sums, same_document, ship, span_hashes, with_row
 
 SPANS = "array<struct<start:int,end:int>>"
 
@@ -222,27 +222,23 @@ def without_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 def drop_repeated_passages(docs: DataFrame, min_words: int = 50, k: int = 20) -> DataFrame:
     """Documents without the later occurrences of passages; a document of which no word is left goes. n_chars, if there, follows the text."""
-    found = repeated_passages(docs, min_words, k).where(F.size("removed") > 0)
-    found = found.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("removed").alias("_removed"))
-    rows = docs.withColumn("_text_key", F.xxhash64("text"))
-    rows = rows.join(found, rows["doc_id"].cast("long").eqNullSafe(found["_id"]) & (rows["_text_key"] == found["_key"]), "left").drop("_id", "_key", "_text_key")
-
-    names = docs.columns
+    found = repeated_passages(docs, min_words, k).where(F.size("removed") > 0).select("doc_id", "text_key", "removed")
+    rows = identified(docs)
+    rows = rows.join(found, same_document(rows, found), "left").select("row", F.col("row.text").cast("string").alias("body"), "removed")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, gone = b.column("text").cast(pa.binary()).to_pylist(), []
-            for i, removed in enumerate(b.column("_removed").to_pylist()):
+            texts, keep = b.column("body").cast(pa.binary()).to_pylist(), np.ones(b.num_rows, bool)
+            for i, removed in enumerate(b.column("removed").to_pylist()):
                 if removed:
                     texts[i] = without_spans(texts[i], [(x["start"], x["end"]) for x in removed])
-                    if not texts[i].split():
-                        gone.append(i)
-            out = pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()).cast(pa.string()) if n == "text" else b.column(n) for n in names], names)
-            if gone:
-                keep = np.ones(out.num_rows, bool)
-                keep[gone] = False
-                out = out.filter(pa.array(keep))
-            yield out
-
-    out = rows.mapInArrow(cut, docs.schema)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+                    keep[i] = bool(texts[i].split())
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(texts, pa.binary()).cast(pa.string())], ["row", "body"]).filter(pa.array(keep))
+
+    out = rows.mapInArrow(cut, with_row(rows, "body string"))
+    return out.select(*[
+        F.col("body").cast(f.dataType).alias(f.name) if f.name == "text"
+        else F.length("body").cast(f.dataType).alias(f.name) if f.name == "n_chars"
+        else F.col(f"row.`{f.name}`")
+        for f in docs.schema
+    ])

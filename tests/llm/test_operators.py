@@ -34,7 +34,7 @@ def odd_frame(spark):
     """Nulls in every column, empty and very long texts, repeated rows, and columns with names that the operators use."""
     base = frame(spark, ODD)
     base = base.union(base.where("doc_id = 3")).union(spark.createDataFrame([(None, "null id", None, None, None), (None, None, None, None, None)], DOCS))
-    return base.withColumns({c: F.lit("x") for c in ("text_key", "fingerprint", "component", "prefix", "score", "words", "n_words", "_text", "labels", "item_id")})
+    return base.withColumns({c: F.lit("x") for c in ("text_key", "fingerprint", "component", "prefix", "score", "words", "n_words", "_text", "labels", "item_id", "_id", "_key", "_removed", "_text_key", "row", "body", "removed")})
 
 
 # -- 1 --------------------------------------------------------------------------------------------
