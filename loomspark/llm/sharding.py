@@ -7,12 +7,17 @@ shards of the target size. Only a manifest makes shards part of the store: it
 is written aside and renamed to ``v{n}.json``, which fails if that version is
 there already, so a reader always sees one whole version and one of two
 writers loses. Shards of a lost attempt are never listed; ``vacuum`` removes
-them. A merge reads shards next to each other (the scan packs them, nothing is
-shuffled), and several merges are one Spark job.
-
-Nulls, empty texts, repeated rows and further columns are kept as they are;
-an arrival without rows commits a version without new shards. The driver
-handles a line for each shard, never rows.
+them. Each file to be made is one task that reads as many shards as make up the
+target size (the scan packs them, nothing is shuffled), and all merges of a round
+are one Spark job.
+
+A store's columns are those of all its arrivals: a shard without one of them
+reads as null there. An arrival whose column has another type than before, or
+a name that differs only in case, is refused before anything is written.
+Nulls, empty and long texts, repeated rows and ties are kept as they are, and
+columns of any name; an arrival without rows commits a version without new
+shards. The driver handles a line for each shard, never rows: about 100,000
+lines at 100 TB in shards of 1 GB, for which ``target_bytes`` is there.
 """
 
 from __future__ import annotations
@@ -23,10 +28,24 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from loomspark.llm._common import hadoop_path, shared_dir
 
 
+def merged_schema(old: StructType, new: StructType) -> StructType:
+    """The columns of both, the old ones first; ValueError if a column's types differ or names differ only in case."""
+    known = {f.name.lower(): f for f in old.fields}
+    more = []
+    for f in new.fields:
+        before = known.setdefault(f.name.lower(), f)
+        if before is f:
+            more.append(StructField(f.name, f.dataType))
+        elif (before.name, before.dataType.simpleString()) != (f.name, f.dataType.simpleString()):
+            raise ValueError(f"column {f.name} {f.dataType.simpleString()}: the store has {before.name} {before.dataType.simpleString()}")
+    return StructType([*old.fields, *more])
+
+
 class ShardStore:
     def __init__(self, spark: SparkSession, path: str | None = None, target_bytes: int = 128 << 20, fanout: int = 4):
         self.spark, self.target_bytes, self.fanout = spark, target_bytes, fanout
@@ -70,7 +89,7 @@ class ShardStore:
 
     # -- writing ------------------------------------------------------------------------------
 
-    def _write(self, df: DataFrame, tier_of: int | None = None) -> list[dict]:
+    def _write(self, df: DataFrame) -> list[dict]:
         """Immutable shards of a data frame's partitions, as lines of a manifest."""
         run = uuid.uuid4().hex[:12]
         df.write.parquet(f"{self.path}/data/{run}")
@@ -78,12 +97,13 @@ class ShardStore:
         for s in self._fs.listStatus(self._at(f"data/{run}")):
             name = s.getPath().getName()
             if name.endswith(".parquet") and s.getLen():
-                out.append({"file": f"data/{run}/{name}", "bytes": s.getLen(), "merges": tier_of or 0})
+                out.append({"file": f"data/{run}/{name}", "bytes": s.getLen()})
         return sorted(out, key=lambda x: x["file"])
 
     def append(self, df: DataFrame) -> dict:
         base = self.manifest()
-        return self._commit(base, base["shards"] + self._write(df), df.schema.json())
+        schema = merged_schema(StructType.fromJson(json.loads(base["schema"])) if base["schema"] else StructType(), df.schema)
+        return self._commit(base, base["shards"] + self._write(df), schema.json())
 
     def tier(self, shard: dict) -> int:
         return int(math.log(max(shard["bytes"], 1), self.fanout))
@@ -96,16 +116,20 @@ class ShardStore:
                 tiers.setdefault(self.tier(s), []).append(s)
         return [run for _, run in sorted(tiers.items()) if len(run) >= self.fanout]
 
+    def _packing(self) -> SparkSession:
+        """A session of the same application whose scans pack files into partitions of the target size at most."""
+        own = self.spark.newSession()
+        own.conf.set("spark.sql.files.maxPartitionBytes", str(self.target_bytes))
+        own.conf.set("spark.sql.files.openCostInBytes", "0")
+        own.conf.set("spark.sql.files.minPartitionNum", "1")
+        return own
+
     def compact(self) -> dict:
         """Merge tier after tier until no run is left; each round commits a version."""
         now = self.manifest()
         while runs := self.plan(now["shards"]):
-            merged, gone = [], set()
-            for run in runs:
-                df = self.read_files([s["file"] for s in run], now["schema"])
-                files = max(1, round(sum(s["bytes"] for s in run) / self.target_bytes))
-                merged += self._write(df.coalesce(files), 1 + max(s["merges"] for s in run))
-                gone |= {s["file"] for s in run}
+            gone = {s["file"] for run in runs for s in run}
+            merged = self._write(self.read_files(sorted(gone), now["schema"], self._packing()))
             kept = [s for s in now["shards"] if s["file"] not in gone]
             if len(kept) + len(merged) >= len(now["shards"]):
                 break  # the files can't get fewer
@@ -126,13 +150,11 @@ class ShardStore:
 
     # -- reading ------------------------------------------------------------------------------
 
-    def read_files(self, files: list[str], schema: str) -> DataFrame:
-        from pyspark.sql.types import StructType
-
+    def read_files(self, files: list[str], schema: str, session: SparkSession | None = None) -> DataFrame:
         kind = StructType.fromJson(json.loads(schema))
         if not files:
             return self.spark.createDataFrame([], kind)
-        return self.spark.read.schema(kind).parquet(*[f"{self.path}/{f}" for f in files])
+        return (session or self.spark).read.schema(kind).parquet(*[f"{self.path}/{f}" for f in files])
 
     def read(self, version: int | None = None, shard_column: str | None = None) -> DataFrame:
         """All rows of a version; shard_column: also the shard's name."""
