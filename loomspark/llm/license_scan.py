@@ -1,16 +1,22 @@
 """License scans by diagonal voting [native].
 
-A text's words are hashed in rolling k-grams; the hashes are joined to the
-template's positions (fixed texts below, so the broadcast side is bounded by
-this file). A hit at word p on template position t lies on diagonal p - t.
-Hits are counted by document, template and diagonal; diagonals at most
-``slack`` apart are merged, so that an inserted or missing word doesn't part a
-span, and a span counts if at least ``min_share`` of the template's k-grams
-hit. Short phrases must stand word for word: all their k-grams on one diagonal.
+A text is read and split once. Its words' rolling 2-grams are hashed and joined
+to the template's positions (fixed texts below, so the broadcast side is
+bounded by this file); each hit's words are compared with the template's, so no
+collision counts. A hit at word p on template position t lies on diagonal
+p - t. Votes are aggregated by row, template and diagonal, as a bit for each
+template position. Around each diagonal those at most ``slack`` away are merged,
+so that inserted or missing words don't part a span; what is merged lies within
+the template's length and ``slack`` words on either side, however many
+diagonals there are in a row. A span counts if its diagonals together hold
+``min_share`` of the template's 2-grams, none of the spans of that template that
+it could overlap holds more (of equal ones the first), and no other template
+fits there with a larger share (of equal ones the longer). Short phrases must
+stand word for word: all their 2-grams on one diagonal.
 
 Only DataFrame functions run. Nulls are empty texts; a document without words
-or hits has counts of zero and no label. Rows equal in id and text get equal
-results.
+or hits has counts of zero and no label. Long texts are read whole. Every row
+gets its own result, equal rows equal ones; columns of any name may be there.
 """
 
 from __future__ import annotations
@@ -21,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomspark.llm._common import same_document
+from loomspark.llm._common import materialise
 
 #: Phrases and their labels.
 PHRASES = {
@@ -47,7 +53,6 @@ TEMPLATES = [
 
 #: Bytes that are no part of a word: ASCII but for digits and letters.
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-K = 2
 
 
 def words_of(text: Column) -> Column:
@@ -56,63 +61,75 @@ def words_of(text: Column) -> Column:
 
 
 def grams(words: Column) -> Column:
-    """Hash of each k consecutive words, by place."""
-    n = F.size(words) - (K - 1)
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(K)])))
+    """place, hash and words of each two consecutive words; the last word has no second one."""
+    return F.transform(words, lambda w, i: F.struct(i.alias("p"), F.xxhash64(w, F.get(words, i + 1)).alias("gram"), w.alias("one"), F.get(words, i + 1).alias("two")))
 
 
 def templates(spark: SparkSession) -> DataFrame:
-    """template, label, phrase (must stand word for word), size (words), t (position), gram"""
+    """template, label, phrase (must stand word for word), size (words), t (position), gram, one, two"""
     rows = [(i, label, True, text) for i, (text, label) in enumerate(PHRASES.items())]
     rows += [(len(PHRASES) + i, label, False, text) for i, (label, text) in enumerate(TEMPLATES)]
     df = spark.createDataFrame(rows, "template int, label string, phrase boolean, body string")
     words = F.split("body", " ")
-    return df.select("template", "label", "phrase", F.size(words).alias("size"), F.posexplode(grams(words)).alias("t", "gram"))
+    df = df.select("template", "label", "phrase", F.size(words).alias("size"), F.explode(grams(words)).alias("g")).where("g.two IS NOT NULL")
+    return df.select("template", "label", "phrase", "size", F.col("g.p").alias("t"), "g.gram", F.col("g.one").alias("_one"), F.col("g.two").alias("_two"))
 
 
-def scan(docs: DataFrame, min_share: float = 0.7, slack: int = 2) -> DataFrame:
-    """A row for each span found: doc_id, text_key, template, label, phrase, start (word), end, share (of the template's k-grams)."""
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), words_of(F.col("text")).alias("words"))
-    at = base.select("doc_id", "text_key", F.posexplode(grams(F.col("words"))).alias("p", "gram"))
-    hits = at.join(F.broadcast(templates(docs.sparkSession)), "gram")  # as many rows as this file has template words
-    votes = hits.groupBy("doc_id", "text_key", "template", "label", "phrase", "size", (F.col("p") - F.col("t")).alias("diagonal")).agg(
-        F.count_distinct("t").alias("votes"), F.min("t").alias("low"), F.max("t").alias("high")
+def hits(docs: DataFrame) -> DataFrame:
+    """uid (of the row), doc_id, n_words, p, template, label, phrase, size, t: verified hits, and a row without template for each document."""
+    base = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), words_of(F.col("text")).alias("words"))
+    at = base.select("uid", "doc_id", F.size("words").cast("long").alias("n_words"), F.explode_outer(grams(F.col("words"))).alias("g"))
+    at = at.select("uid", "doc_id", "n_words", "g.*")
+    found = at.join(F.broadcast(templates(docs.sparkSession)), "gram", "left")  # as many rows as this file has template words
+    same = (F.col("one") == F.col("_one")) & (F.col("two") == F.col("_two"))
+    return found.where(same | (F.coalesce("p", F.lit(0)) == 0)).select("uid", "doc_id", "n_words", "p", *[F.when(same, F.col(c)).alias(c) for c in ("template", "label", "phrase", "size", "t")])
+
+
+def spans(found: DataFrame, min_share: float = 0.7, slack: int = 2) -> DataFrame:
+    """uid, template, label, phrase, start (word), end, share (of the template's 2-grams) of each span, from ``hits`` (written)."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("t"))
+    votes = found.where("template IS NOT NULL").groupBy("uid", "template", "label", "phrase", "size", (F.col("p") - F.col("t")).alias("diagonal")).agg(
+        F.bit_or(bit).alias("held"), F.min("p").alias("low"), F.max("p").alias("high")
     )
-    whole = F.col("size") - (K - 1)
-    exact = votes.where(F.col("phrase") & (F.col("votes") == whole)).select(
-        "doc_id", "text_key", "template", "label", "phrase", F.col("diagonal").alias("start"), (F.col("diagonal") + F.col("size")).alias("end"), F.lit(1.0).alias("share")
+    of_phrases = votes.where(F.col("phrase") & (F.bit_count("held") == F.col("size") - 1))
+    near = W.partitionBy("uid", "template").orderBy("diagonal").rangeBetween(-slack, slack)
+    merged = votes.where(~F.col("phrase")).select(
+        "uid", "template", "label", "phrase", "diagonal", "size", F.bit_count(F.bit_or("held").over(near)).alias("votes"), F.min("low").over(near).alias("start"), F.max("high").over(near).alias("high")
     )
-    # neighbouring diagonals: a step of more than slack starts another span
-    by = W.partitionBy("doc_id", "text_key", "template").orderBy("diagonal")
-    loose = votes.where(~F.col("phrase"))
-    loose = loose.withColumn("_new", F.when(F.col("diagonal") - F.lag("diagonal").over(by) <= slack, 0).otherwise(1))
-    loose = loose.withColumn("_run", F.sum("_new").over(by.rowsBetween(W.unboundedPreceding, 0)))
-    spans = loose.groupBy("doc_id", "text_key", "template", "label", "phrase", "size", "_run").agg(
-        F.sum("votes").alias("votes"), F.min(F.col("diagonal") + F.col("low")).alias("start"), F.max(F.col("diagonal") + F.col("high") + K).alias("end")
+    merged = merged.withColumn("share", F.col("votes") / (F.col("size") - 1)).where(F.col("share") >= min_share)
+    # spans of a template overlap if their diagonals are less than its size apart (here, not over 1); other templates fit the same words if theirs are near
+    own = W.partitionBy("uid", "template").orderBy(2 * F.col("diagonal") / (2 * F.col("size") - 1)).rangeBetween(-1, 1)
+    others = W.partitionBy("uid").orderBy("diagonal").rangeBetween(-slack, slack)
+    rank, among = F.struct(F.col("votes"), -F.col("diagonal")), F.struct("share", "votes", -F.col("template"))
+    merged = merged.withColumns({"first": rank == F.max(rank).over(own), "fits": among == F.max(among).over(others)}).where("first AND fits")
+    columns = ["uid", "template", "label", "phrase"]
+    return of_phrases.select(*columns, F.col("low").alias("start"), (F.col("high") + 2).alias("end"), F.lit(1.0).alias("share")).union(
+        merged.select(*columns, "start", (F.col("high") + 2).alias("end"), "share")
     )
-    share = F.least(F.col("votes") / whole, F.lit(1.0))
-    fits = (share >= min_share) & (F.col("end") - F.col("start") <= F.col("size") * 1.5 + slack)
-    return exact.union(spans.where(fits).select("doc_id", "text_key", "template", "label", "phrase", "start", "end", share.alias("share")))
 
 
-def license_report(docs: DataFrame, min_share: float = 0.7) -> DataFrame:
+def scan(docs: DataFrame, min_share: float = 0.7, slack: int = 2) -> DataFrame:
+    """A row for each span found: uid (of the row), doc_id, template, label, phrase, start (word), end, share."""
+    found = materialise(hits(docs), "hits")
+    ids = found.where("coalesce(p, 0) = 0").select("uid", "doc_id").distinct()
+    return spans(found, min_share, slack).join(ids, "uid").select("uid", "doc_id", "template", "label", "phrase", "start", "end", "share")
+
+
+def license_report(docs: DataFrame, min_share: float = 0.7, slack: int = 2) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, n_spans of every row."""
-    found = scan(docs, min_share)
-    per = found.groupBy("doc_id", "text_key").agg(
-        F.count(F.when(F.col("phrase"), 1)).alias("n_base"),
-        F.min(F.when(F.col("phrase"), F.col("start"))).cast("long").alias("first_word"),
-        F.max(F.when(F.col("phrase"), F.col("start"))).cast("long").alias("last_word"),
-        F.array_join(F.array_sort(F.collect_set(F.when(F.col("phrase"), F.col("label")))), ",").alias("base_labels"),
+    found = materialise(hits(docs), "hits")
+    rows = found.where("coalesce(p, 0) = 0").select("uid", "doc_id", "n_words")
+    each = rows.unionByName(spans(found, min_share, slack), allowMissingColumns=True)
+    base = lambda x: F.when(F.col("phrase"), F.col(x))
+    out = each.groupBy("uid").agg(
+        F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.count(base("start")).alias("n_base"),
+        F.min(base("start")).cast("long").alias("first_word"), F.max(base("start")).cast("long").alias("last_word"),
+        F.array_join(F.array_sort(F.collect_set(base("label"))), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels"),
-        F.max("share").alias("score"), F.count(F.lit(1)).alias("n_spans"),
-    )
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
-    out = rows.join(per, same_document(rows, per), "left")
-    return out.select(
-        rows["doc_id"], "n_words", F.coalesce("n_base", F.lit(0)).alias("n_base"), "first_word", "last_word",
-        F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"),
-        F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"),
+        F.coalesce(F.max("share"), F.lit(0.0)).alias("score"), F.count("template").alias("n_spans"),
     )
+    return out.drop("uid")
 
 
+assert max(len(t.split()) for _, t in TEMPLATES) <= 64  # a bit for each 2-gram
 assert all(re.fullmatch("[a-z0-9 ]+", x) for x in [*PHRASES, *[t for _, t in TEMPLATES]])
