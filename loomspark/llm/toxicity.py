@@ -9,16 +9,23 @@ both kinds, which needs no clean use to be large. Tokens whose z is under
 ``min_z`` are background, and background
 costs ``drift`` a word, so that scores fall in expected value; a word has the
 weight of its most significant token. A linear-time scan (Ruzzo and Tompa)
-finds all maximal segments. A text's evidence is that of its best segment in
-extreme-value form (Karlin and Altschul): lambda S - ln(K n), with lambda and K
-fitted on clean documents; segments whose expected number in a clean text of
-that length is under ``max_expected`` are significant. A logistic curve of
-evidence, fitted on the same labelled rows, gives the score.
+finds all maximal segments. Scores are taken in extreme-value form (Karlin and
+Altschul): x = lambda S - ln(K n), with lambda and K fitted on clean documents;
+segments whose expected number in a clean text of that length is under
+``max_expected`` are significant, and all of them are returned. A text's
+evidence is that of its significant segments together: the largest, over r, of
+-ln of the chance that the r best of a clean text sum up to as much (Karlin and
+Altschul's sum statistic, e^-t t^(r-1) / (r! (r-1)!) for the sum t), with ln 2
+off for each further segment. Without a significant one it is the best x. A
+logistic curve of evidence, fitted on the same labelled rows, gives the score.
 
 Fitted on a bounded sample: ``sample_docs`` labelled documents with the
-smallest hash of their id. The model is at most ``max_words`` tokens and is
-broadcast. Null and empty texts have no evidence and get the curve's score for
-that. Without labelled rows of both kinds the score is 0.
+smallest hash of their id (then the smallest id), written once. The model is
+the ``max_words`` most significant tokens of that sample and is broadcast.
+Labels of one id: toxic if any says so. Null and empty texts have no evidence
+and get the curve's score for that; long texts are read whole. Every row gets
+its own result, equal ones the same; columns of any name are kept. Without
+labelled rows of both kinds the score is 0.
 """
 
 from __future__ import annotations
@@ -30,6 +37,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,7 +61,11 @@ class Weights(dict):
 def tokens_of(word: bytes) -> list[bytes]:
     """The word, and its beginnings, marked by a star."""
     text = word.decode("utf-8", "replace")
-    return [word, *[text[:n].encode() + b"*" for n in (4, 6, 8) if len(text) >= n]]
+    return [word if len(word) <= LONG else b"#" + xxhash.xxh3_128_digest(word), *[text[:n].encode() + b"*" for n in (4, 6, 8) if len(text) >= n]]
+
+
+#: Bytes of a word beyond which its digest stands for it.
+LONG = 64
 
 
 @dataclass
@@ -69,9 +81,10 @@ class Model:
 def maximal_segments(positions: list[int], scores: list[float], drift: float) -> list[tuple[int, int, float]]:
     """(start, end, score) of all maximal-scoring segments of a sequence that is -drift but for these positions; scores > 0 start them.
 
-    Ruzzo and Tompa's algorithm; stretches of background are one step.
+    Ruzzo and Tompa's algorithm; stretches of background are one step. Each candidate knows the nearest one before it that starts lower, where its own
+    search ended, so that no search walks over the same candidates again.
     """
-    out: list[list[float]] = []  # start, end, left total, right total
+    out: list[tuple[int, int, float, float, int]] = []  # start, end, left total, right total, nearest candidate with a lower left total
     total, at = 0.0, 0
     for p, s in zip(positions, scores):  # noqa: B905
         total -= drift * (p - at)
@@ -79,36 +92,52 @@ def maximal_segments(positions: list[int], scores: list[float], drift: float) ->
         if s <= 0:
             total += s
             continue
-        now = [p, p + 1, total, total + s]
+        start, left = p, total
         total += s
+        j = len(out) - 1
         while True:
-            j = len(out) - 1
-            while j >= 0 and out[j][2] >= now[2]:
-                j -= 1
-            if j < 0 or out[j][3] >= now[3]:
+            while j >= 0 and out[j][2] >= left:
+                j = out[j][4]
+            if j < 0 or out[j][3] >= total:
                 break
-            now = [out[j][0], now[1], out[j][2], now[3]]
+            start, _, left, _, lower = out[j]
             del out[j:]
-        out.append(now)
-    return [(int(a), int(b), right - left) for a, b, left, right in out]
+            j = lower
+        out.append((start, at, left, total, j))
+    return [(a, b, right - left) for a, b, left, right, _ in out]
 
 
 def words_of(text: bytes) -> list[bytes]:
     return text.translate(LOWER_ALNUM).split()
 
 
-def evidence(text: bytes, model: Model, known: Weights) -> tuple[float, list[tuple[int, int, float]], int]:
-    """(lambda S - ln(K n) of the best segment, at least -20; significant segments; words)"""
+def segments(text: bytes, known: Weights, drift: float) -> tuple[list[tuple[int, int, float]], int, int]:
+    """(maximal segments, words, known words)"""
     words = words_of(text)
     hits = [(i, w) for i, w in enumerate(map(known.__getitem__, words)) if w is not None]
-    if not hits:
-        return -20.0, [], len(words)
-    found = maximal_segments([i for i, _ in hits], [w for _, w in hits], model.drift)
+    return maximal_segments([i for i, _ in hits], [w for _, w in hits], drift), len(words), len(hits)
+
+
+def together(x: list[float]) -> float:
+    """Evidence of significant segments: the best of -ln of the chances of the 1, 2, .. largest."""
+    best = total = 0.0
+    for r, own in enumerate(sorted(x, reverse=True), 1):
+        total += own
+        chance = -total + (r - 1) * math.log(max(total, 1.0)) - math.lgamma(r + 1) - math.lgamma(r) + (r - 1) * math.log(2)
+        best = max(best, -chance)
+    return best
+
+
+def evidence(text: bytes, model: Model, known: Weights) -> tuple[float, list[tuple[int, int, float]], int]:
+    """(evidence, at least -20; significant segments; words)"""
+    found, n, _ = segments(text, known, model.drift)
     if not found:
-        return -20.0, [], len(words)
-    base = model.ln_k + math.log(len(words))
-    best = max(model.lam * s - base for _, _, s in found)
-    return max(best, -20.0), [x for x in found if model.lam * x[2] - base > -math.log(model.max_expected)], len(words)
+        return -20.0, [], n
+    base = model.ln_k + math.log(n)
+    significant = [x for x in found if model.lam * x[2] - base > -math.log(model.max_expected)]
+    if significant:
+        return together([model.lam * s - base for _, _, s in significant]), significant, n
+    return max(model.lam * max(s for _, _, s in found) - base, -20.0), [], n
 
 
 def _lambda(scores: np.ndarray, shares: np.ndarray) -> float:
@@ -136,7 +165,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float,
     return float(w[0] - w[1] * centre / width), float(w[1] / width)
 
 
-def fit(docs: DataFrame, labels: DataFrame, allowed: Column, sample_docs: int = 12_000, max_words: int = 20_000, prior: float = 50.0, min_z: float = 4.0, drift: float = 0.02) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, allowed: Column, sample_docs: int = 12_000, max_words: int = 200_000, prior: float = 50.0, min_z: float = 4.0, drift: float = 0.02) -> Model:
     """A model from the labelled rows for which ``allowed`` (a condition on ``doc_id``) holds."""
     spark = docs.sparkSession
     ship(spark)
@@ -146,6 +175,7 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, sample_docs: int =
     chosen_rows = spark.createDataFrame([(r["doc_id"], r["toxic"]) for r in chosen], "_id long, toxic int")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sample = rows.join(F.broadcast(chosen_rows), rows["doc_id"] == chosen_rows["_id"])  # at most sample_docs rows of 12 bytes
+    sample = materialise(sample.select("text", "toxic").repartition(spark.sparkContext.defaultParallelism), "sample")
 
     def each_token(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -156,9 +186,8 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, sample_docs: int =
                     own = Counter(words_of(text))
                     seen: Counter = Counter({b"": 1})
                     for w, n in own.items():
-                        if len(w) <= 64:
-                            for x in tokens_of(w):
-                                seen[x] += n
+                        for x in tokens_of(w):
+                            seen[x] += n
                     for x, n in seen.items():
                         into = sums.setdefault((x, t), [0.0, 0])
                         into[0] += 1 + math.log(n)
@@ -168,7 +197,7 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, sample_docs: int =
                     ["word", "toxic", "amount", "docs"],
                 )
 
-    held = sample.select("text", "toxic").mapInArrow(each_token, "word binary, toxic int, amount double, docs long")
+    held = sample.mapInArrow(each_token, "word binary, toxic int, amount double, docs long")
     counts = held.groupBy("word").agg(
         F.sum(F.when(F.col("toxic") == 1, F.col("amount")).otherwise(0.0)).alias("a"), F.sum(F.when(F.col("toxic") == 1, 0.0).otherwise(F.col("amount"))).alias("b"), F.sum("docs").alias("docs")
     )
@@ -199,14 +228,12 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, sample_docs: int =
         for b in batches:
             got = []
             for text in column_bytes(b, "text"):
-                words = words_of(text)
-                hits = [(i, w) for i, w in enumerate(map(known.__getitem__, words)) if w is not None]
-                best = max((s for _, _, s in maximal_segments([i for i, _ in hits], [w for _, w in hits], drift)), default=0.0)
-                got.append((best, len(words), len(hits)))
+                found, words, hits = segments(text, known, drift)
+                got.append((max((s for _, _, s in found), default=0.0), words, hits))
             cols = list(zip(*got)) or [(), (), ()]  # noqa: B905
             yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(cols[0], pa.float64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], ["toxic", "best", "words", "hits"])
 
-    seen = sample.select("toxic", "text").mapInArrow(scan, "toxic int, best double, words long, hits long").collect()  # sample_docs rows of numbers
+    seen = sample.mapInArrow(scan, "toxic int, best double, words long, hits long").collect()  # sample_docs rows of numbers
     toxic, best, words, hits = (np.array([r[i] for r in seen], float) for i in range(4))
     clean = toxic == 0
     # background of clean texts: the model's words at their clean rates, all else -drift
@@ -219,8 +246,9 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, sample_docs: int =
     level = max(float(np.median(weights)), 1e-6)
     seen_over = max(float((best[clean] >= level).sum()), 0.5)
     model.ln_k = math.log(seen_over / n_words) + model.lam * level
-    x = np.where(best > 0, model.lam * best - model.ln_k - np.log(np.maximum(words, 1)), -20.0)
-    model.curve = _logistic(np.maximum(x, -20.0), toxic)
+    known = scored(sample.select(F.struct("toxic").alias("row"), F.col("text").alias("body")), model)
+    curve = known.select("row.toxic", "evidence").collect()  # sample_docs rows of numbers
+    model.curve = _logistic(np.array([r["evidence"] for r in curve]), np.array([r["toxic"] for r in curve], float))
     return model
 
 
