@@ -9,22 +9,29 @@ compared word by word, and any stretch of ``min_words`` words or more (or of
 the item's length, if that is less) with a share of ``min_identity`` equal
 words is an overlap. Its ends are those of the best-scoring stretch (match +1,
 mismatch ``-mismatch``) if that is one, else of the stretch that exceeds the
-share by most words. The masks hit every stretch of 13 words or more at 0.8,
+share by most words; what is left of the diagonal on either side is searched
+again. All overlaps are returned, but of those of one item that share words of
+the document only the one with most equal words (of equal ones the first). The
+masks hit every stretch of 13 words or more at 0.8,
 and of 8, 9, 11 and 12; with replaced words, items of 5, 6, 7 and 10 words can
 be missed.
 
 The benchmark is taken in blocks of at most ``block_chars`` characters, by
 hash of its rows; each block is broadcast and run against all documents, so
-its size bounds every worker's memory however large the benchmark is.
+its size bounds every worker's memory however large the benchmark is. The join
+of hashes so is a broadcast hash join, done where the hashes are made: shuffling
+4 hashes a word would be several times the corpus.
 
 Words are lower-cased (A-Z) runs of letters, digits and non-ASCII characters.
-Null and empty texts have no overlap. Items shorter than the shortest mask are
+Null and empty texts have no overlap, long ones are searched whole. Items shorter than the shortest mask are
 found only by their whole sequence of words. Equal items have a row each. Rows
-equal in id and text get equal rows.
+equal in id and text get equal rows. Columns of any name may be there, and are kept
+by ``drop_contaminated``.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 from collections.abc import Iterator
 
@@ -99,18 +106,19 @@ class Index:
             if 0 < len(h) < min(map(len, masks)):
                 self.short.setdefault(len(h), {}).setdefault(h.tobytes(), []).append(i)
 
-    def hits(self, h: np.ndarray) -> set[tuple[int, int]]:
-        """(place in the words - place in the item, item's number)"""
-        out: set[tuple[int, int]] = set()
+    def hits(self, h: np.ndarray) -> list[tuple[int, int]]:
+        """(place in the words - place in the item, item's number), each once"""
+        n = max(len(self.items), 1)
+        out = [np.empty(0, np.int64)]
         for found in seeds(h, self.masks):
             at = np.flatnonzero(self.table[(found & self.mask).astype(np.int64)])
-            if not len(at):
-                continue
             first = np.searchsorted(self.keys, found[at], "left")
-            last = np.searchsorted(self.keys, found[at], "right")
-            for p, a, z in zip(at[last > first].tolist(), first[last > first].tolist(), last[last > first].tolist()):  # noqa: B905
-                out.update((p - j, i) for i, j in self.where[a:z].tolist())
-        return out
+            size = np.searchsorted(self.keys, found[at], "right") - first
+            known = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+            item, place = self.where[known].T
+            out.append(np.unique((np.repeat(at, size) - place) * n + item))
+        diagonal, item = np.divmod(np.unique(np.concatenate(out)), n)
+        return list(zip(diagonal.tolist(), item.tolist()))  # noqa: B905
 
 
 def best_stretch(equal: np.ndarray, mismatch: float) -> tuple[int, int]:
@@ -133,22 +141,45 @@ def similar_stretch(equal: np.ndarray, least: int, identity: float) -> tuple[int
     return (int(np.argmin(sums[: k + 1])), k + least) if over[k] > -1e-6 else None
 
 
+def stretches(equal: np.ndarray, least: int, identity: float, mismatch: float) -> list[tuple[int, int]]:
+    """[start, end) of all overlaps along a diagonal: the best one, and those of what is left on either side."""
+    out, todo = [], [(0, len(equal))]
+    while todo:
+        low, high = todo.pop()
+        if high - low < least:
+            continue
+        own = equal[low:high]
+        a, z = best_stretch(own, mismatch)
+        if z - a < least or own[a:z].sum() < identity * (z - a):
+            found = similar_stretch(own, least, identity)
+            if found is None:
+                continue
+            a, z = found
+        out.append((low + a, low + z))
+        todo += [(low, low + a), (low + z, high)]
+    return out
+
+
+def apart(found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """Of (equal words, start in the document, start in the item, words): those with most equal words that share no word of the document, in order."""
+    out: list[tuple[int, int, int, int]] = []
+    starts: list[int] = []
+    for x in sorted(set(found), key=lambda x: (-x[0], *x[1:])):
+        i = bisect.bisect(starts, x[1])
+        if (i and out[i - 1][1] + out[i - 1][3] > x[1]) or (i < len(out) and out[i][1] < x[1] + x[3]):
+            continue
+        out.insert(i, x)
+        starts.insert(i, x[1])
+    return out
+
+
 def _search(index: Index, min_words: int, min_identity: float, mismatch: float):
-    def verify(h: np.ndarray, diagonal: int, item: int):
+    def verified(h: np.ndarray, diagonal: int, item: int) -> Iterator[tuple[int, int, int, int]]:
         words = index.items[item][1]
         s, e = max(0, diagonal), min(len(h), diagonal + len(words))
-        least = min(min_words, len(words))
-        if e - s < least:
-            return None
         equal = h[s:e] == words[s - diagonal : e - diagonal]
-        a, z = best_stretch(equal, mismatch)
-        if z - a < least or equal[a:z].sum() < min_identity * (z - a):
-            found = similar_stretch(equal, least, min_identity)
-            if found is None:
-                return None
-            a, z = found
-        same = int(equal[a:z].sum())
-        return same, -(s + a), s + a - diagonal, z - a
+        for a, z in stretches(equal, min(min_words, len(words)), min_identity, mismatch):
+            yield int(equal[a:z].sum()), s + a, s + a - diagonal, z - a
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -157,22 +188,22 @@ def _search(index: Index, min_words: int, min_identity: float, mismatch: float):
             h = hashes.of([w for words in texts for w in words])
             ends = np.cumsum([len(x) for x in texts])
             starts = ends - [len(x) for x in texts]
-            best: dict[tuple[int, int], tuple] = {}
+            found: dict[tuple[int, int], list[tuple[int, int, int, int]]] = {}
             # the batch's words as one sequence; a hit across two texts fails where it is verified
             for diagonal, item in index.hits(h):
                 size = len(index.items[item][1])
                 for d in range(int(np.searchsorted(ends, max(diagonal, 0), "right")), len(texts)):
                     if starts[d] >= diagonal + size:
                         break
-                    if found := verify(h[starts[d] : ends[d]], diagonal - int(starts[d]), item):
-                        best[d, item] = max(best.get((d, item), found), found)
+                    if ends[d] > starts[d] and (some := list(verified(h[starts[d] : ends[d]], diagonal - int(starts[d]), item))):
+                        found.setdefault((d, item), []).extend(some)
             for size, known in index.short.items():
                 for d in range(len(texts)):
                     own = h[starts[d] : ends[d]]
                     for p in range(len(own) - size + 1):
                         for item in known.get(own[p : p + size].tobytes(), ()):
-                            best.setdefault((d, item), (size, -p, 0, size))
-            rows = [(d, index.items[i][0], -v[1], v[2], v[3], v[0]) for (d, i), v in sorted(best.items())]
+                            found.setdefault((d, item), []).append((size, p, 0, size))
+            rows = [(d, index.items[i][0], p, j, n, same) for (d, i), some in sorted(found.items()) for same, p, j, n in apart(some)]
             which = pa.array([r[0] for r in rows], pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id").take(which), b.column("text_key").take(which), pa.array([r[1] for r in rows], pa.int64()), *[pa.array([r[c] for r in rows], pa.int32()) for c in range(2, 6)]],
@@ -183,7 +214,7 @@ def _search(index: Index, min_words: int, min_identity: float, mismatch: float):
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, min_identity: float = 0.8, mismatch: float = 3.0, masks: tuple[str, ...] = MASKS, block_chars: int = 16 << 20) -> DataFrame:
-    """doc_id, text_key, item_id, doc_start, item_start, n_words, n_equal: the best overlap of each document and item that have one."""
+    """doc_id, text_key, item_id, doc_start, item_start, n_words, n_equal: the overlaps of each document and item."""
     spark = docs.sparkSession
     ship(spark)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where(F.length("text") > 0)
