@@ -6,14 +6,18 @@ dictionary, and the language whose dictionary makes the whole text smallest
 wins. Chunks keep the dictionary in reach over the whole of a long text.
 
 The model is fitted on a bounded sample: of each language the ``sample_docs``
-labelled documents with the smallest hash of their id, cut to ``dict_bytes``
-of text. It is broadcast; its size is at most ``max_languages`` times
-``dict_bytes`` (more languages than that raise an error, none is dropped).
+labelled documents (with some text) whose ids have the smallest hash. Each gives
+pieces from all over its text, as many bytes of each document as fit if all of
+them are to have a share of ``dict_bytes``. The model is broadcast: at most
+``total_bytes``, and if there are more languages than have room in it, their
+dictionaries and samples get smaller in proportion; none is dropped.
 
 Null text, or text without a letter: ``und``, score 0. ``rejected`` marks
 texts whose margin (the best size below the second best, as a share) is under
 ``min_margin``; they keep their best guess in ``lang_pred``. Equal sizes: the
-language with more labelled documents, then the first by name. Without any labelled row all is ``und``.
+language with more labelled documents, then the first by name. Long texts are
+compressed whole. Every row gets its own result, equal ones the same; columns
+of any name may be there. Without any labelled row all is ``und``.
 """
 
 from __future__ import annotations
@@ -38,28 +42,53 @@ def letters(text: bytes) -> bytes:
     return _NOT_LETTERS.sub(b" ", text.translate(LOWER))
 
 
-def fit(labelled: DataFrame, sample_docs: int = 400, dict_bytes: int = 110 << 10, max_languages: int = 256) -> dict[str, bytes]:
+PIECES = 4
+
+
+def pieces(text: Column, chars: int) -> Column:
+    """Of a text of over ``chars`` characters, that many from ``PIECES`` places over all of it."""
+    each, n = chars // PIECES, F.length(text)
+    # where in its quarter a piece starts differs from text to text
+    free = F.greatest(F.floor(n / PIECES) - each, F.lit(0)).cast("long")
+    start = lambda k: (F.floor(n * k / PIECES) + F.pmod(F.xxhash64(text, F.lit(k)), free + 1) + 1).cast("int")
+    return F.when(n <= chars, F.array(text)).otherwise(F.array(*[text.substr(start(k), F.lit(each)) for k in range(PIECES)]))
+
+
+def share(sizes: list[int], most: int) -> int:
+    """The largest s for which the sum of min(size, s) is at most ``most``."""
+    left, at = most, len(sizes)
+    for x in sorted(sizes):
+        if x * at > left:
+            return left // at
+        left, at = left - x, at - 1
+    return max(sizes, default=0)
+
+
+def fit(labelled: DataFrame, sample_docs: int = 400, dict_bytes: int = 110 << 10, total_bytes: int = 28 << 20) -> dict[str, bytes]:
     """lang -> dictionary, of the rows with a lang and a text; the most frequent language first."""
     rows = labelled.select(
         F.xxhash64(F.col("doc_id").cast("string")).alias("h"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")
-    ).where(F.col("lang").isNotNull())
-    # the sample's bounds come from ids alone, so that no text is sorted or shuffled
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(max_languages + 1).collect()
-    if len(counts) > max_languages:
-        raise ValueError(f"more than {max_languages} languages: raise max_languages")
-    ranked = rows.select("lang", "h", F.row_number().over(W.partitionBy("lang").orderBy("h")).alias("n")).where(F.col("n") <= sample_docs)
-    bounds = ranked.groupBy("lang").agg(F.max("h").alias("bound")).collect()
-    if not bounds:
+    ).where(F.col("lang").isNotNull() & (F.length("text") > 0))
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each language
+    if not counts:
         return {}
-    bounds = labelled.sparkSession.createDataFrame([(r["lang"], r["bound"]) for r in bounds], "_lang string, bound long")
-    part = max(4 * dict_bytes // sample_docs, 512)
-    sample = rows.join(F.broadcast(bounds), (rows["lang"] == bounds["_lang"]) & (rows["h"] <= bounds["bound"]))  # max_languages rows
-    sample = sample.select("lang", "h", F.substring("text", 1, part).alias("text")).where(F.length("text") > 0).orderBy("lang", "h", "text")
-    out: dict[str, list[bytes]] = {}
+    room = min(dict_bytes, max(total_bytes // len(counts), 1))
+    docs = max(1, min(sample_docs, sample_docs * room // dict_bytes))
+    # hashes are spread evenly: four times as many rows as wanted lie under this bound, and only these are ranked
+    limits = labelled.sparkSession.createDataFrame([(x, min((1 << 63) - 1, int((8 * docs / n - 1) * (1 << 63)))) for x, n in counts.items()], "_lang string, bound long")
+    chars = max(4 * dict_bytes // sample_docs, 512)
+    near = rows.join(F.broadcast(limits), (rows["lang"] == limits["_lang"]) & (rows["h"] <= limits["bound"]))  # a row for each language
+    near = near.select("lang", "h", pieces(F.col("text"), chars).alias("parts"))
+    sample = near.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("h", "parts"))).where(F.col("n") <= docs).orderBy("lang", "n")
+    found: dict[str, list[list[bytes]]] = {}
     for r in sample.toLocalIterator():
-        out.setdefault(r["lang"], []).append(letters(r["text"].encode()))
-    order = {r["lang"]: (-r["n"], r["lang"]) for r in counts}
-    return {lang: b" ".join(out[lang])[:dict_bytes] for lang in sorted(out, key=order.__getitem__)}
+        found.setdefault(r["lang"], []).append([letters(x.encode()) for x in r["parts"]])
+    out = {}
+    for lang in sorted(found, key=lambda x: (-counts[x], x)):
+        most = share([sum(map(len, x)) + len(x) for x in found[lang]], room)
+        cut = lambda x: [p[: most // len(x) - 1] for p in x] if sum(map(len, x)) + len(x) > most else x  # noqa: B023, E731
+        out[lang] = b" ".join(p for x in found[lang] for p in cut(x))[:room]
+    return out
 
 
 class Model:
