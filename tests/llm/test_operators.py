@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
@@ -227,19 +228,62 @@ def test_near_copies_against_all_pairs(spark, most):
     assert {r.doc_id for r in kept} == set(want.values())
 
 
-def test_components_of_a_path(spark):
-    df = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (5, 5)], "u long, v long")
-    got = {r.node: r.root for r in components.components(df, "u", "v").collect()}
+@pytest.mark.parametrize("small", [0, 1000])
+def test_components_of_a_path(spark, small):
+    df = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (5, 5), (101, 100)], "u long, v long")
+    got = {r.node: r.root for r in components.components(df, "u", "v", small).collect()}
     assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100}
+    assert components.components(df.limit(0), "u", "v", small).count() == 0
+
+
+def test_labels_of_random_graphs():
+    rng = random.Random(9)
+    for n in (1, 5, 40, 300):
+        edges = [(rng.randint(-n, n), rng.randint(-n, n)) for _ in range(n)]
+        linked = {frozenset(e) for e in edges}
+        want = brute_components(sorted({x for e in edges for x in e}), lambda a, b: frozenset((a, b)) in linked)
+        node, root = components.labels(*np.array(edges).T)
+        assert dict(zip(node.tolist(), root.tolist())) == want
 
 
 # -- 3 --------------------------------------------------------------------------------------------
 
 
 def test_sharding_keeps_every_row(spark, sf_dir):
-    got = queries.op3_sharding(spark, sf_dir).collect()
-    want = Counter(r[0] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.xxhash64("doc_id", "text", "lang", "source", "n_chars")).collect())
-    assert Counter(r.row_hash for r in got) == want
+    duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    out = queries.op3_sharding(spark, sf_dir)
+    cols = ", ".join(out.columns)
+    assert Counter(map(tuple, out.collect())) == Counter(duckdb.sql(f"SELECT {cols} FROM ({queries.OP3_SQL})").fetchall())
+
+
+def test_sharding_reaches_the_target(spark):
+    target = 64 << 10
+    store = sharding.ShardStore(spark, target_bytes=target, fanout=4)
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("abcdefghij", k=2000)) for _ in range(400)]
+    for i in range(8):
+        store.append(frame(spark, texts[50 * i : 50 * i + 50], range(50 * i, 50 * i + 50)).repartition(4))
+    small = store.manifest()["shards"]
+    now = store.compact()
+    sizes = [s["bytes"] for s in now["shards"]]
+    assert len(small) == 32 and max(s["bytes"] for s in small) < target // 2
+    assert min(sizes) >= target // 2 and max(sizes) <= 2 * target
+    assert {r.doc_id: r.text for r in store.read().collect()} == dict(enumerate(texts))
+
+
+def test_sharding_keeps_the_columns_of_all_arrivals(spark):
+    store = sharding.ShardStore(spark, target_bytes=1 << 20, fanout=2)
+    store.append(spark.createDataFrame([(1, "a", 7)], "doc_id long, text string, more int").coalesce(1))
+    store.append(spark.createDataFrame([(2, "b")], "doc_id long, text string").coalesce(1))
+    store.append(spark.createDataFrame([("x", 3)], "late string, doc_id long").coalesce(1))
+    for bad in ("doc_id string", "DOC_ID long"):
+        with pytest.raises(ValueError, match="the store has"):
+            store.append(spark.createDataFrame([], bad))
+    want = [(1, "a", 7, None), (2, "b", None, None), (3, None, None, "x")]
+    assert sorted(map(tuple, store.read().collect())) == want
+    assert len(store.compact()["shards"]) == 1
+    store.vacuum()
+    assert store.read().columns == ["doc_id", "text", "more", "late"] and sorted(map(tuple, store.read().collect())) == want
 
 
 def test_sharding_tiers_and_versions(spark):
@@ -374,6 +418,24 @@ def test_maximal_segments():
         assert [(a, b) for a, b, _ in got] == brute_segments(scores)
 
 
+def test_maximal_segments_take_linear_time():
+    """Isolated hits, whose left totals fall: the search for a lower one must not start anew each time."""
+    n = 200_000
+    start = time.perf_counter()
+    assert len(toxicity.maximal_segments(list(range(0, 100 * n, 100)), [1.0] * n, 0.02)) == n
+    assert time.perf_counter() - start < 10
+
+
+def test_significant_segments_add_up():
+    assert toxicity.together([5.0]) == 5.0
+    assert toxicity.together([5.0, 4.0]) > toxicity.together([5.0, 3.2]) >= 5.0
+    model = toxicity.Model({b"bad": (9.0, 3.0)}, lam=1.0, ln_k=-2.0)
+    known = toxicity.Weights(model.weights)
+    one, two = (toxicity.evidence(b"fine " * 400 + b"bad bad bad bad bad " + b"fine " * 1000 + b"bad bad bad bad bad " * k + b"fine " * 400, model, known) for k in (0, 1))
+    assert len(one[1]) == 1 and len(two[1]) == 2 and two[0] > one[0]
+    assert toxicity.tokens_of(b"x" * 70)[0] != toxicity.tokens_of(b"x" * 71)[0]
+
+
 def test_toxicity_query(spark):
     sf_dir = "/root/testdata/sf0.1"
     toxic = {r.doc_id: r.toxic for r in rows_of(spark, sf_dir, "labels")}
@@ -429,6 +491,52 @@ def test_license_query(spark):
     assert any(r.n_base for r in got)
 
 
+def brute_template_spans(text, min_share=0.7, slack=2):
+    """(label, start, end, share) of each template's spans: a diagonal and its neighbours hold enough 2-grams, and no overlapping one holds more."""
+    words = [w for w in re.split(license_scan.NOT_WORD, (text or "").translate(LOWER)) if w]
+    found = []
+    for k, (label, body) in enumerate(license_scan.TEMPLATES):
+        t = body.split()
+        pairs = {(p - i): set() for i in range(len(t) - 1) for p in range(len(words) - 1) if words[p : p + 2] == t[i : i + 2]}
+        for d, held in pairs.items():
+            held |= {i for i in range(len(t) - 1) if 0 <= d + i < len(words) - 1 and words[d + i : d + i + 2] == t[i : i + 2]}
+        for d in pairs:
+            own = [(e + i, i) for e in pairs if abs(e - d) <= slack for i in pairs[e]]
+            votes = len({i for _, i in own})
+            if votes / (len(t) - 1) >= min_share:
+                found.append((k, d, votes, votes / (len(t) - 1), (label, min(own)[0], max(own)[0] + 2, votes / (len(t) - 1)), len(t)))
+    out = set()
+    for k, d, votes, share, row, size in found:
+        if all((votes, -d) >= (v, -e) for j, e, v, *_ in found if j == k and abs(e - d) < size) and all((share, votes, -k) >= (x, v, -j) for j, e, v, x, *_ in found if abs(e - d) <= slack):
+            out.add(row)
+    return out
+
+
+def test_license_labels_against_brute_force(spark):
+    rng = random.Random(11)
+    texts = ["this work " * 12 + license_scan.TEMPLATES[8][1], license_scan.TEMPLATES[7][1] * 2, " ".join([license_scan.TEMPLATES[7][1]] * 3), "", None, "cc by", "this work " * 50]
+    for _ in range(60):
+        parts = []
+        for _ in range(rng.randint(1, 3)):
+            own = rng.choice(license_scan.TEMPLATES)[1].split()
+            for _ in range(rng.randint(0, 4)):
+                at = rng.randrange(len(own))
+                own[at : at + rng.randint(0, 1)] = rng.choice([["new"], [], ["license"], own[:2]])
+            parts += ["x"] * rng.randint(0, 3) + own
+        texts.append(" ".join(parts))
+    docs = frame(spark, texts)
+    got = defaultdict(set)
+    for r in license_scan.scan(docs).where("not phrase").collect():
+        got[r.doc_id].add((r.label, r.start, r.end, r.share))
+    want = {i: brute_template_spans(t) for i, t in enumerate(texts)}
+    assert got == {i: x for i, x in want.items() if x}
+    assert {x[0] for x in want[0]} == {"cc-by"} and len(want[2]) == 3
+    for r in license_scan.license_report(docs).collect():
+        base = set(filter(None, r.base_labels.split(",")))
+        assert set(filter(None, r.labels.split(","))) == base | {x[0] for x in want[r.doc_id]}
+        assert r.score == max([1.0 if base else 0.0, *[x[3] for x in want[r.doc_id]]])
+
+
 def test_license_spans(spark):
     mit = license_scan.TEMPLATES[0][1].split()
     texts = [
@@ -449,25 +557,45 @@ def test_license_spans(spark):
 # -- 8 --------------------------------------------------------------------------------------------
 
 
-def brute_overlap(doc, item, least=13, identity=0.8, mismatch=3.0):
-    d, t = decontaminate.words_of((doc or "").encode()), decontaminate.words_of((item or "").encode())
-    for diagonal in range(-len(t) + 1, len(d)):
-        s, e = max(0, diagonal), min(len(d), diagonal + len(t))
-        equal = np.array([d[i] == t[i - diagonal] for i in range(s, e)], bool)
-        if not equal.any():
-            continue
-        a, z = decontaminate.best_stretch(equal, mismatch)
-        if z - a >= min(least, len(t)) and equal[a:z].sum() >= identity * (z - a):
-            return True
+def holds_stretch(equal, least, tenths=8):
+    """Whether any stretch of ``least`` places or more has so many tenths of equal ones, by trying all."""
+    return any(10 * sum(equal[a:z]) >= tenths * (z - a) for a in range(len(equal)) for z in range(a + least, len(equal) + 1))
+
+
+def brute_overlap(doc, item, least=13):
+    """Whether any stretch of any diagonal has 8 tenths of its words equal; from the definition alone."""
+    d, t = ((x or "").translate(LOWER) for x in (doc, item))
+    d, t = (re.findall(r"[a-z0-9\x80-\U0010ffff]+", x) for x in (d, t))
+    at = defaultdict(list)
+    for j, w in enumerate(t):
+        at[w].append(j)
+    counts = Counter(p - j for p, w in enumerate(d) for j in at.get(w, ()))
+    least = min(least, len(t))
+    for diagonal, n in counts.items():
+        if 10 * n >= 8 * least:
+            s, e = max(0, diagonal), min(len(d), diagonal + len(t))
+            if holds_stretch([d[i] == t[i - diagonal] for i in range(s, e)], least):
+                return True
     return False
 
 
 def test_decontamination_query(spark, sf_dir):
     items = {r.item_id: r.text for r in rows_of(spark, sf_dir, "benchmark")}
     got = {(r.doc_id, r.item_id) for r in queries.op8_decontaminate(spark, sf_dir).collect()}
-    docs = rows_of(spark, sf_dir)[:60]
-    want = {(r.doc_id, i) for r in docs for i, t in items.items() if brute_overlap(r.text, t)}
-    assert {x for x in got if x[0] in {r.doc_id for r in docs}} == want
+    assert got == {(r.doc_id, i) for r in rows_of(spark, sf_dir) for i, t in items.items() if brute_overlap(r.text, t)}
+
+
+def test_decontamination_returns_every_passage(spark):
+    item = [f"q{j}" for j in range(60)]
+    parts = item[:14] + ["gap"] * 30 + item[40:58] + ["gap"] * 5 + item + ["gap"] * 9 + item[:20] + ["other"] * 25 + item[45:]
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(item))], "item_id long, text string")
+    for texts in ([" ".join(parts)], [None, "", " ".join(parts), "gap " * 5000 + " ".join(parts)]):
+        rows = decontaminate.overlaps(frame(spark, texts), bench).collect()
+        for d, text in enumerate(texts):
+            for i in (1, 2) if text else ():
+                shift = text.split().index("q0")
+                got = sorted((r.doc_start - shift, r.item_start, r.n_words, r.n_equal) for r in rows if (r.doc_id, r.item_id) == (d, i))
+                assert got == [(0, 0, 14, 14), (44, 40, 18, 18), (67, 0, 60, 60), (136, 0, 20, 20), (181, 45, 15, 15)]
 
 
 def test_decontamination_substitutions(spark):
@@ -491,11 +619,6 @@ def test_decontamination_substitutions(spark):
     assert [r.doc_id for r in decontaminate.overlaps(frame(spark, ["a tiny item here", "tiny"]), bench).collect()] == [0]
 
 
-def holds_stretch(equal, least, tenths=8):
-    """Whether any stretch of ``least`` places or more has so many tenths of equal ones, by trying all."""
-    return any(10 * sum(equal[a:z]) >= tenths * (z - a) for a in range(len(equal)) for z in range(a + least, len(equal) + 1))
-
-
 def test_decontamination_any_stretch():
     rng = random.Random(5)
     for _ in range(600):
