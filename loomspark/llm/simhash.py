@@ -9,12 +9,18 @@ distances at a time, and a block of queries is abandoned as soon as all of its
 distances exceed the radius.
 
 Equal fingerprints are one node. A bucket with more than ``most`` fingerprints
-is dealt out again by the same argument over its other bits, and one that is
-still too large is cut into pieces that are compared two at a time; nothing is
-dropped. A bucket yields a spanning forest of its links, not all pairs.
+is dealt out again by the same argument over its other bits. One that is still
+too large is cut into pieces, twice and differently (``bucket_links``); only
+what its largest group of linked nodes leaves over is then compared with all
+of it. Nothing is dropped, and rows are sent around in proportion to the bucket
+unless that rest is large. A bucket yields a spanning forest of its links, not
+all pairs.
 
 Empty or null text, or text without words: fingerprint zero, linked like any
-other. Fewer words than a shingle: the whole sequence is the one shingle.
+other. Fewer words than a shingle: the whole sequence is the one shingle. Long
+texts are read whole; their hashes are counted in parts. Rows equal in id and
+text get equal rows; other columns aren't read, so their names can't clash. No
+rows: no rows.
 """
 
 from __future__ import annotations
@@ -86,7 +92,10 @@ def planes_of(prints: np.ndarray) -> np.ndarray:
 
 
 def near_rows(queries: np.ndarray, prints: np.ndarray, radius: int, upper: bool = False) -> Iterator[tuple[int, np.ndarray]]:
-    """Of each query that has any: its index, and the indexes of the prints that differ in at most ``radius`` bits; upper: only print > query, of one array."""
+    """Of each query that has any: its index, and the indexes of the prints that differ in at most ``radius`` bits; upper: only print > query, of one array.
+
+    A query is abandoned once all of its distances exceed the radius; the ones that are left close up.
+    """
     n, words = len(prints), -(-len(prints) // 64)
     if not n or not len(queries):
         return
@@ -99,6 +108,7 @@ def near_rows(queries: np.ndarray, prints: np.ndarray, radius: int, upper: bool
     ones = ~np.uint64(0)
     for at in range(0, len(queries), step):
         q = queries[at : at + step]
+        which = np.arange(len(q))
         over = np.repeat(~valid[None, :], len(q), 0)
         if upper:
             column = np.arange(words * 64)[None, :]
@@ -118,12 +128,16 @@ def near_rows(queries: np.ndarray, prints: np.ndarray, radius: int, upper: bool
                 digit = c if limit >> i & 1 else ~c
                 reached = digit if reached is None else reached & digit
             over |= reached
-            if b % 4 == 3 and (over == ones).all():
-                break
+            if b >= radius and b % 4 == 3:
+                alive = (over != ones).any(1)
+                if not alive.any():
+                    break
+                if 2 * alive.sum() < len(q):
+                    q, which, over, counter = q[alive], which[alive], over[alive], [c[alive] for c in counter]
         else:
             near = np.unpackbits((~over).view(np.uint8), axis=1, bitorder="little")
             for i in np.flatnonzero(near.any(1)).tolist():
-                yield at + i, np.flatnonzero(near[i])
+                yield at + int(which[i]), np.flatnonzero(near[i])
 
 
 def links(queries: np.ndarray, prints: np.ndarray, radius: int, upper: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -133,12 +147,12 @@ def links(queries: np.ndarray, prints: np.ndarray, radius: int, upper: bool = Fa
     return both[0], both[1]
 
 
-def forest(near: Iterator[tuple[int, np.ndarray]], prints: np.ndarray, holds: Callable[[int, int], bool] | None = None) -> list[tuple[int, int]]:
+def forest(near: Iterator[tuple[int, np.ndarray]], prints: np.ndarray, holds: Callable[[int, int], bool] | None = None, group: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Of the links between nodes (those that hold), as many as connect what all of them connect; a node's neighbours are never more than one row of indexes.
 
-    With a check, the closest fingerprints come first, and nodes that are connected already aren't checked.
+    With a check, the closest fingerprints come first, and nodes that are connected already (from the start: those of one ``group``) aren't checked.
     """
-    group = np.arange(len(prints))
+    group = np.arange(len(prints)) if group is None else np.unique(group, return_inverse=True)[1]
     kept = []
     for x, others in near:
         others = others[group[others] != group[x]]
@@ -164,26 +178,25 @@ def _bits(value: Column, first: int, n: int) -> Column:
     return F.shiftrightunsigned(value, first).bitwiseAND(F.lit((1 << n) - 1)) if n else F.lit(0).cast("long")
 
 
-def _compare(radius: int, node: str = "fingerprint", similarity: float | None = None):
-    """Runs of rows with equal bucket, one after the other; side 0 and 1 tell the two pieces of a cut bucket.
+def _compare(radius: int, node: str, similarity: float | None = None):
+    """Runs of rows with equal bucket and piece, one after the other. Rows of side 1 are compared with those of side 0; without any, all with all.
 
-    similarity: links must also have that share of equal ``shingles``, closest fingerprints first.
+    group: nodes known to be connected. similarity: links must also have that share of equal ``shingles``, closest fingerprints first.
     """
 
     def emit(rows: list[tuple]) -> list[tuple[int, int]]:
         prints = np.concatenate([r[0] for r in rows]).view(np.uint64)
-        side = np.concatenate([r[1] for r in rows])
+        side, name, group = (np.concatenate([r[c] for r in rows]) for c in (1, 2, 3))
         if len(prints) < 2:
             return []
         if side.any():
             one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-            near = ((int(one[i]), two[j]) for i, j in near_rows(prints[one], prints[two], radius))
+            near = ((int(two[i]), one[j]) for i, j in near_rows(prints[two], prints[one], radius))
         else:
             near = near_rows(prints, prints, radius, upper=True)
-        name = np.concatenate([r[2] for r in rows])
         holds = None
         if similarity is not None:
-            sets = [np.frombuffer(x, "<u8") for r in rows for x in r[3]]
+            sets = [np.frombuffer(x, "<u8") for r in rows for x in r[4]]
 
             def holds(x: int, y: int) -> bool:
                 one, two = sets[x], sets[y]
@@ -193,13 +206,13 @@ def _compare(radius: int, node: str = "fingerprint", similarity: float | None =
                 equal = int((both[1:] == both[:-1]).sum())
                 return equal >= similarity * (len(both) - equal)
 
-        return [(int(name[x]), int(name[y])) for x, y in forest(near, prints, holds)]
+        return [(int(name[x]), int(name[y])) for x, y in forest(near, prints, holds, group)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, bucket = [], None
         for batch in batches:
             keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "piece")], 1)
-            prints, side, name = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("fingerprint", "side", node))
+            prints, side, name, group = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("fingerprint", "side", node, "group"))
             sets = batch.column("shingles").to_pylist() if similarity is not None else []
             if not len(keys):
                 continue
@@ -211,7 +224,7 @@ def _compare(radius: int, node: str = "fingerprint", similarity: float | None =
                     out += emit(held)
                     held = []
                 bucket = now
-                held.append((prints[s:e], side[s:e], name[s:e], sets[s:e]))
+                held.append((prints[s:e], side[s:e], name[s:e], group[s:e], sets[s:e]))
             yield _edges(out)
         yield _edges(emit(held) if held else [])
 
@@ -222,16 +235,45 @@ def _compare(radius: int, node: str = "fingerprint", similarity: float | None =
     return run
 
 
-def dealt(rows: DataFrame, cuts: Column, columns: list[str]) -> DataFrame:
-    """columns (the first identifies a row), bucket, piece, side: each bucket cut into ``cuts`` pieces, and a row sent to each pair of pieces that its own is in."""
-    own = F.pmod(F.xxhash64(columns[0], F.lit(1)), cuts.cast("long")).cast("int")
-    rows = rows.select(*columns, "bucket", cuts.alias("cuts"), own.alias("own"))
-    rows = rows.select(*columns, "bucket", "cuts", "own", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("other"))
-    low, high = F.least("own", "other"), F.greatest("own", "other")
-    rows = rows.select(
-        *columns, "bucket", (low.cast("long") * F.lit(1 << 31) + high).alias("piece"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side")
-    )
-    return rows.repartition("bucket", "piece").sortWithinPartitions("bucket", "piece")
+EDGE = "u long, v long"
+
+
+def bucket_links(rows: DataFrame, most: int, radius: int, node: str = "fingerprint", similarity: float | None = None) -> DataFrame:
+    """u, v: links between the nodes of each bucket that connect exactly what all of its links within the radius connect.
+
+    ``rows`` (written): node, fingerprint, bucket, cuts (the number of pieces that a bucket needs), and shingles if there is a similarity. A bucket of one
+    piece is compared at once. A larger one is cut by two different hashes, each piece on its own. What is connected then needs no comparison any more:
+    the nodes outside of the bucket's largest group, ``most`` at a time, are compared with all of its pieces.
+    """
+    columns = ["bucket", "fingerprint", *([node] if node != "fingerprint" else []), *(["shingles"] if similarity is not None else [])]
+    found = _compare(radius, node, similarity)
+
+    def compared(pieces: DataFrame, more: list[str] = ["piece", "side", "group"]) -> DataFrame:  # noqa: B006
+        return pieces.select(*columns, *more).repartition("bucket", "piece").sortWithinPartitions("bucket", "piece").mapInArrow(found, EDGE)
+
+    spark = rows.sparkSession
+    piece = lambda salt, n: F.pmod(F.xxhash64(node, F.lit(salt)), n.cast("long"))
+    plain = {"side": F.lit(0), "group": F.col(node)}
+    whole = compared(rows.where("cuts = 1").withColumns({"piece": F.lit(0).cast("long"), **plain}))
+    cut = rows.where("cuts > 1")
+    if cut.isEmpty():
+        return whole
+    once = materialise(compared(cut.withColumns({"piece": piece(1, F.col("cuts")), **plain})), "links")
+    again = materialise(compared(cut.withColumns({"piece": piece(2, F.col("cuts")), **plain})), "links")
+    known = once.union(again)
+    named = components(known, "u", "v").withColumnRenamed("node", "_node")
+    held = cut.join(named, F.col(node) == F.col("_node"), "left").withColumn("group", F.coalesce("root", node)).drop("_node", "root")
+    held = materialise(held, "groups")
+    sizes = held.groupBy("bucket", "group").agg(F.count(F.lit(1)).alias("n"))
+    main = sizes.groupBy("bucket").agg(F.max(F.struct("n", "group")).alias("m"), F.sum("n").alias("all"))
+    main = materialise(main.select("bucket", F.col("m.group").alias("main"), F.col("all").alias("n"), F.ceil((F.col("all") - F.col("m.n")) / F.lit(most)).cast("int").alias("parts")), "largest")
+    held = join_counted(held, main, ["bucket"], "n").where("parts > 0")
+    number = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n).cast("long") - 1))
+    at = lambda a, b: (a * F.lit(1 << 31) + b).alias("piece")
+    members = held.withColumn("own", piece(1, F.col("cuts"))).select("*", number("parts").alias("part")).select(*columns, "group", at(F.col("own"), F.col("part")), F.lit(0).alias("side"))
+    rest = held.where(F.col("group") != F.col("main")).withColumn("part", piece(3, F.col("parts"))).select("*", number("cuts").alias("own")).select(*columns, "group", at(F.col("own"), F.col("part")), F.lit(1).alias("side"))
+    left = compared(members.unionByName(rest))
+    return whole.union(known).union(left)
 
 
 def print_links(prints: DataFrame, radius: int = 4, most: int = 4096) -> DataFrame:
@@ -243,8 +285,10 @@ def print_links(prints: DataFrame, radius: int = 4, most: int = 4096) -> DataFra
         "fingerprint",
         F.explode(F.array(*[F.struct(F.lit(t).alias("t"), _bits(value, a, n).alias("key")) for t, (a, n) in enumerate(_blocks(BITS, parts))])).alias("b"),
     ).select("fingerprint", F.col("b.t").alias("t"), F.xxhash64("b.t", "b.key").alias("bucket"))
-    sizes = level1.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    level1 = level1.join(sizes, "bucket")
+    counted = lambda rows: materialise(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
+    # both sides of these joins are read as written, so that Spark can split a skewed bucket
+    level1 = materialise(level1, "level")
+    level1 = level1.join(counted(level1), "bucket")
     # a large bucket: its other bits, which hold all differences, are cut into blocks in their turn
     rest = F.lit(None)
     for t, (a, n) in enumerate(_blocks(BITS, parts)):
@@ -256,11 +300,9 @@ def print_links(prints: DataFrame, radius: int = 4, most: int = 4096) -> DataFra
     fine = level1.where(F.col("n") <= most).select("fingerprint", "bucket")
     level2 = level1.where(F.col("n") > most).select("fingerprint", "bucket", F.explode(rest).alias("c"))
     level2 = level2.select("fingerprint", F.xxhash64("bucket", "c.u", "c.key").alias("bucket"))
-    rows = fine.union(level2)
-    # what is still too large is cut into pieces; a row goes to each pair that its piece is in
-    rows = rows.join(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n2")), "bucket").where("n2 > 1")
-    rows = dealt(rows, F.ceil(F.col("n2") / F.lit(most)).cast("int"), ["fingerprint"])
-    return rows.mapInArrow(_compare(radius), "u long, v long")
+    rows = materialise(fine.union(level2), "level")
+    rows = rows.join(counted(rows), "bucket").select("fingerprint", "bucket", F.ceil(F.col("n") / F.lit(most)).cast("int").alias("cuts"))
+    return bucket_links(materialise(rows, "buckets"), most, radius)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 4, seed: int = 42) -> DataFrame:
