@@ -7,14 +7,46 @@ Neighbourhoods are only ever minimised (partial aggregation), never gathered,
 and joined back by count (``join_counted``), so a node with very many
 neighbours doesn't land in one task. Each step is
 written to the shared folder; the driver only sees a count and a checksum.
+
+A graph of at most ``small`` edges (16 bytes each) needs none of that: one task
+labels its nodes with the smallest one that they reach.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm._common import join_counted, remove, written
+from loomspark.llm._common import join_counted, materialise, remove, ship, written
+
+
+def labels(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, the smallest node that each reaches)"""
+    nodes, at = np.unique(np.concatenate((u, v)), return_inverse=True)
+    one, two = at[: len(u)], at[len(u) :]
+    least = np.arange(len(nodes))
+    while True:
+        low = np.minimum(least[one], least[two])
+        now = least.copy()
+        # the roots of both ends take the smaller one, then paths are halved
+        np.minimum.at(now, least[one], low)
+        np.minimum.at(now, least[two], low)
+        now = now[now]
+        if (now == least).all():
+            return nodes, nodes[least]
+        least = now
+
+
+def _label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts = [np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in ("u", "v")]) for b in batches]
+    if parts:
+        u, v = np.concatenate(parts, axis=1)
+        node, root = labels(u, v)
+        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], ["node", "root"])
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -34,20 +66,22 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
-def components(edges: DataFrame, u: str, v: str) -> DataFrame:
+def components(edges: DataFrame, u: str, v: str, small: int = 1 << 20) -> DataFrame:
     """node, root (the component's smallest node) of each node that has an edge to another one; node types must be ordered longs."""
     spark = edges.sparkSession
-    edges = edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where("u <> v").distinct()
+    edges = edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where("u <> v")
     path = written(edges, "edges")
     edges = spark.read.schema("u long, v long").parquet(path)
-    before = _signature(edges)
-    while before[0]:
+    if edges.count() <= small:
+        ship(spark)
+        out = materialise(edges.repartition(1).mapInArrow(_label, "node long, root long"), "components")
+        remove(spark, path)
+        return out
+    before = None
+    while (after := _signature(edges)) != before:
+        before = after
         for large in (True, False):
             after_path = written(_star(edges, large), "edges")
             remove(spark, path)
             path, edges = after_path, spark.read.schema("u long, v long").parquet(after_path)
-        after = _signature(edges)
-        if after == before:
-            break
-        before = after
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v"), F.col("v")).distinct())
