@@ -1,4 +1,13 @@
-"""From documents to tokens: each stage works on what the one before kept."""
+"""From documents to tokens: each stage works on what the one before kept.
+
+Every row has its own verdict in the first, fourth and fifth stage, equal rows
+the same; of rows equal in id and text the second keeps one. Null and empty
+texts: not toxic unless the model says so of an empty text; copies of each
+other, so that one of them stays; without passages or leaks; no tokens. Long
+texts are read whole. Null ids come after all others where the smallest id
+counts. Further columns are kept, whatever their names, but for the last stage.
+Empty tables give empty tables.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.llm import bpe, decontaminate, near_copies, suffix_dedup, toxicity
-from loomspark.llm._common import shared_dir
+from loomspark.llm._common import remove, scratch, shared_dir
 from loomspark.llm.queries import table, toxicity_model, vocabulary
 
 
@@ -52,10 +61,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the last stage writes; tables that the stages write on the way are removed as soon as they aren't read any more."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for k, (_, stage) in enumerate(STAGES):
-        path = f"{base}/{k}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+    path, before = "", ""
+    for _, stage in STAGES:
+        path, before = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}", path
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
     return docs
