@@ -62,7 +62,7 @@ class Formula(NamedTuple):
 
 def remaining_life(t_current: Column, t_min: Column, rate: Column) -> Column:
     """infinite if nothing is lost."""
-    return F.when(rate > 0, (t_current - t_min) / F.when(rate > 0, rate)).otherwise(F.lit(float("inf")))
+    return F.when(rate > 0, F.try_divide(t_current - t_min, rate)).otherwise(F.lit(float("inf")))
 
 
 FORMULAS: dict[str, Formula] = {
@@ -83,7 +83,7 @@ def interval_years(start: Column, end: Column) -> Column:
 
 def next_due(day: Column, life: Column) -> Column:
     """the month that lies half of the life, 10 years at most, ahead."""
-    return F.date_format(F.date_add(day, F.floor(365.25 * F.least(life / 2, F.lit(10.0))).cast("int")), "yyyy-MM")
+    return F.date_format(F.date_add(day, (365.25 * F.least(life / 2, F.lit(10.0))).cast("int")), "yyyy-MM")
 
 
 def psi(barg: Column) -> Column:
@@ -92,5 +92,32 @@ def psi(barg: Column) -> Column:
 
 
 def share_pct(part: Column, total: Column) -> Column:
-    """F43, F47"""
-    return F.try_divide(part * 100, total)
+    """percent, four digits"""
+    return fixed(F.try_divide(part * 100, total), 4)
+
+
+def memory_bar(gb: Column, budget: Column) -> Column:
+    """percent of the budget, 100 at most"""
+    return F.least(F.lit(100.0), F.try_divide(100 * gb, budget))
+
+
+def score_bar(score: Column, top: Column) -> Column:
+    """percent of the largest score, 1 at least"""
+    return F.greatest(F.lit(1.0), F.try_divide(100 * score, top))
+
+
+#: Multiples of a power of ten that an axis may step by.
+STEPS = [1.0, 2.0, 2.5, 5.0, 10.0, 20.0, 25.0, 50.0, 100.0]
+
+
+def nice_ticks(low: Column, high: Column, count: int = 4) -> Column:
+    """array of round values from low to high, half a step over at either end."""
+    raw = (high - low) / count
+    unit = F.when(raw >= 1, F.pow(F.lit(10.0), F.length(F.floor(raw).cast("long").cast("string")) - 1)).otherwise(F.lit(0.001))
+    steps = F.array(*map(F.lit, STEPS))
+    step = F.coalesce(F.get(F.filter(F.transform(steps, lambda m: m * unit), lambda x: x >= raw), F.lit(0)), 100 * unit)
+    # whole steps, towards zero
+    first = F.signum(low) * F.floor(F.abs(low) / step)
+    numbers = F.sequence(F.lit(0).cast("long"), F.ceil((high - first * step) / step + 1).cast("long"))
+    ticks = F.filter(F.transform(numbers, lambda i: F.round((first + i) * step, 6)), lambda x: (x >= low - step / 2) & (x <= high + step / 2))
+    return F.when(high <= low, F.array(low)).when(F.size(ticks) > 0, ticks).otherwise(F.array(low, high))

@@ -1,4 +1,4 @@
-"""Text expressions. All are columns of built-in functions; whole-stage code generation holds."""
+"""Text expressions: columns of built-in functions (those with lambdas are interpreted, the others compiled)."""
 
 from __future__ import annotations
 
@@ -9,6 +9,12 @@ from pyspark.sql import functions as F
 ADDRESS_MARKERS = ["cin:", "cin :", "regd. office", "regd.office", "kuthethoor", "mudapadav", "katipalla", "mangaluru", "karnataka"]
 #: Extensions of images.
 IMAGES = [".png", ".jpg", ".jpeg", ".tif", ".tiff", ".bmp", ".webp"]
+#: Patterns of figures, dates, bare years, numbers in answers, and the period of a statement.
+FIGURE = r"\(?-?\d[\d,.]*(?:\s\d{2}(?![\d,.]))?\)?"
+DATE = r"\d{1,2}\s*[.\-/]\s*\d{1,2}\s*[.\-/]\s*\d{2,4}"
+YEAR = r"^(19|20)\d{2}$"
+ANSWER_NUMBER = r"-?\d[\d,]*\.?\d*"
+PERIOD = r"(?i)(QUARTER|HALF YEAR|NINE MONTHS|YEAR)\s+(?:AND\s+\w+\s+)?ENDED\s+([A-Z]+\s+\d{1,2},?\s+\d{4}|\d{2}[.\-/]\d{2}[.\-/]\d{4})"
 
 
 def strip(c: Column) -> Column:
@@ -46,26 +52,26 @@ def slug(text: Column, n: int) -> Column:
 
 
 def repaired_number(token: Column) -> Column:
-    """a figure as printed or scanned; null for dashes. A separator before the last two digits is the decimal point; only parentheses make it negative."""
+    """a figure as printed or scanned, as a decimal; null for dashes, and beyond 36 digits.
+
+    Whatever separates the last two digits is the decimal point; only parentheses around it make a figure negative.
+    """
     t = F.regexp_replace(token, r"^\s+|\s+$", "")
-    digits = F.regexp_replace(t, r"[^0-9]", "")
-    inner = F.regexp_replace(t, r"[()\-]", "")
-    cents = F.regexp_like(inner, F.lit(r"[.,\s]\d{2}\s*$"))
-    value = F.when(cents, digits.cast("decimal(18,0)") / 100).otherwise(digits.cast("decimal(18,0)"))
-    sign = F.when(t.startswith("(") & t.endswith(")"), -1).otherwise(1)
-    dash = t.isin("-", "--", "—", "") | (digits == "")
-    return F.when(~dash, (value * sign).cast("decimal(18,2)"))
+    core = F.trim(F.regexp_replace(F.regexp_replace(t, r"^[()]+|[()]+$", ""), r"[^0-9.,\s-]", ""))
+    digits = F.regexp_replace(core, r"[^0-9]", "")
+    whole = digits.try_cast("decimal(36,0)")
+    parted = F.regexp_like(core, F.lit(r"^-?[\d.,\s]*[\s.,]\d{2}$"))
+    value = F.when(parted, whole.cast("decimal(38,2)") / 100).otherwise(whole).try_cast("decimal(38,2)")
+    negative = t.startswith("(") & t.endswith(")")
+    return F.when(~t.isin("-", "--", "—") & (digits != ""), F.when(negative, -value).otherwise(value))
 
 
 def figures(line: Column) -> Column:
-    """Tokens of a line that are figures: no date, no bare year, at most 12 digits."""
-    found = F.regexp_extract_all(line, F.lit(r"\(?-?\d[\d,.]*(?:\s\d{2}(?![\d,.]))?\)?"), F.lit(0))
-
-    def good(t: Column) -> Column:
-        digits = F.regexp_replace(t, r"[^0-9]", "")
-        return ~F.regexp_like(t, F.lit(r"\d{1,2}\s*[.\-/]\s*\d{1,2}\s*[.\-/]\s*\d{2,4}")) & ~F.regexp_like(digits, F.lit(r"^(19|20)\d{2}$")) & F.length(digits).between(1, 12)
-
-    return F.when(is_address(line), F.array().cast("array<string>")).otherwise(F.filter(found, good))
+    """The tokens of a line that are figures: numbers of 12 digits at most, without dates and bare years."""
+    digits = lambda t: F.regexp_replace(t, r"[^0-9]", "")
+    keep = lambda t: ~F.regexp_like(t, F.lit(DATE)) & ~F.regexp_like(digits(t), F.lit(YEAR)) & F.length(digits(t)).between(1, 12)
+    found = F.filter(F.regexp_extract_all(line, F.lit(FIGURE), F.lit(0)), keep)
+    return F.when(is_address(line), F.array().cast("array<string>")).otherwise(found)
 
 
 def is_address(line: Column) -> Column:
@@ -75,13 +81,13 @@ def is_address(line: Column) -> Column:
 
 def numbers(answer: Column) -> Column:
     """F16: numbers of an answer, commas dropped."""
-    found = F.regexp_extract_all(answer, F.lit(r"-?\d[\d,]*\.?\d*"), F.lit(0))
+    found = F.regexp_extract_all(answer, F.lit(ANSWER_NUMBER), F.lit(0))
     return F.transform(found, lambda x: F.regexp_replace(x, ",", "").try_cast("double"))
 
 
 def period(text: Column) -> Column:
-    """F17"""
-    return F.initcap(F.regexp_extract(text, r"(?i)((?:QUARTER|HALF YEAR|NINE MONTHS|YEAR)\s+ENDED\s+[0-9A-Za-z ,./-]*?\d{4})", 1))
+    """"" if none is stated."""
+    return F.initcap(F.regexp_extract(text, PERIOD, 0))
 
 
 def modality(files: Column) -> Column:
@@ -98,10 +104,23 @@ def est_ctx(text: Column, pdfs: Column | int = 0, others: Column | int = 0) -> C
 
 
 def line_kind(line: Column) -> Column:
-    """F19"""
+    """of a line without white space around it."""
     return F.when(line.startswith("## "), "h2").when(line.startswith("# "), "h1").when(line.startswith("- ") | line.startswith("* "), "bullet").otherwise("text")
 
 
+def bold_runs(line: Column) -> Column:
+    """array of struct<run, bold>; what stands between pairs of ** is bold, empty runs go."""
+    parts = F.split(F.regexp_replace(line, r"\*\*(.+?)\*\*", "\u0001$1\u0001"), "\u0001")
+    runs = F.transform(parts, lambda x, i: F.struct(x.alias("run"), (i % 2 == 1).alias("bold")))
+    return F.filter(runs, lambda r: r["run"] != "")
+
+
+def iso_utc(ts: Column) -> Column:
+    """of a time in UTC, without microseconds where there are none."""
+    micros = F.date_format(ts, "SSSSSS")
+    return F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), F.when(micros != "000000", F.concat(F.lit("."), micros)).otherwise(""), F.lit("+00:00"))
+
+
 def html_escape(text: Column) -> Column:
     """F45"""
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
@@ -115,12 +134,12 @@ def comma_list(text: Column) -> Column:
 
 
 def duration(seconds: Column) -> Column:
-    """F36"""
-    s = F.floor(seconds).cast("long")
-    return (
-        F.when(F.isnan(seconds) | seconds.isNull(), "--").when(s >= 3600, F.format_string("%dh %02dm", F.floor(s / 3600), F.floor(s % 3600 / 60)))
-        .when(s >= 60, F.format_string("%dm %02ds", F.floor(s / 60), s % 60)).otherwise(F.format_string("%ds", s))
-    )
+    """hours and minutes, or minutes and seconds; -- unless something is left."""
+    s = F.floor(F.when(seconds > 0, F.nanvl(seconds, F.lit(0.0)))).cast("long")
+    two = lambda x: F.lpad(x.cast("string"), 2, "0")
+    hours, minutes = F.floor(s / 3600).cast("long"), F.floor(s / 60).cast("long")
+    long, short = F.concat(hours.cast("string"), F.lit("h "), two(minutes % 60), F.lit("m")), F.concat(minutes.cast("string"), F.lit("m "), two(s % 60), F.lit("s"))
+    return F.when(seconds.isNull() | F.isnan(seconds) | (seconds <= 0), "--").when(hours > 0, long).otherwise(short)
 
 
 def sections(text: Column) -> Column:
