@@ -26,6 +26,19 @@ def digest_of(record: dict) -> str:
     return hashlib.sha256(canonical({k: v for k, v in record.items() if k != "hash"}).encode()).hexdigest()
 
 
+@pandas("string")
+def canonical_json(texts: pd.Series) -> pd.Series:
+    """JSON texts with keys sorted and without spaces; null for what isn't JSON."""
+
+    def one(text: str | None) -> str | None:
+        try:
+            return None if text is None else canonical(json.loads(text))
+        except ValueError:
+            return None
+
+    return texts.map(one)
+
+
 @pandas("struct<seq:bigint,prev_hash:string,hash:string,digest:string>")
 def _parsed(lines: pd.Series) -> pd.DataFrame:
     out = []

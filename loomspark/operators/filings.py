@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomspark.functions.text import figures, period, repaired_number
@@ -18,33 +17,54 @@ def lines(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 def line_figures(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, line, ord, cents of each figure that can be read."""
     each = rows.select(key, "line", F.posexplode(figures(F.col("value"))).alias("ord", "token"))
-    return each.select(key, "line", "ord", (repaired_number(F.col("token")) * 100).cast("long").alias("cents")).where(F.col("cents").isNotNull())
+    return each.select(key, "line", "ord", cents(F.col("token")).alias("cents")).where(F.col("cents").isNotNull())
+
+
+def cents(token: Column) -> Column:
+    return (repaired_number(token) * 100).try_cast("long")
 
 
 def totals(rows: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Key, line, cents: the first of two figures or more after "total income"."""
+    """Key, line, ord, total (cents): every figure behind "total income" in lines with two of them or more; a short parenthesis right behind the words is no figure."""
     at = F.instr(F.lower("value"), "total income")
-    tail = F.regexp_replace(F.substring(F.col("value"), at + len("total income"), F.lit(1_000_000)), r"^\s*\([^)]{0,10}\)", "")
-    found = rows.where(at > 0).select(key, "line", figures(tail).alias("f")).where(F.size("f") >= 2)
-    return found.select(key, "line", (repaired_number(F.col("f")[0]) * 100).cast("long").alias("total")).where("total > 0")
+    tail = F.regexp_replace(F.col("value").substr(at + len("total income"), F.length("value")), r"^\s*\([^)]{0,10}\)", "")
+    read = F.filter(F.transform(figures(tail), cents), lambda x: x.isNotNull())
+    found = rows.where(at > 0).select(key, "line", read.alias("f")).where(F.size("f") >= 2)
+    return found.select(key, "line", F.posexplode("f").alias("ord", "total"))
 
 
 def two_sum(figs: DataFrame, sums: DataFrame, key: str = "doc_id", lookback: int = LOOKBACK) -> DataFrame:
-    """Of each total row, the largest a and the b with a + b = total among the figures of the lines before.
+    """Key, row, ord, total, a, b of every total with two figures or more in the lines before; a and b are null if no two add up to it.
 
-    The band becomes equality on blocks of ``lookback`` lines (a total's window touches two), and the complement is an
-    equality on integer cents, so both joins are hash or sort-merge joins. 0 < a <= total and 0 <= b <= a; ties go to the first.
+    a is the largest figure with a + b = total, 0 < a <= total and 0 <= b <= a. The band becomes equality on blocks of ``lookback`` lines
+    (a total's window touches two), and the complement is an equality on integer cents, so all joins are hash or sort-merge joins.
+    ``sums`` has key, line, total and ord (0 if there is none).
     """
     blocks = figs.withColumn("_block", F.floor(F.col("line") / lookback))
-    t = sums.select(key, F.col("line").alias("row"), "total")
-    t = t.select("*", F.explode(F.array(F.floor(F.col("row") / lookback) - 1, F.floor(F.col("row") / lookback))).alias("_block"))
-    window = t.join(blocks, [key, "_block"]).where(F.col("line").between(F.col("row") - lookback, F.col("row") - 1))
-    window = window.select(key, "row", "total", "cents", (F.col("line") * 10_000 + F.col("ord")).alias("ord"))
-    first = window.groupBy(key, "row", "total", F.col("cents").alias("b")).agg(F.min("ord").alias("b_ord"))
-    a = window.where((F.col("cents") > 0) & (F.col("cents") <= F.col("total"))).select(key, "row", "total", F.col("cents").alias("a"), F.col("ord").alias("a_ord"), (F.col("total") - F.col("cents")).alias("b"))
-    pairs = a.join(first, [key, "row", "total", "b"]).where(F.col("b").between(0, F.col("a")))
-    best = pairs.groupBy(key, "row", "total").agg(F.max_by(F.struct("a", "b"), F.struct("a", -F.col("a_ord"))).alias("m"))
-    return best.select(key, "row", "total", F.col("m.a").alias("a"), F.col("m.b").alias("b"))
+    number = F.col("ord") if "ord" in sums.columns else F.lit(0)
+    t = sums.select(key, F.col("line").alias("row"), number.alias("nth"), "total")
+    band = t.select("*", F.explode(F.array(F.floor(F.col("row") / lookback) - 1, F.floor(F.col("row") / lookback))).alias("_block"))
+    window = band.join(blocks, [key, "_block"]).where(F.col("line").between(F.col("row") - lookback, F.col("row") - 1))
+    names = [key, "row", "nth", "total"]
+    # one row for each value: which of equal figures it is makes no difference to the sum
+    values = window.groupBy(*names, "cents").agg(F.count(F.lit(1)).alias("n"))
+    checked = values.groupBy(*names).agg(F.sum("n").alias("n")).where("n >= 2").drop("n")
+    a = values.where((F.col("cents") > 0) & (F.col("cents") <= F.col("total"))).select(*names, F.col("cents").alias("a"), (F.col("total") - F.col("cents")).alias("b"))
+    b = values.select(*names, F.col("cents").alias("b"))
+    best = a.join(b, [*names, "b"]).where(F.col("b").between(0, F.col("a"))).groupBy(*names).agg(F.max("a").alias("a"))
+    out = checked.join(best, names, "left")
+    return out.select(key, "row", F.col("nth").alias("ord"), "total", "a", (F.col("total") - F.col("a")).alias("b"))
+
+
+def reconciled(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, chars, checks_run, checks_passed, verdict of each statement; one with under 1000 characters is taken for a scan and not checked."""
+    text = F.coalesce("text", F.lit(""))
+    rows = lines(docs.where(F.length(text) >= 1000), key)
+    checks = two_sum(line_figures(rows, key), totals(rows, key), key)
+    per = checks.groupBy(key).agg(F.count(F.lit(1)).alias("run"), F.count("a").alias("passed"))
+    out = docs.select(key, F.length(text).alias("chars")).join(per, key, "left")
+    passed = F.coalesce("passed", F.lit(0))
+    return out.select(key, "chars", F.coalesce("run", F.lit(0)).alias("checks_run"), passed.alias("checks_passed"), verdict(F.col("chars"), passed).alias("verdict"))
 
 
 def verdict(chars: Column, facts: Column) -> Column:
@@ -53,12 +73,16 @@ def verdict(chars: Column, facts: Column) -> Column:
 
 
 def roll_up(filings: DataFrame) -> DataFrame:
-    """A18"""
-    return filings.groupBy("verdict").agg(F.count(F.lit(1)).alias("n"), F.sum("facts").alias("facts"))
-
-
-def markdown(docs: DataFrame) -> DataFrame:
-    """K4: title, provenance and the lines that aren't blank."""
-    body = F.array_join(F.filter(F.transform(F.split("text", "\n"), lambda x: F.rtrim(x)), lambda x: x != ""), "\n")
-    title = F.coalesce(F.nullif(period(F.col("text")), F.lit("")), F.lit("Filing"))
-    return docs.select("doc_id", F.concat(F.lit("# "), title, F.lit("\n\n> source: "), F.coalesce("source", F.lit("")), F.lit("\n\n"), body).alias("markdown"))
+    """Of ``reconciled`` statements; a check that passes is a fact."""
+    return filings.groupBy("verdict").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("checks_run").alias("checks_run"), F.sum("checks_passed").alias("facts"), F.count(F.when(F.col("checks_run") > 0, 1)).alias("checked")
+    )
+
+
+def markdown(docs: DataFrame, checks: DataFrame, title: str = "Financial Results", notes: tuple[str, ...] = (), key: str = "doc_id") -> DataFrame:
+    """K4: title and period, where it comes from, how many checks passed, and the lines that aren't blank."""
+    body = F.array_join(F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.regexp_replace(x, r"\s+$", "")), lambda x: x != ""), "\n")
+    when = F.coalesce(F.nullif(period(F.col("text")), F.lit("")), F.lit("period not stated"))
+    passed = F.format_string("> totals (%d/%d identity checks passed).", "checks_passed", "checks_run")
+    head = F.concat_ws("\n", F.concat(F.lit("> Source: "), F.coalesce("source", F.lit(""))), *[F.lit(f"> {x}") for x in notes], F.lit("> Figures machine-extracted and reconciled against the statement's own"), passed)
+    return docs.join(checks, key).select(key, F.concat(F.lit(f"# {title} — "), when, F.lit("\n\n"), head, F.lit("\n\n"), body, F.lit("\n")).alias("markdown"))

@@ -1,10 +1,17 @@
-"""Readers and writers (S1-S8, S12, S13, K2, K3, K8, K10-K12, O4, O12). All but the small configuration files are read by Spark."""
+"""Readers and writers (S1-S8, S12, S13, K2, K3, K8, K10-K12, O4, P17, P23, P24). All but the small configuration files are read by Spark."""
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomspark.functions.text import IMAGES, truncate
+from loomspark.operators.tools import jailed
+from loomspark.sources.scratch import hadoop_path
+
 EXEMPLAR = "prompt string, task_type string"
 METRIC = "t double, step long, total_steps long, loss double, grad_norm double, lr double, vram_gb double"
 
@@ -16,10 +23,16 @@ def markdown_folder(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """line_no (from 0, blank lines skipped) and value of one file, in file order."""
-    whole = spark.read.text(path, wholetext=True)
-    lines = F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "")
-    return whole.select(F.posexplode(lines).alias("line_no", "value")).select(F.col("line_no").cast("long").alias("line_no"), "value")
+    """line_no (from 0, blank lines skipped) and value of one file, in file order.
+
+    A large file is read in blocks; a line's number is its place in its block plus the lines of the blocks before, so no task holds the file.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
+    lines = lines.where(F.regexp_like("value", F.lit(r"\S")))
+    sizes = lines.groupBy("_block").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("_block", (F.sum("n").over(W.orderBy("_block")) - F.col("n")).alias("_before"))  # a row for each block
+    numbered = lines.withColumn("_r", F.row_number().over(W.partitionBy("_block").orderBy("_at")) - 1)
+    return numbered.join(F.broadcast(before), "_block").select((F.col("_r") + F.col("_before")).alias("line_no"), "value")
 
 
 def exemplars(spark: SparkSession, path: str) -> DataFrame:
@@ -33,25 +46,33 @@ def traces(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("trace_id", F.posexplode("r.messages").alias("turn", "m")).select("trace_id", "turn", F.col("m.role").alias("role"), F.col("m.content").alias("text"))
 
 
-def registry(spark: SparkSession, models: str, profile: str) -> tuple[DataFrame, DataFrame]:
-    """The models of a YAML file in file order, and the one-row profile."""
+MODEL = """ord int, id string, backend string, ref string, device string, vram_gb double, max_ctx int, capabilities array<string>, routes array<string>,
+priority int, requires_tools array<string>"""
+
+
+def registry(spark: SparkSession, models: str, profiles: str) -> tuple[DataFrame, DataFrame, str, str]:
+    """The models of a YAML file in file order, the profiles of a folder (id and budget_gb), and the names of the profile and the fallback that the file asks for."""
     import yaml
 
     with open(models, encoding="utf-8") as f:
         spec = yaml.safe_load(f)
-    with open(profile, encoding="utf-8") as f:
-        budget = yaml.safe_load(f)
-    rows = [(i, m["id"], m.get("device", "cpu"), float(m.get("vram_gb", 0)), list(m.get("routes", [])), int(m.get("priority", 100))) for i, m in enumerate(spec["models"])]
-    return (
-        spark.createDataFrame(rows, "ord int, id string, device string, vram_gb double, routes array<string>, priority int"),
-        spark.createDataFrame([(float(budget["vram_budget_gb"]),)], "budget_gb double"),
-    )
+    texts = lambda m, key: [str(x) for x in m.get(key) or []]
+    rows = [
+        (i, m["id"], m.get("backend"), m.get("ref"), m.get("device", "cpu"), float(m.get("vram_gb", 0)), int(m.get("max_ctx", 8192)), texts(m, "capabilities"), texts(m, "routes"), int(m.get("priority", 100)), texts(m, "requires_tools"))
+        for i, m in enumerate(spec["models"])
+    ]
+    found = []
+    for name in sorted(os.listdir(profiles)):
+        if name.endswith(".yaml"):
+            with open(os.path.join(profiles, name), encoding="utf-8") as f:
+                found.append((name.removesuffix(".yaml"), float(yaml.safe_load(f)["vram_budget_gb"])))
+    if spec["profile"] not in [name for name, _ in found]:
+        raise ValueError(f"no profile {spec['profile']!r}")
+    return spark.createDataFrame(rows, MODEL), spark.createDataFrame(found, "id string, budget_gb double"), spec["profile"], spec["fallback"]
 
 
 def settings(path: str, defaults: dict) -> dict:
     """Defaults if there is no file; unknown keys and hosts other than this machine are errors."""
-    import os
-
     import yaml
 
     if not os.path.exists(path):
@@ -74,30 +95,67 @@ def json_documents(spark: SparkSession, path: str) -> DataFrame:
 
 def jailed_file(spark: SparkSession, root: str, name: str, limit: int = 6000) -> DataFrame:
     """S12"""
-    from loomspark.functions.text import truncate
-    from loomspark.operators.tools import jailed
-
     return spark.read.text(f"{root}/{jailed(name)}", wholetext=True).select(truncate(F.col("value"), limit, "\n[truncated]").alias("text"))
 
 
+def write_text(spark: SparkSession, root: str, name: str, content: str, limit: int = 50_000) -> int:
+    """K8: the first ``limit`` characters (the feature) as one file in the jail, through whatever store holds it; its size."""
+    fs, path = hadoop_path(spark, f"{root}/{jailed(name)}")
+    body = content[:limit].encode()
+    stream = fs.create(path, True)
+    try:
+        stream.write(body)
+    finally:
+        stream.close()
+    return len(body)
+
+
 def nearby(spark: SparkSession, root: str, n: int = 20) -> DataFrame:
     """The first n file names; logs of the audit aren't shown."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     return files.select("path").where(~F.contains("path", F.lit("/.audit"))).orderBy("path").limit(n)
 
 
-def attachments(spark: SparkSession, root: str, most: int = 6 << 20) -> DataFrame:
-    """Images that aren't too large; content isn't read for the others."""
+def attachments(spark: SparkSession, root: str, names: list[str] | None = None, most: int = 6 << 20) -> tuple[DataFrame, DataFrame]:
+    """Path, length, content of the images that aren't too large, and path and problem of the others that were asked for.
+
+    Content isn't read for what is left out. ``names`` (default: all) are relative to the root; what leaves it is a problem, not an error.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    return files.where(F.regexp_like(F.lower("path"), F.lit(r"\.(png|jpe?g|gif|bmp|webp)$")) & (F.col("length") <= most)).select("path", "length", "content")
+    image = F.regexp_like(F.lower("path"), F.lit("(" + "|".join(x.replace(".", r"\.") for x in IMAGES) + ")$"))
+    shown = files.where(image)
+    problems = []
+    if names is not None:
+        wanted, base = [], hadoop_path(spark, root)[0].makeQualified(hadoop_path(spark, root)[1]).toString()
+        for name in names:
+            try:
+                wanted.append((name, f"{base}/{jailed(name)}"))
+            except ValueError as e:
+                problems.append((name, str(e)))
+        asked = spark.createDataFrame(wanted, "name string, _path string").where(F.regexp_like(F.lower("name"), F.lit("(" + "|".join(x.replace(".", r"\.") for x in IMAGES) + ")$")))
+        plain = F.regexp_replace("path", "^file:/+", "file:/")
+        shown = shown.join(F.broadcast(asked.select("_path").distinct()), plain == F.regexp_replace("_path", "^file:/+", "file:/"), "left_semi")
+        there = files.select(plain.alias("_path"))
+        gone = asked.join(there, F.regexp_replace(asked["_path"], "^file:/+", "file:/") == there["_path"], "left_anti")
+        missing = gone.select(F.col("name").alias("path"), F.lit("no such file").alias("problem"))
+    else:
+        missing = spark.createDataFrame([], "path string, problem string")
+    large = shown.where(F.col("length") > most).select("path", F.format_string("%dB exceeds %dB cap", "length", F.lit(most)).alias("problem"))
+    refused = spark.createDataFrame(problems, "path string, problem string")
+    return shown.where(F.col("length") <= most).select("path", "length", "content"), refused.union(missing).union(large)
+
+
+def run_folders(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Configurations, summaries (status; for the runs that have one) and metrics of every run folder, with run_id."""
+    run = F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/[^/]+$", 1).alias("run_id")
 
+    def whole(name: str, column: str) -> DataFrame:
+        folder = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name)
+        return folder.text(root, wholetext=True).select(run, F.col("value").alias(column))
 
-def run_folders(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """Configurations and metrics of every run folder, with run_id."""
-    run = F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/[^/]+$", 1).alias("run_id")
-    configs = spark.read.text(f"{root}/*/config.json", wholetext=True).select(run, F.col("value").alias("config"))
-    metrics = spark.read.schema(METRIC).json(f"{root}/*/metrics.jsonl").select(run, "*")
-    return configs, metrics
+    summaries = whole("summary.json", "summary").withColumn("status", F.get_json_object("summary", "$.status"))
+    metrics = spark.read.schema(METRIC).option("recursiveFileLookup", True).option("pathGlobFilter", "metrics.jsonl").json(root).select(run, "*")
+    return whole("config.json", "config"), summaries, metrics
 
 
 def write_jsonl(df: DataFrame, path: str, drop: tuple[str, ...] = ("_family",)) -> None:
