@@ -2,35 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.functions import numeric, text
 from loomspark.functions.numeric import fixed
-from loomspark.operators import audit, evaluation, filings, inspection, links, registry, retrieval, routing, runstats, traces
+from loomspark.operators import audit, evaluation, links, retrieval, routing, runstats, traces
+from loomspark.plans.base import ORACLE, QUERIES, query, t  # noqa: F401  kept here for the driver
+from loomspark.sources.scratch import materialise
 from loomspark.streaming import logs
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(fn: Query) -> Query:
-        QUERIES[fn.__name__] = fn
-        if sql:
-            ORACLE[fn.__name__] = sql
-        return fn
-
-    return add
-
-
-def t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
-
 TOK = r"regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9][a-z0-9\-]*')"
 BM25 = rf"""
 toks AS (SELECT doc_id, {TOK} AS tk FROM documents),
@@ -51,34 +31,63 @@ def bm25_search(spark, d):
     return retrieval.bm25_search(spark, d)
 
 
-def _dense(spark, d):
+def _asked(spark, d):
     v = t(spark, d, "embeddings")
-    return retrieval.dense(v, v.where("vec_id = 0"))
+    return v, v.where("vec_id % 100 = 0")
 
 
 DENSE = """
-q AS (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = 0),
-dn AS (SELECT vec_id, CAST(CAST(list_dot_product(embedding::DOUBLE[], e) AS DECIMAL(30,6)) AS DOUBLE) AS score FROM embeddings, q)
+q AS (SELECT vec_id AS query, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 100 = 0),
+dn AS (SELECT query, vec_id, CAST(CAST(list_dot_product(embedding::DOUBLE[], e) AS DECIMAL(30,6)) AS DOUBLE) AS score FROM embeddings, q),
+dr AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS rank FROM dn)
 """
 
 
-@query(f"WITH {DENSE} SELECT * FROM dn ORDER BY score DESC, vec_id LIMIT 20")
+@query(f"WITH {DENSE} SELECT query, vec_id, score, rank FROM dr WHERE rank <= 20")
 def dense_rank_topk(spark, d):
-    return retrieval.top(_dense(spark, d), "vec_id", 20)
+    """Each vector whose id is divisible by 100 against all."""
+    return retrieval.dense(*_asked(spark, d), 20).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(f"""WITH {BM25} SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM bm""")
+def bm25_ranks(spark, d):
+    return retrieval.ranks(retrieval.bm25(t(spark, d, "documents"), retrieval.QUERY), "doc_id")
 
 
 @query(f"""WITH {BM25}, {DENSE},
 r1 AS (SELECT doc_id AS id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM bm),
-r2 AS (SELECT vec_id AS id, row_number() OVER (ORDER BY score DESC, vec_id) AS rank FROM dn)
-SELECT id, CAST(CAST(sum(1.0::DOUBLE / (60 + rank)) AS DECIMAL(30,9)) AS DOUBLE) AS score
-FROM (SELECT * FROM r1 UNION ALL SELECT * FROM r2) GROUP BY id ORDER BY 2 DESC, 1 LIMIT 20""")
+p AS (SELECT query, id, rank FROM r1, q UNION ALL SELECT query, vec_id, rank FROM dr),
+f AS (SELECT query, id, CAST(CAST(sum(1.0::DOUBLE / (60 + rank)) AS DECIMAL(30,9)) AS DOUBLE) AS score FROM p GROUP BY ALL)
+SELECT query, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS r FROM f) WHERE r <= 20""")
 def rrf_fusion(spark, d):
-    a = retrieval.bm25(t(spark, d, "documents"), retrieval.QUERY).withColumnRenamed("doc_id", "id")
-    b = _dense(spark, d).withColumnRenamed("vec_id", "id")
-    return retrieval.fuse([retrieval.ranks(a, "id"), retrieval.ranks(b, "id")], "id", 20)
+    """One text query's ranking fused with the dense ranking of each vector whose id is divisible by 100."""
+    ranked = retrieval.ranks(retrieval.bm25(t(spark, d, "documents"), retrieval.QUERY), "doc_id").withColumnRenamed("doc_id", "id")
+    return retrieval.hybrid(materialise(ranked, "ranking"), *_asked(spark, d), 20)
 
 
-@query()
+@query(f"""WITH {BM25}, o AS (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = 0),
+r1 AS (SELECT doc_id AS id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM bm),
+d AS (SELECT vec_id AS id, CAST(CAST(list_dot_product(embedding::DOUBLE[], e) AS DECIMAL(30,6)) AS DOUBLE) AS score FROM embeddings, o),
+r2 AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM d)
+SELECT id, CAST(CAST(sum(1.0::DOUBLE / (60 + rank)) AS DECIMAL(30,9)) AS DOUBLE) AS score FROM (SELECT * FROM r1 UNION ALL SELECT * FROM r2) GROUP BY id ORDER BY 2 DESC, 1 LIMIT 5""")
+def fuse_rankings(spark, d):
+    """J4 on whole rankings."""
+    v = t(spark, d, "embeddings")
+    one = v.where("vec_id = 0").select(F.col("embedding").alias("_q"))
+    scored = v.join(F.broadcast(one)).select(F.col("vec_id").alias("id"), fixed(numeric.dot(F.col("embedding"), F.col("_q"))).alias("score"))  # one row
+    a = retrieval.ranks(retrieval.bm25(t(spark, d, "documents"), retrieval.QUERY).withColumnRenamed("doc_id", "id"), "id")
+    return retrieval.fuse([a, retrieval.ranks(scored, "id")], "id")
+
+
+@query(r"""WITH RECURSIVE b AS (SELECT doc_id, trim(regexp_replace(text, '\n', E'\n\n', 'g'), E' \n\t\r') AS body FROM documents WHERE length(trim(text, E' \n\t\r')) > 0),
+p AS (SELECT doc_id, body, list_filter(regexp_split_to_array(body, '\n\s*\n'), lambda x: length(trim(x, E' \n\t\r')) > 0) AS ps FROM b),
+f AS (SELECT doc_id, ps, 1 AS i, 0 AS ix, '' AS cur, NULL::VARCHAR AS done FROM p WHERE length(body) > 2000
+  UNION ALL SELECT doc_id, ps, i + 1, CASE WHEN cur <> '' AND length(cur) + length(ps[i]) + 2 > 2000 THEN ix + 1 ELSE ix END,
+    CASE WHEN cur = '' THEN ps[i] WHEN length(cur) + length(ps[i]) + 2 > 2000 THEN right(cur, 300) || E'\n\n' || ps[i] ELSE cur || E'\n\n' || ps[i] END,
+    CASE WHEN cur <> '' AND length(cur) + length(ps[i]) + 2 > 2000 THEN cur END FROM f WHERE i <= len(ps)),
+c AS (SELECT doc_id, 0 AS chunk_ix, body AS t FROM p WHERE length(body) <= 2000
+  UNION ALL SELECT doc_id, ix - 1, done FROM f WHERE done IS NOT NULL UNION ALL SELECT doc_id, ix, cur FROM f WHERE i = len(ps) + 1 AND cur <> '')
+SELECT doc_id, '' AS section, chunk_ix::BIGINT AS chunk_ix, length(t)::INT AS chars, sha256(t) AS sha FROM c""")
 def chunk_pack(spark, d):
     """Lines count as paragraphs here, as the tables' texts have no blank lines."""
     docs = t(spark, d, "documents").select("doc_id", F.regexp_replace("text", "\n", "\n\n").alias("text"))
@@ -122,14 +131,15 @@ cent AS (SELECT label, term, w / sqrt(sum(w * w) OVER (PARTITION BY label)) AS w
 def _lexical(spark, d):
     docs = t(spark, d, "documents")
     feats = routing.features(docs, "lang")
-    weights = routing.idf(feats, docs, "lang")
-    return feats, weights, routing.centroids(feats, weights)
+    freqs = feats.groupBy("term", "label").agg(F.count(F.lit(1)).alias("d"))
+    weights = materialise(routing.idf(freqs, docs, "lang"), "idf")
+    return feats, weights, materialise(routing.centroids(feats, weights), "centroids")
 
 
 @query(f"WITH {FEATS} SELECT term, df, cf, CAST(CAST(idf AS DECIMAL(30,6)) AS DOUBLE) AS idf FROM idf")
 def tfidf_idf(spark, d):
     docs = t(spark, d, "documents")
-    out = routing.idf(routing.features(docs, "lang"), docs, "lang")
+    out = routing.idf(routing.frequencies(docs, "lang"), docs, "lang")
     return out.select("term", "df", "cf", fixed(F.col("idf")).alias("idf"))
 
 
@@ -160,6 +170,27 @@ def lexical_confusion(spark, d):
     return best.join(docs, "id").groupBy("want", F.col("predicted").alias("got")).agg(F.count(F.lit(1)).alias("n"))
 
 
+LEX_LOO = """,
+g AS (SELECT label, term, sum(1 + ln(tf)) AS s, count(*) AS d FROM tf GROUP BY ALL),
+nd AS (SELECT count(*) AS n FROM documents),
+b0 AS (SELECT term, count(*) AS cf, sum(d) AS df, (ln(any_value(n)::DOUBLE / (sum(d) + 1)) + 1) * (ln((SELECT c FROM tot)::DOUBLE / count(*)) + 1) AS idf FROM g, nd GROUP BY term),
+sq AS (SELECT label, sum((s * idf) * (s * idf)) AS q FROM g JOIN b0 USING (term) GROUP BY label),
+own AS (SELECT tf.id, tf.label AS want, tf.term, 1 + ln(tf.tf) AS w, b0.idf,
+  CASE WHEN df > 1 THEN (ln(n::DOUBLE / df) + 1) * (ln((SELECT c FROM tot)::DOUBLE / (cf - (g.d = 1)::INT)) + 1) ELSE 0 END AS lf
+  FROM tf JOIN b0 USING (term) JOIN g ON g.term = tf.term AND g.label = tf.label, nd),
+pr AS (SELECT own.id, any_value(want) AS want, g.label, sum(w * lf * (s - CASE WHEN g.label = want THEN w ELSE 0 END) * lf) AS dot,
+  sum(((s - CASE WHEN g.label = want THEN w ELSE 0 END) * lf) * ((s - CASE WHEN g.label = want THEN w ELSE 0 END) * lf) - (s * idf) * (s * idf)) AS more FROM own JOIN g USING (term) GROUP BY own.id, g.label),
+qn AS (SELECT id, any_value(want) AS want, sqrt(sum(w * lf * w * lf)) AS norm FROM own GROUP BY id),
+lo AS (SELECT qn.id, qn.want, sq.label, CAST(CAST(coalesce(dot, 0) / CASE WHEN q + coalesce(more, 0) > 1e-12 THEN sqrt(q + coalesce(more, 0)) ELSE 1 END / CASE WHEN norm > 0 THEN norm ELSE 1 END AS DECIMAL(30,4)) AS DOUBLE) AS score
+  FROM qn CROSS JOIN sq LEFT JOIN pr ON pr.id = qn.id AND pr.label = sq.label)
+"""
+
+
+@query(f"WITH {FEATS} {LEX_LOO} SELECT id, want, label, score FROM lo")
+def lexical_loo(spark, d):
+    return routing.lexical_loo(t(spark, d, "documents"), "lang")
+
+
 CENT = """
 x AS (SELECT vec_id, label, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings),
 m AS (SELECT label, pos, avg(x) AS m FROM x GROUP BY ALL),
@@ -217,6 +248,11 @@ def loo_accuracy(spark, d):
     return evaluation.held_out_accuracy(_loo(spark, d))
 
 
+@query(f"WITH {LOO} SELECT id, want, label AS got FROM b WHERE r = 1 AND want <> label")
+def held_out_misses(spark, d):
+    return evaluation.misses(_loo(spark, d))
+
+
 def _loo(spark, d):
     s = routing.loo_scores(t(spark, d, "embeddings"))
     return s.groupBy("id").agg(F.max("want").alias("want"), F.min_by("label", F.struct(-F.col("score"), F.col("label"))).alias("got"))
@@ -227,9 +263,12 @@ def confusion(spark, d):
     return evaluation.confusion(_loo(spark, d))
 
 
-@query(f"""WITH {LOO}, w AS (SELECT unnest(range(11)) / 10.0 AS weight),
-a AS (SELECT weight, id, arg_min(label, (-(score * weight + (label = 0)::INT * (1 - weight)::DOUBLE * 0.1), label)) AS got, any_value(want) AS want FROM sc, w GROUP BY ALL)
-SELECT weight::DOUBLE AS weight, count(*) FILTER (want = got) AS correct FROM a GROUP BY weight""")
+SWEEP = f"""{LOO}, w AS (SELECT unnest(range(11)) / 10.0 AS weight),
+a AS (SELECT weight, id, arg_min(label, (-(score * weight + (label = 0)::INT * (1 - weight)::DOUBLE * 0.1), label)) AS got, any_value(want) AS want FROM sc, w GROUP BY ALL),
+sw AS (SELECT weight::DOUBLE AS weight, count(*) FILTER (want = got) AS correct FROM a GROUP BY weight)"""
+
+
+@query(f"WITH {SWEEP} SELECT weight, correct FROM sw")
 def weight_sweep(spark, d):
     """Accuracy by weight of the score against a prior for label 0; folds are scored once."""
     s = routing.loo_scores(t(spark, d, "embeddings"))
@@ -239,65 +278,17 @@ def weight_sweep(spark, d):
     return got.groupBy("weight").agg(F.count(F.when(F.col("want") == F.col("got"), 1)).alias("correct"))
 
 
-PROMPTS = [
-    ("Run this script and show the output", []), ("Run this python script, it crashes on empty rows", []), ("What does the hydrotest certificate say?", []),
-    ("Put the readings in an Excel sheet", []), ("Write it up as a word document", []), ("What is on this page?", ["a.png"]), ("Compare", ["a.pdf", "b.jpg"]), ("Summarise", ["notes.txt"]),
-]
+@query(f"WITH {SWEEP} SELECT weight, correct FROM sw ORDER BY correct DESC, weight LIMIT 1")
+def best_weight(spark, d):
+    return routing.best_weight(weight_sweep(spark, d))
 
 
-@query(r"""WITH p(prompt, modality) AS (VALUES
-('Run this script and show the output', 'text'), ('Run this python script, it crashes on empty rows', 'text'), ('What does the hydrotest certificate say?', 'text'),
-('Put the readings in an Excel sheet', 'text'), ('Write it up as a word document', 'text'), ('What is on this page?', 'image'), ('Compare', 'mixed'), ('Summarise', 'text')),
-c AS (SELECT *, regexp_matches(prompt, '(?i)\b(run|execute|debug|traceback)\b') AND regexp_matches(prompt, '(?i)\b(script|code|program|python|snippet|function|pytest|unit tests?|stack trace)\b') AS code FROM p)
-SELECT prompt, modality, CASE WHEN modality <> 'text' THEN 'scan_understanding,drawing_qa,handwriting'
-  WHEN code AND regexp_matches(prompt, '(?i)\b(fix|crash(es|ed)?|error|bug)\b') THEN 'code_fix,code_write' WHEN code THEN 'code_write'
-  WHEN regexp_matches(prompt, '(?i)\.xlsx\b|\bexcel\b|\bspreadsheet\b') THEN 'spreadsheet' WHEN regexp_matches(prompt, '(?i)\.docx\b|\bword document\b') THEN 'approval_note,summarize' END AS allowed
-FROM c""")
-def override_rules(spark, d):
-    out = routing.overrides(spark.createDataFrame(PROMPTS, "prompt string, files array<string>"))
-    return out.select("prompt", "modality", F.array_join("allowed", ",").alias("allowed"))
-
-
-MODELS = [
-    (0, "small", "gpu", 2.6, ["qa", "summarize"], 10), (1, "coder", "gpu", 4.6, ["code_fix", "code_write"], 10), (2, "huge", "gpu", 42.0, ["qa"], 1),
-    (3, "cpu", "cpu", 9.0, ["qa", "vision"], 20), (4, "small", "gpu", 3.0, ["qa"], 5),
-]
-MODELS_SQL = """m(ord, id, device, vram_gb, routes, priority) AS (VALUES (0, 'small', 'gpu', 2.6::DOUBLE, ['qa', 'summarize'], 10), (1, 'coder', 'gpu', 4.6, ['code_fix', 'code_write'], 10),
-(2, 'huge', 'gpu', 42.0, ['qa'], 1), (3, 'cpu', 'cpu', 9.0, ['qa', 'vision'], 20), (4, 'small', 'gpu', 3.0, ['qa'], 5)),
-v AS (SELECT *, CASE WHEN device = 'gpu' AND vram_gb > 5.2 THEN printf('needs %.1f GB, budget is %.1f GB', vram_gb, 5.2::DOUBLE)
-  WHEN row_number() OVER (PARTITION BY id, device = 'gpu' AND vram_gb > 5.2 ORDER BY ord) > 1 THEN 'duplicate id' END AS reason FROM m)"""
-
-
-def _models(spark):
-    models = spark.createDataFrame(MODELS, "ord int, id string, device string, vram_gb double, routes array<string>, priority int")
-    return registry.verdicts(models, spark.createDataFrame([(5.2,)], "budget_gb double"))
-
-
-@query(f"WITH {MODELS_SQL} SELECT ord, id, reason FROM v")
-def registry_filter(spark, d):
-    return _models(spark).select("ord", "id", "reason")
-
-
-def _resolved(spark):
-    tasks = spark.createDataFrame([(x,) for x in ("qa", "summarize", "code_fix", "vision", "handwriting")], "task string")
-    return registry.resolve(_models(spark).where("reason is null"), tasks, "small")
-
-
-@query(f"""WITH {MODELS_SQL}, o AS (SELECT unnest(routes) AS task, * EXCLUDE routes FROM v WHERE reason IS NULL),
-b AS (SELECT task, id, row_number() OVER (PARTITION BY task ORDER BY priority, vram_gb, ord) AS r FROM o)
-SELECT t.task, coalesce(b.id, 'small') AS model_id FROM (VALUES ('qa'), ('summarize'), ('code_fix'), ('vision'), ('handwriting')) t(task) LEFT JOIN b ON b.task = t.task AND r = 1""")
-def registry_resolve(spark, d):
-    return _resolved(spark)
-
-
-@query()
-def route_decision(spark, d):
-    asked = spark.createDataFrame(
-        [("What is the limit?", "qa", 0.32, "summarize", 0.05, "text", None, 0, 0), ("Fix it", "code_fix", 0.5, "qa", 0.1, "text", "small", 0, 0), ("See page", "vision", 0.4, "qa", 0.2, "pdf", "cpu", 1, 0)],
-        "prompt string, first string, first_score double, second string, second_score double, modality string, resident string, pdfs int, others int",
-    )
-    out = routing.decisions(asked.join(_resolved(spark), F.col("first") == F.col("task")))
-    return out.select("prompt", "model_id", "est_ctx", "swap_required", "decision")
+@query(f"""WITH {CENT}, r AS (SELECT id, label, score, row_number() OVER (PARTITION BY id ORDER BY score DESC, label) AS r FROM ds WHERE id % 3 = 0 OR label IN (1, 4, 7))
+SELECT id, label::VARCHAR AS predicted FROM r WHERE r = 1""")
+def candidate_restriction(spark, d):
+    """Two of three rows may only go to three labels."""
+    scores = _dense_scores(spark, d).withColumn("allowed", F.when(F.col("id") % 3 != 0, F.array(F.lit(1), F.lit(4), F.lit(7))))
+    return routing.best_label(routing.restricted(scores))
 
 
 @query("SELECT doc_id, (length(text) // 4 + 512)::BIGINT AS est_ctx FROM documents")
@@ -321,12 +312,14 @@ def audit_chain(spark, d):
     return _chain(spark, d).withColumn("seq", F.col("seq").cast("long"))
 
 
-@query("SELECT false AS ok, 3::BIGINT AS broken_at")
+@query("""WITH l AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS line_no, event_type, user_id, value FROM events), g AS (SELECT line_no, line_no > 2 AND user_id % 7 = 3 AS changed FROM l)
+SELECT count(*) FILTER (changed) = 0 AS ok, min(line_no) FILTER (changed) AS broken_at FROM g""")
 def audit_chain_verify(spark, d):
-    """A log of all events, its fourth line altered."""
+    """A log of all events, in which some users' lines after the third are altered."""
     events = t(spark, d, "events")
     log = audit.text_log(events, "event_id", F.to_json(F.struct(*sorted(events.columns))))
-    altered = F.when(F.col("line_no") == 3, F.replace("payload", F.lit('"event_type":'), F.lit('"event_tipe":'))).otherwise(F.col("payload"))
+    changed = (F.col("line_no") > 2) & (F.get_json_object("payload", "$.user_id").cast("long") % 7 == 3)
+    altered = F.when(changed, F.replace("payload", F.lit('"event_type":'), F.lit('"event_tipe":'))).otherwise(F.col("payload"))
     return audit.verify(log.withColumn("digest", F.sha2(altered, 256)))
 
 
@@ -369,81 +362,6 @@ def drop_total(spark, d):
     return logs.running_total(_drops(spark, d))
 
 
-@query("""SELECT * FROM (VALUES ('20,988 03', 20988.03::DOUBLE), ('28.785 92', 28785.92), ('3,818,05', 3818.05), ('(481.45)', -481.45), ('-', NULL), ('1234', 1234.0), ('--', NULL)) x(token, value)""")
-def number_repair(spark, d):
-    df = spark.createDataFrame([(x,) for x in ("20,988 03", "28.785 92", "3,818,05", "(481.45)", "-", "1234", "--")], "token string")
-    return df.select("token", text.repaired_number(F.col("token")).cast("double").alias("value"))
-
-
-@query()
-def figures(spark, d):
-    rows = filings.lines(t(spark, d, "documents"))
-    return filings.line_figures(rows)
-
-
-@query("""WITH l AS (SELECT l_orderkey AS doc_id, l_linenumber AS line, (CAST(l_extendedprice AS DECIMAL(18,2)) * 100)::BIGINT AS cents FROM lineitem),
-tot AS (SELECT doc_id, max(line) + 1 AS row, (sum(cents) FILTER (line <= 2))::BIGINT AS total FROM l GROUP BY doc_id),
-p AS (SELECT t.doc_id, t.row, t.total, a.cents AS a, b.cents AS b FROM tot t JOIN l a USING (doc_id) JOIN l b USING (doc_id)
-  WHERE a.cents + b.cents = t.total AND a.cents > 0 AND a.cents <= t.total AND b.cents >= 0 AND b.cents <= a.cents AND a.line >= t.row - 40 AND b.line >= t.row - 40)
-SELECT doc_id, row, total, max(a) AS a, total - max(a) AS b FROM p GROUP BY doc_id, row, total""")
-def two_sum_reconcile(spark, d):
-    """An order's lines as the rows of a statement, the first two summed as its total."""
-    cents = (F.col("l_extendedprice").cast("decimal(18,2)") * 100).cast("long")
-    figs = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("line"), F.lit(0).alias("ord"), cents.alias("cents"))
-    sums = figs.groupBy("doc_id").agg((F.max("line") + 1).alias("line"), F.sum(F.when(F.col("line") <= 2, F.col("cents"))).alias("total"))
-    return filings.two_sum(figs, sums)
-
-
-@query(r"""WITH v AS (SELECT CASE WHEN length(coalesce(text, '')) < 1000 THEN 'scanned' WHEN regexp_matches(text, '[0-9]') THEN 'text+facts' ELSE 'text-only' END AS verdict,
-  regexp_matches(coalesce(text, ''), '[0-9]')::INT AS facts FROM documents) SELECT verdict, count(*) AS n, sum(facts)::BIGINT AS facts FROM v GROUP BY verdict""")
-def filing_verdict(spark, d):
-    facts = F.regexp_like(F.coalesce("text", F.lit("")), F.lit("[0-9]")).cast("int")
-    docs = t(spark, d, "documents").select(filings.verdict(F.length(F.coalesce("text", F.lit(""))), facts).alias("verdict"), facts.alias("facts"))
-    return filings.roll_up(docs)
-
-
-READ = """r AS (SELECT l_orderkey AS doc_id, l_linenumber AS ord, 'S' || l_linenumber AS grid, CAST(10 + l_quantity / 10 AS DECIMAL(18,2))::DOUBLE AS previous,
-CAST(10 + l_quantity / 10 - l_tax * 20 AS DECIMAL(18,2))::DOUBLE AS current, CAST(l_tax * 20 AS DECIMAL(18,2))::DOUBLE AS loss, 5.0::DOUBLE AS years, 7.4::DOUBLE AS t_min FROM lineitem),
-g AS (SELECT *, (previous - current) / years AS rate, CASE WHEN (previous - current) / years > 0 THEN (current - t_min) / ((previous - current) / years) ELSE 'inf'::DOUBLE END AS life FROM r)"""
-
-
-def _readings(spark, d):
-    two = lambda c: c.cast("decimal(18,2)").cast("double")
-    q, x = 10 + F.col("l_quantity") / 10, F.col("l_tax") * 20
-    return t(spark, d, "lineitem").select(
-        F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("ord"), F.concat(F.lit("S"), F.col("l_linenumber")).alias("grid"), F.lit("shell").alias("location"),
-        two(q).alias("previous"), two(q - x).alias("current"), two(x).alias("loss"), F.lit(5.0).alias("years"), F.lit(7.4).alias("t_min"),
-    )
-
-
-@query(f"WITH {READ} SELECT doc_id, grid, CAST(CAST(rate AS DECIMAL(30,4)) AS DOUBLE) AS rate, CASE WHEN isinf(life) THEN NULL ELSE CAST(CAST(life AS DECIMAL(30,4)) AS DOUBLE) END AS life FROM g")
-def inspection_rates(spark, d):
-    out = inspection.rates(_readings(spark, d))
-    return out.select("doc_id", "grid", fixed(F.col("rate"), 4).alias("rate"), F.when(F.col("life") != float("inf"), fixed(F.when(F.col("life") != float("inf"), F.col("life")), 4)).alias("life"))
-
-
-@query(f"""WITH {READ} SELECT doc_id, arg_min(grid, (current, ord, life)) AS governing, min(current) AS current, max(loss) AS max_loss, arg_max(grid, (loss, -ord)) AS max_loss_grid, count(*) AS grids FROM g GROUP BY doc_id""")
-def governing_min_by(spark, d):
-    return inspection.facts(inspection.rates(_readings(spark, d))).select("doc_id", "governing", "current", "max_loss", "max_loss_grid", "grids")
-
-
-@query(f"""WITH {READ}, v AS (
-SELECT doc_id, 'loss mismatch' AS rule, grid FROM g WHERE abs(previous - current - loss) > 0.005 UNION ALL
-SELECT doc_id, 'non-physical', grid FROM g WHERE previous <= 0 OR current <= 0 UNION ALL
-SELECT doc_id, 'wall grew', grid FROM g WHERE current > previous UNION ALL
-SELECT doc_id, 'grid life', grid FROM g WHERE isinf(life) OR life IS NULL UNION ALL
-SELECT doc_id, 'life', gv FROM (SELECT doc_id, arg_min(grid, (current, ord, life)) AS gv, arg_min(life, (current, ord, life)) AS gl FROM g GROUP BY doc_id) WHERE isinf(gl) OR gl <= 0)
-SELECT rule, count(*) AS n FROM v GROUP BY rule""")
-def consistency_violations(spark, d):
-    rated = inspection.rates(_readings(spark, d))
-    return inspection.violations(rated, inspection.facts(rated)).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query(f"""WITH {READ} SELECT doc_id, a.grid AS grid_a, b.grid AS grid_b FROM r a JOIN r b USING (doc_id) WHERE a.grid < b.grid AND a.current <> b.current AND abs(a.current - b.current) <= 0.055""")
-def tolerance_collisions(spark, d):
-    return inspection.confusable(_readings(spark, d), 0.055).select("doc_id", "grid_a", "grid_b")
-
-
 @query("""SELECT p_partkey, CAST(CAST(least(p_size / 2.0, 10.0) AS DECIMAL(30,4)) AS DOUBLE) AS next_interval,
 CASE WHEN 100.0 * 0.85 - 0.6 * p_size > 0 THEN CAST(CAST(p_size::DOUBLE * p_retailprice / (100.0::DOUBLE * 0.85::DOUBLE - 0.6::DOUBLE * p_size) AS DECIMAL(30,4)) AS DOUBLE) END AS thickness FROM part""")
 def engineering_formulas(spark, d):
@@ -454,29 +372,6 @@ def engineering_formulas(spark, d):
     )
 
 
-ANSWERS = [
-    ("a", "x", "The life is 5.03 years", 5.0, [], []), ("b", "x", "about 1,250 mm", 1250.0, [], []), ("c", "y", "9 years", 5.0, [], []), ("d", "y", "", 5.0, [], []),
-    ("e", "y", "cannot say", 5.0, [], []), ("f", "z", "UNKNOWN, not in the report", None, ["unknown"], []), ("g", "z", "it is 7", None, ["unknown"], []),
-    ("h", "z", "keep running for 5 years", 5.0, [], ["keep running"]), ("i", "z", "5.0", 5.0, ["years"], []),
-]
-
-
-def _answers(spark):
-    df = spark.createDataFrame(ANSWERS, "id string, category string, answer string, truth double, must_say array<string>, unsafe_if array<string>")
-    return df.select("id", "category", evaluation.answer_verdict(F.col("answer"), F.col("truth"), F.col("must_say"), F.col("unsafe_if")).alias("verdict"), evaluation.extracted(F.col("answer"), F.col("truth")).alias("extracted"))
-
-
-@query("""SELECT * FROM (VALUES ('a', 'correct', 5.03::DOUBLE), ('b', 'correct', 1250.0), ('c', 'wrong', 9.0), ('d', 'failed', NULL), ('e', 'failed', NULL), ('f', 'correct', NULL), ('g', 'wrong', 7.0),
-('h', 'unsafe', 5.0), ('i', 'wrong', 5.0)) x(id, verdict, extracted)""")
-def answer_verdict(spark, d):
-    return _answers(spark).select("id", "verdict", "extracted")
-
-
-@query("SELECT * FROM (VALUES ('correct', 3::BIGINT), ('wrong', 3), ('unsafe', 1), ('failed', 2)) x(verdict, n)")
-def tally_zero_filled(spark, d):
-    return evaluation.tally(_answers(spark))
-
-
 def _wilson_sql(c: str, n: str) -> tuple[str, str]:
     p, z2 = f"({c}::DOUBLE / {n})", "(1.96::DOUBLE * 1.96)"
     centre = f"({p} + {z2} / (2 * {n}))"
@@ -496,30 +391,6 @@ def by_category(spark, d):
     return evaluation.by_category(rows.select(F.col("lang").alias("category"), F.when(F.col("toxic") == 0, "correct").otherwise("wrong").alias("verdict")))
 
 
-@query(f"""WITH c(correct, n) AS (VALUES (0, 30), (30, 30), (1, 240), (239, 240), (1231, 1440)) SELECT correct::BIGINT AS correct, n::BIGINT AS n, {LOW} AS low, {HIGH} AS high FROM c""")
-def wilson_ci(spark, d):
-    df = spark.createDataFrame([(0, 30), (30, 30), (1, 240), (239, 240), (1231, 1440)], "correct long, n long")
-    low, high = numeric.wilson(F.col("correct"), F.col("n"))
-    return df.select("correct", "n", fixed(low).alias("low"), fixed(high).alias("high"))
-
-
-@query("SELECT * FROM (VALUES (5::BIGINT, 7::BIGINT, 8::BIGINT, false), (120, 200, 240, true)) x(a, b, n, separated)")
-def separated(spark, d):
-    df = spark.createDataFrame([(5, 7, 8), (120, 200, 240)], "a long, b long, n long")
-    return df.withColumn("separated", numeric.separated(numeric.wilson(F.col("a"), F.col("n")), numeric.wilson(F.col("b"), F.col("n"))))
-
-
-@query("SELECT * FROM (VALUES ('ok', NULL), ('bad count', 'counts'), ('bad share', 'accuracy'), ('bad interval', 'ci95')) x(ref, problem)")
-def result_reconcile(spark, d):
-    rows = [("ok", 7, 1, 0, 0, 8, 0.875, 0.529111, 0.977585), ("bad count", 7, 0, 0, 0, 8, 0.875, 0.529, 0.9776), ("bad share", 7, 1, 0, 0, 8, 0.8, 0.529, 0.9776), ("bad interval", 7, 1, 0, 0, 8, 0.875, 0.4, 0.9776)]
-    return evaluation.reconcile(spark.createDataFrame(rows, "ref string, correct long, wrong long, unsafe long, failed long, n long, accuracy double, low double, high double"))
-
-
-@query("SELECT CAST(CAST(1231.0 / 1440 AS DECIMAL(30,6)) AS DOUBLE) AS accuracy, CAST(CAST(100 * (621.0::DOUBLE / 720 - 610.0::DOUBLE / 720) AS DECIMAL(30,4)) AS DOUBLE) AS noise_points")
-def pooled_baseline(spark, d):
-    return evaluation.pooled(spark.createDataFrame([(621, 720), (610, 720)], "correct long, n long"))
-
-
 @query("""WITH p AS (SELECT conv_id, count(*) AS turns, arg_min(text, turn) AS prompt, list_sort(list(DISTINCT role)) AS roles FROM conversations GROUP BY conv_id)
 SELECT count(*) AS traces, count(DISTINCT prompt) AS prompts, count(DISTINCT roles) AS role_sets, max(turns) AS longest, sum(turns)::BIGINT AS turns FROM p""")
 def trace_profile(spark, d):
@@ -552,9 +423,17 @@ def prompt_grouped_split(spark, d):
     return traces.split_by_prompt(t(spark, d, "conversations")).select("conv_id", "side")
 
 
-@query(f"WITH {SPLIT} SELECT prompt FROM s WHERE side = 'train' INTERSECT SELECT prompt FROM s WHERE side = 'eval'")
+@query("SELECT text AS prompt FROM documents WHERE doc_id % 5 <> 0 INTERSECT SELECT text FROM documents WHERE doc_id % 5 = 0")
 def leak_check(spark, d):
-    return traces.leaked(traces.split_by_prompt(t(spark, d, "conversations")))
+    """A split by id, which leaves copies on both sides."""
+    side = F.when(F.col("doc_id") % 5 == 0, "eval").otherwise("train")
+    return traces.leaked(t(spark, d, "documents").select(F.col("text").alias("prompt"), side.alias("side")))
+
+
+@query(f"WITH {SPLIT} SELECT count(*) AS leaked FROM (SELECT prompt FROM s WHERE side = 'train' INTERSECT SELECT prompt FROM s WHERE side = 'eval')")
+def leak_free_split(spark, d):
+    """A split by prompt has none."""
+    return traces.leaked(traces.split_by_prompt(t(spark, d, "conversations"))).agg(F.count(F.lit(1)).alias("leaked"))
 
 
 @query("SELECT sha256(text) AS digest, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1")
@@ -579,25 +458,27 @@ def link_extract(spark, d):
     return links.hrefs(t(spark, d, "pages")).drop("url")
 
 
-@query()
-def link_scope(spark, d):
-    return links.targets(links.in_scope(links.hrefs(t(spark, d, "pages")), r"(?i)/", r"(?i)(purchase|buy|cart|checkout|login|signin|register|payment)"))
-
-
-@query("SELECT page_id, octet_length(encode(html)) AS bytes, sha256(html) AS sha256 FROM pages")
+@query(r"""WITH p AS (SELECT *, regexp_replace(regexp_replace(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#;]*)', 1), '[^A-Za-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS s FROM pages)
+SELECT page_id, CASE WHEN s = '' THEN 'index' ELSE left(lower(s), 80) END || CASE WHEN lower(url) LIKE '%.pdf' THEN '.pdf' ELSE '.html' END AS file, octet_length(encode(html)) AS bytes, sha256(html) AS sha256 FROM p""")
 def fetch_manifest(spark, d):
-    return links.manifest(t(spark, d, "pages")).select("page_id", F.col("bytes").cast("long").alias("bytes"), "sha256")
+    """K10, F18, F33, F35"""
+    return links.manifest(t(spark, d, "pages")).select("page_id", "file", F.col("bytes").cast("long").alias("bytes"), "sha256")
 
 
 def _metrics(spark, d):
     e = t(spark, d, "events")
     return e.select(
-        F.col("event_type").alias("run_id"), F.col("event_id").alias("step"), F.col("event_id").cast("double").alias("t"),
+        F.col("event_type").alias("run_id"), F.col("event_id").alias("step"), F.col("event_id").cast("double").alias("t"), F.lit(200_000).cast("long").alias("total_steps"),
         F.when(F.col("event_id") % 3 == 0, F.col("value")).alias("loss"), F.when(F.col("event_id") % 5 == 0, F.col("user_id") % 60 / 10).alias("vram_gb"),
     )
 
 
 METRICS = "m AS (SELECT event_type AS run_id, event_id AS step, event_id::DOUBLE AS t, CASE WHEN event_id % 3 = 0 THEN value END AS loss, CASE WHEN event_id % 5 = 0 THEN (user_id % 60) / 10.0::DOUBLE END AS vram_gb FROM events)"
+HMS = lambda x: f"CASE WHEN {x} <= 0 THEN '--' WHEN {x} >= 3600 THEN floor({x} / 3600)::BIGINT || 'h ' || lpad(floor({x} % 3600 / 60)::BIGINT::VARCHAR, 2, '0') || 'm' ELSE floor({x} / 60)::BIGINT || 'm ' || lpad(floor({x} % 60)::BIGINT::VARCHAR, 2, '0') || 's' END"
+TILES = f"""ti AS (SELECT run_id, arg_min(loss, step) FILTER (loss IS NOT NULL) AS first_loss, arg_max(loss, step) FILTER (loss IS NOT NULL) AS last_loss, max(coalesce(vram_gb, 0)) AS peak_gb,
+max(step) AS step, max(t) AS elapsed, 200000::BIGINT AS total_steps, CASE WHEN max(coalesce(vram_gb, 0)) = 0 THEN 'none' WHEN max(vram_gb) > 5.2 THEN 'over' WHEN max(vram_gb) > 4.8 THEN 'near' ELSE 'ok' END AS band,
+CAST(CAST(max(t) / nullif(max(step), 0) AS DECIMAL(30,6)) AS DOUBLE) AS per_step, CAST(CAST(100.0::DOUBLE * max(step) / 200000 AS DECIMAL(30,2)) AS DOUBLE) AS pct,
+{HMS('(max(t) / nullif(max(step), 0) * (200000 - max(step)))')} AS eta FROM m GROUP BY run_id)"""
 
 
 @query(f"WITH {METRICS} SELECT run_id, step, loss AS value FROM m WHERE loss IS NOT NULL")
@@ -605,12 +486,20 @@ def metric_series(spark, d):
     return runstats.series(_metrics(spark, d), "loss")
 
 
-@query(f"""WITH {METRICS} SELECT run_id, arg_min(loss, step) FILTER (loss IS NOT NULL) AS first_loss, arg_max(loss, step) FILTER (loss IS NOT NULL) AS last_loss, max(coalesce(vram_gb, 0)) AS peak_gb,
-max(step) AS step, max(t) AS elapsed, CASE WHEN max(coalesce(vram_gb, 0)) = 0 THEN 'none' WHEN max(vram_gb) > 5.2 THEN 'over' WHEN max(vram_gb) > 4.8 THEN 'near' ELSE 'ok' END AS band FROM m GROUP BY run_id""")
-def run_index(spark, d):
+@query(f"WITH {METRICS}, {TILES} SELECT * FROM ti")
+def run_tiles(spark, d):
     return runstats.tiles(_metrics(spark, d))
 
 
+@query(f"""WITH {METRICS}, {TILES} SELECT run_id, config, CASE WHEN run_id IN ('click', 'view') THEN 'done' ELSE 'running' END AS status, last_loss, coalesce(peak_gb, 0) AS peak_gb
+FROM (SELECT DISTINCT event_type AS run_id, 'model ' || event_type AS config FROM events UNION ALL VALUES ('unstarted', 'none')) LEFT JOIN ti USING (run_id)""")
+def run_index(spark, d):
+    e = t(spark, d, "events").select(F.col("event_type").alias("run_id")).distinct()
+    configs = e.select("run_id", F.concat(F.lit("model "), "run_id").alias("config")).union(spark.createDataFrame([("unstarted", "none")], "run_id string, config string"))
+    summaries = e.where(F.col("run_id").isin("click", "view")).select("run_id", F.lit("done").alias("status"))
+    return runstats.run_index(configs, summaries, _metrics(spark, d))
+
+
 @query(f"WITH {METRICS} SELECT CASE WHEN coalesce(vram_gb, 0) = 0 THEN 'none' WHEN vram_gb > 5.2 THEN 'over' WHEN vram_gb > 4.8 THEN 'near' ELSE 'ok' END AS band, count(*) AS n FROM m GROUP BY 1")
 def vram_bands(spark, d):
     return _metrics(spark, d).groupBy(runstats.band(F.col("vram_gb")).alias("band")).agg(F.count(F.lit(1)).alias("n"))
@@ -621,12 +510,6 @@ def last_metric_rows(spark, d):
     return runstats.last_rows(_metrics(spark, d)).select("run_id", "step")
 
 
-@query("SELECT 2::BIGINT AS passed, 1::BIGINT AS failed, 1::BIGINT AS skipped, 1::BIGINT AS manual, 1 AS exit_code")
-def gate_rollup(spark, d):
-    gates = spark.createDataFrame([("a", "PASS"), ("b", "PASS"), ("c", "FAIL"), ("d", "SKIP"), ("e", "MANUAL")], "name string, verdict string")
-    return evaluation.gate_roll_up(gates)
-
-
 @query("""WITH s AS (SELECT user_id AS run_id, event_id AS step, sum(CAST(value AS BIGINT)) OVER (PARTITION BY user_id ORDER BY event_id) AS spent FROM events)
 SELECT run_id, min(step) AS step FROM s WHERE spent >= 500 GROUP BY run_id""")
 def token_budget(spark, d):
@@ -648,3 +531,6 @@ def text_truncation(spark, d):
 @query(r"SELECT page_id, left(lower(regexp_replace(regexp_replace(url, '[^A-Za-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')), 80) AS slug FROM pages")
 def slugs(spark, d):
     return t(spark, d, "pages").select("page_id", text.slug(F.col("url"), 80).alias("slug"))
+
+
+from loomspark.plans import checks  # noqa: E402, F401  registers its queries

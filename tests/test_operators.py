@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomspark.functions import numeric, text
-from loomspark.operators import audit, filings, inspection, retrieval, tools, traces
+from loomspark.operators import audit, evaluation, filings, inspection, links, registry, retrieval, routing, runstats, tools, traces
 from loomspark.sources import files
 from loomspark.streaming import logs
 
@@ -44,32 +44,63 @@ def test_inspection_report(spark, tmp_path):
     rated = inspection.rates(inspection.parse(files.markdown_folder(spark, str(tmp_path))))
     f = inspection.facts(rated).first()
     assert (f.doc_id, f.governing, f.max_loss_grid, f.grids) == ("R1", "S7", "S7", 2)
-    assert f.rate == pytest.approx(0.29825, abs=1e-5) and f.life == pytest.approx(5.0294, abs=1e-4)
+    assert (f.rate, f.life, f.next_interval) == (0.2982, 5.0302, 2.5151)
     assert inspection.violations(rated, inspection.facts(rated)).count() == 0
+    thin = rated.withColumn("t_min", F.lit(9.0))
+    thin = inspection.rates(thin)
+    assert {(r.rule, r.grid) for r in inspection.violations(thin, inspection.facts(thin)).collect()} == {("below t-min", "S7"), ("life", "S7")}
 
 
 def test_statement(spark):
-    body = "Revenue 20,988 03 19,000.00\nOther income 38.03 12.00\nTotal Income (I+II) 21,026.06 19,012.00"
-    rows = filings.lines(spark.createDataFrame([(1, body)], "doc_id long, text string"))
-    got = filings.two_sum(filings.line_figures(rows), filings.totals(rows)).collect()
-    assert [(r.total, r.a, r.b) for r in got] == [(2102606, 2098803, 3803)]
+    filler = "words of a statement without figures\n" * 30
+    body = filler + "Revenue 20,988 03 19,000.00\nOther income 38.03 12.00\nTotal Income (I+II) 21,026.06 19,012.00 7.77"
+    docs = spark.createDataFrame([(1, body), (2, "Statement of results\nTotal income 200.00 150.00"), (3, filler + "5.00\nTotal income 10.00 9.00"), (4, None), (5, filler + "Total income 1.00")], "doc_id long, text string")
+    rows = filings.lines(docs)
+    sums = {r.doc_id: [] for r in docs.collect()}
+    for r in filings.totals(rows).collect():
+        sums[r.doc_id].append((r.ord, r.total))
+    assert sorted(sums[1]) == [(0, 2102606), (1, 1901200), (2, 777)] and sorted(sums[2]) == [(0, 20000), (1, 15000)] and sums[5] == []
+    got = {(r.doc_id, r.total): (r.a, r.b) for r in filings.two_sum(filings.line_figures(rows), filings.totals(rows)).collect()}
+    # the second statement has no figures before its totals, the third only one
+    assert got == {(1, 2102606): (2098803, 3803), (1, 1901200): (1900000, 1200), (1, 777): (None, None)}
+    done = {r.doc_id: (r.checks_run, r.checks_passed, r.verdict) for r in filings.reconciled(docs).collect()}
+    assert done == {1: (3, 2, "text+facts"), 2: (0, 0, "scanned"), 3: (0, 0, "text-only"), 4: (0, 0, "scanned"), 5: (0, 0, "text-only")}
+
+
+def test_numbers(spark):
+    cases = {
+        "20,988 03": 20988.03, "28.785 92": 28785.92, "3,818,05": 3818.05, "(481.45)": -481.45, "-": None, "—": None, "1234": 1234.0, "-5.00": 5.0, "x": None, "": None, ".05": 0.05,
+        "1-234.50": 123450.0, "9" * 19: float("9" * 19), "1" * 40: None,
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "s string").select("s", text.repaired_number(F.col("s")).cast("double").alias("v"))
+    assert {r.s: r.v for r in df.collect()} == cases
 
 
 def test_formulas_and_calls():
     assert round(tools.calc("remaining_life(8.9, 7.4, .2982)"), 3) == 5.030
     assert round(tools.calc("corrosion_rate(10.6, 8.9, years=5.70)"), 4) == 0.2982
-    assert tools.calc("next_interval(40)") == 10.0
+    assert tools.calc("next_interval(40)") == 10.0 and tools.calc(" (1 + 2) * 3 / min(9, 4) ") == 2.25
     assert tools.split_call("f(a(1, 2), b=[3, 4])") == ("f", ["a(1, 2)"], {"b": "[3, 4]"})
-    with pytest.raises(ValueError, match="rate"):
-        tools.calc("remaining_life(8.9, 7.4, 0)")
+    assert "substituted: (8.9 - 7.4) / 0.2982" in tools.calc_answer("remaining_life(8.9, 7.4, .2982)")
+    assert "NOTE" in tools.calc_answer("remaining_life(7.0, 7.4, .2982)")
+    for bad, why in (
+        ("remaining_life(8.9, 7.4, 0)", "positive"), ("remaining_life(8.9)", "needs t_min, corrosion_rate"), ("next_interval(x=1)", "no parameter 'x'"), ("nothing(1)", "no formula"), ("f(", "not a call"),
+        ("next_interval(__import__('os'))", "not a number"), ("required_thickness(100, 1, 1, 1)", "stress"),
+    ):
+        with pytest.raises(ValueError, match=why):
+            tools.calc(bad)
 
 
 def test_guards(spark):
-    schema = {"n": {"type": "integer"}, "mode": {"type": "string", "enum": ["a"], "required": False}}
-    assert tools.argument_problem(schema, {}) == "missing argument: n"
-    assert tools.argument_problem(schema, {"n": 1, "x": 2}) == "unknown argument: x"
-    assert tools.argument_problem(schema, {"n": True}) == "n must be integer"
-    assert "one of" in tools.argument_problem(schema, {"n": 1, "mode": "b"})
+    schema = {"properties": {"n": {"type": "integer", "description": "how many"}, "mode": {"type": "string", "enum": ["a"]}, "list": {"type": "array"}}, "required": ["n"]}
+    told = lambda args: tools.argument_problem(schema, args)
+    assert told({"n": 1}) is None and told({"n": 1, "list": "x"}) is None
+    assert told({}) == "missing required parameter 'n'. how many"
+    assert told({"n": 1, "x": 2}) == "unknown parameter(s) ['x']. Allowed: ['list', 'mode', 'n']"
+    assert told({"n": True}) == "parameter 'n' must be integer, got boolean"
+    assert told({"n": "1"}) == "parameter 'n' must be integer, got str"
+    assert told({"n": 1, "mode": "b"}) == "parameter 'mode' must be one of ['a'], got 'b'"
+    assert told({"n": 1, "list": [1]}) == "parameter 'list' must be array, got list"
     assert tools.jailed("a/../b.txt") == "b.txt"
     for bad in ("/etc/passwd", "../x", "C:\\x", "a/../../b", ""):
         with pytest.raises(ValueError):
@@ -81,6 +112,133 @@ def test_guards(spark):
     assert [r[0] for r in bad.collect()] == [None, "dunder", "banned word", "empty"]
 
 
+def test_links(spark):
+    page = "https://Host.example/docs/page.html?x=1"
+    cases = {
+        "a.html": "https://Host.example/docs/a.html", "/b": "https://Host.example/b", "../c": "https://Host.example/c", "?q=2": "https://Host.example/docs/page.html?q=2", "//evil.com/q": None,
+        "HTTPS://host.example/d": "https://host.example/d", "https://host.example.evil/e": None, "http://host.example/f": None, "#top": None, "mailto:x@y": None, " javascript:x": None, "": None,
+        "/x/LOGIN": None, "/y.PDF": "https://Host.example/y.PDF", "other": None,
+    }
+    rows = spark.createDataFrame([(i, page, 0, h) for i, h in enumerate(cases)], "page_id int, url string, ord int, href string")
+    got = {r.href: r.target for r in links.in_scope(rows, "docs/a|/[b-d]$|q=2").collect()}
+    assert got == {h: t for h, t in cases.items() if t}
+    bare = spark.createDataFrame([(1, "https://h.example", "x"), (2, "https://h.example/A b/c.pdf?z", "y")], "page_id int, url string, html string")
+    assert [r.file for r in links.manifest(bare).orderBy("page_id").collect()] == ["index.html", "a-b-c-pdf.html"]
+    with_type = links.manifest(bare.withColumn("content_type", F.lit("application/PDF")))
+    assert {r.file for r in with_type.collect()} == {"index.pdf", "a-b-c-pdf.pdf"}
+
+
+def test_registry(spark, tmp_path):
+    (tmp_path / "models.yaml").write_text("profile: small\nfallback: a\nmodels:\n" + "".join(f"  - {{id: {i}, backend: local, ref: 'r:{i}', device: {d}, vram_gb: {v}, max_ctx: 4096, routes: [qa], requires_tools: [calc], priority: {p}}}\n" for i, d, v, p in (
+        ("b", "gpu", 42.0, 1), ("a", "gpu", 3.0, 5), ("a", "gpu", 90.0, 1), ("b", "cpu", 50.0, 9))))
+    (tmp_path / "profiles").mkdir()
+    (tmp_path / "profiles" / "small.yaml").write_text("id: small\nvram_budget_gb: 5.2\n")
+    models, profiles, profile, fallback = files.registry(spark, str(tmp_path / "models.yaml"), str(tmp_path / "profiles"))
+    judged = registry.verdicts(models, profiles, profile)
+    assert [r.reason for r in judged.orderBy("ord").collect()] == ["claims 42.0 GB, profile 'small' budget is 5.2 GB", None, "duplicate id", None]
+    kept = registry.accepted(judged, fallback)
+    assert {(r.ref, r.max_ctx, tuple(r.requires_tools)) for r in kept.collect()} == {("r:a", 4096, ("calc",)), ("r:b", 4096, ("calc",))}
+    for bad, why in ((judged.where("id = 'x'"), "every model"), (judged.where("id = 'b'"), "fallback")):
+        with pytest.raises(ValueError, match=why):
+            registry.accepted(bad, fallback)
+
+
+def test_decision_without_rival(spark):
+    asked = spark.createDataFrame([("Hi", [], "qa", 0.5, None, None, "m", None, None, False, 8192, [])], "prompt string, files array<string>, first string, first_score double, second string, second_score double, model_id string, resident string, override string, used_fallback boolean, max_ctx int, requires_tools array<string>")
+    assert routing.decisions(asked).first()["decision"] == "qa (0.50) · image absent · 0.5k ctx · -> m [cold start]"
+
+
+def test_scorers(spark):
+    rows = [(1, "pump seal leaks", "pump"), (2, "pump shaft seal", "pump"), (3, "vessel wall loss", "vessel"), (4, "vessel shell wall", "vessel")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label string")
+    lexical = routing.lexical_scorer(docs, "label")
+    asked = spark.createDataFrame([(9, "the pump seal"), (8, "")], "doc_id long, text string")
+    best = lambda s: {r.id: r.predicted for r in routing.best_label(s).collect()}
+    assert best(lexical(asked)) == {9: "pump"}
+    assert best(routing.hybrid_scorer(lexical, lambda d: None, lexical)(asked)) == {9: "pump"}
+    loo = best(routing.lexical_loo(docs, "label"))
+    assert loo == {1: "pump", 2: "pump", 3: "vessel", 4: "vessel"}
+    with pytest.raises(ValueError, match="one text"):
+        routing.lexical_loo(docs.where("doc_id < 4"), "label")
+
+
+def test_verdicts(spark):
+    df = spark.createDataFrame([("\n\t", None), ("it is 5.05", 5.0), ("x", 5.0)], "a string, t double")
+    empty = F.array().cast("array<string>")
+    assert [r[0] for r in df.select(evaluation.answer_verdict(F.col("a"), F.col("t"), empty, empty)).collect()] == ["failed", "correct", "failed"]
+    said = spark.createDataFrame([("5.0 then Stopped: cap",), ("5.1",), ("limit Exceeded",), ("7",)], "a string")
+    assert [r[0] for r in said.select(evaluation.trial_verdict(F.col("a"), F.lit(5.0294))).collect()] == ["failed", "correct", "unsafe", "wrong"]
+
+
+def test_files(spark, tmp_path):
+    log = tmp_path / "big.jsonl"
+    log.write_text("".join(f'{{"prompt": "p{i}", "task_type": "t"}}\n' + ("\n" if i % 7 == 0 else "") for i in range(5000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        rows = files.exemplars(spark, str(log)).orderBy("ord").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [(r.ord, r.prompt) for r in rows] == [(i, f"p{i}") for i in range(5000)]
+    root = tmp_path / "ws"
+    (root / "sub").mkdir(parents=True)
+    (root / "a.PNG").write_bytes(b"x" * 10)
+    (root / "sub" / "b.tiff").write_bytes(b"y" * 50)
+    (root / "c.gif").write_bytes(b"z")
+    got, bad = files.attachments(spark, str(root), ["a.PNG", "sub/b.tiff", "none.png", "../d.png", "c.gif"], most=20)
+    assert [r.length for r in got.collect()] == [10]
+    assert sorted(r.problem for r in bad.collect()) == ["50B exceeds 20B cap", "no such file", "path leaves the root"]
+    assert files.attachments(spark, str(root))[0].count() == 2
+    assert files.write_text(spark, str(root), "out/n.txt", "é" * 9, limit=5) == 10 and (root / "out" / "n.txt").read_text() == "é" * 5
+    assert files.jailed_file(spark, str(root), "out/n.txt").first()[0] == "é" * 5
+    assert [r.path.rsplit("/", 1)[1] for r in files.nearby(spark, str(root), 2).collect()] == ["a.PNG", "c.gif"]
+    assert files.settings(str(tmp_path / "none.yaml"), {"host": "127.0.0.1"}) == {"host": "127.0.0.1"}
+    for body, why in (("host: 10.0.0.1", "this machine"), ("odd: 1", "unknown"), ("- a", "mapping")):
+        (tmp_path / "s.yaml").write_text(body)
+        with pytest.raises(ValueError, match=why):
+            files.settings(str(tmp_path / "s.yaml"), {"host": "127.0.0.1"})
+    for path in ("data/.env", "x/secrets/y"):
+        with pytest.raises(ValueError, match="staged"):
+            files.staged([path])
+    for name, done in (("r1", True), ("r2", False)):
+        run = tmp_path / "runs" / name
+        run.mkdir(parents=True)
+        (run / "config.json").write_text('{"model": "m"}')
+        if done:
+            (run / "summary.json").write_text('{"status": "done"}')
+            (run / "metrics.jsonl").write_text('{"t": 1.0, "step": 1, "loss": 2.5, "vram_gb": 4.0}\n{"t": 2.0, "step": 2, "loss": 2.0}\n')
+    found = runstats.run_index(*files.run_folders(spark, str(tmp_path / "runs"))).collect()
+    assert [(r.run_id, r.status, r.last_loss, r.peak_gb) for r in found] == [("r2", "running", None, 0.0), ("r1", "done", 2.0, 4.0)]
+    files.write_jsonl(spark.createDataFrame([(1, "f")], "a int, _family string"), str(tmp_path / "set"))
+    assert spark.read.json(str(tmp_path / "set")).columns == ["a"]
+    files.write_document(spark.createDataFrame([(1, "x")], "a int, b string"), str(tmp_path / "doc"))
+    assert files.json_documents(spark, str(tmp_path / "doc")).first()["b"] == "x"
+    (tmp_path / "t.jsonl").write_text('{"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}]}\n')
+    assert [tuple(r) for r in files.traces(spark, str(tmp_path / "t.jsonl")).collect()] == [(0, 0, "user", "q"), (0, 1, "assistant", "a")]
+
+
+def test_tools(spark):
+    assert tools.TOOLS["calc"](spark, "next_interval(4)").first()[0].endswith("2.0000 years")
+    docs = spark.createDataFrame([(1, "# T\n\n- **a** b\nplain")], "doc_id long, text string")
+    got = [(r.kind, [(x.run, x.bold) for x in r.runs]) for r in tools.TOOLS["doc_write"](docs).orderBy("line").collect()]
+    assert got == [("h1", [("T", False)]), ("bullet", [("a", True), (" b", False)]), ("text", [("plain", False)])]
+    seen = spark.createDataFrame([(1, json.dumps([{"rec_texts": ["a", "b"], "rec_scores": [0.5, 1.0]}])), (2, json.dumps([[[[0, 0], ["c", 0.9]], "odd"]])), (3, "[]"), (4, None)], "doc_id long, result string")
+    out = {r.doc_id: (r.text, r.lines, r.confidence) for r in tools.TOOLS["ocr_read"](seen).collect()}
+    assert out == {1: ("a\nb", 2, 0.75), 2: ("c", 1, 0.9), 3: ("", 0, None), 4: ("", 0, None)}
+
+
+def test_families(spark):
+    facts = spark.range(30).select(F.col("id").alias("doc_id"), F.concat(F.lit("fact "), "id").alias("fact"))
+    make = lambda word: lambda d: d.select(F.col("trace").alias("conv_id"), F.lit(0).alias("turn"), F.lit("user").alias("role"), F.concat(F.lit(word), "fact").alias("text"))
+    got = traces.composed(facts, [("a", make("A "), 0.7), ("b", make("B "), 0.3)], 100)
+    assert {r.family: r["count"] for r in got.groupBy("family").count().collect()} == {"a": 70, "b": 30}
+    assert got.where("text LIKE 'A fact%'").count() == 70
+    assert traces.retained(100, 95) is None and "80 of 100" in traces.retained(100, 80)
+    with pytest.raises(ValueError, match="none"):
+        traces.retained(5, 0)
+    row = spark.range(1).select(traces.is_prefix(F.array(F.lit(1), F.lit(2)), F.array(F.lit(1))).alias("p"), traces.encoded(F.array(F.lit(1)), F.array(F.struct(F.lit(5).alias("start"), F.lit(6).alias("end"))), 9).alias("n")).first()
+    assert tuple(row) == (True, None)
+
+
 @pytest.mark.parametrize("n", [32, 96, 453, 1000])
 def test_stride(spark, n):
     got = [r[0] for r in traces.strided(spark.range(453).withColumnRenamed("id", "k"), "k", n).orderBy("k").collect()]
@@ -93,6 +251,8 @@ def test_text(spark):
         text.comma_list(F.lit(" a, ,b")).alias("c"), text.html_escape(F.lit('<a & "b">')).alias("h"), numeric.next_due(F.to_date(F.lit("2024-11-18")), F.lit(5.0)).alias("n"),
     ).first()
     assert tuple(row) == ("mixed", "a-b-", "1h 02m", ["a", "b"], "&lt;a &amp; &quot;b&quot;&gt;", "2027-05")
+    lengths = spark.createDataFrame([(45.0,), (0.0,), (-3.0,), (None,), (float("nan"),), (0.4,), (3725.9,)], "s double").select(text.duration(F.col("s")))
+    assert [r[0] for r in lengths.collect()] == ["0m 45s", "--", "--", "--", "--", "0m 00s", "1h 02m"]
 
 
 def test_streams(spark, tmp_path):
@@ -104,11 +264,54 @@ def test_streams(spark, tmp_path):
     q = total.writeStream.outputMode("complete").format("memory").queryName("drops").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.table("drops").first()["total"] == 2
+    seen = []
+    q = logs.pushed(logs.drops(logs.log_stream(spark, str(folder))), seen.append, lambda: spark.createDataFrame([(i, f"l{i}") for i in range(20)], "line_no long, value string"), once=True)
+    q.awaitTermination(60)
+    assert seen[-1]["total"] == 2 and [d["dst"] for d in seen[-1]["drops"]] == ["1.1.1.1", "8.8.8.8"] and seen[-1]["audit"] == [f"l{i}" for i in range(5, 20)]
+
+
+def test_chained_sink(spark, tmp_path):
     log = tmp_path / "audit.jsonl"
-    sink = logs.append_chain(str(log))
-    for k in range(2):
-        sink(spark.createDataFrame([(json.dumps({"ts": "t", "session_id": "s", "kind": "k", "payload": {"b": k}}),)], "value string"), k)
-    assert audit.verify_lines(files.numbered_lines(spark, str(log))).first()["ok"]
+    sink = logs.append_chain(str(log), "q")
+    batch = lambda k: spark.createDataFrame([(json.dumps({"ts": "t", "session_id": "s", "kind": "k", "payload": {"b": k}}),)], "value string")
+    for k in (0, 1, 1):  # the last is a replay
+        sink(batch(k), k)
+    assert len(log.read_text().splitlines()) == 2
+    # a batch that broke off after its first bytes is written anew
+    state = json.loads((tmp_path / "audit.jsonl.state").read_text())
+    (tmp_path / "audit.jsonl.state").write_text(json.dumps({**state, "writing": True}))
+    log.write_text(log.read_text() + '{"half')
+    logs.append_chain(str(log), "q")(batch(2), 2)
+    assert audit.verify_lines(files.numbered_lines(spark, str(log))).first()["ok"] and len(log.read_text().splitlines()) == 3
+    (tmp_path / "audit.jsonl.state").unlink()
+    logs.append_chain(str(log), "other")(batch(3), 0)
+    assert audit.verify_lines(files.numbered_lines(spark, str(log))).first()["ok"] and len(log.read_text().splitlines()) == 4
     log.write_text(log.read_text() + "x\n")
     with pytest.raises(RuntimeError):
-        sink(spark.createDataFrame([("{}",)], "value string"), 2)
+        sink(spark.createDataFrame([("{}",)], "value string"), 9)
+
+
+def test_run_states(spark, tmp_path):
+    folder = tmp_path / "runs"
+    rows = [("a", i, "step", 10) for i in range(3)] + [("a", 3, "final", 5), ("a", 4, "step", 9)] + [("b", i, "step", 1) for i in range(20, 0, -1)] + [("c", 1, "step", 5000), ("c", 2, "step", 2000), ("c", 3, "step", 1)]
+    spark.createDataFrame(rows, "run_id string, n long, kind string, tokens long").coalesce(1).write.json(str(folder))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        stream = spark.readStream.schema("run_id string, n long, kind string, tokens long").json(str(folder))
+        q = logs.run_states(stream).writeStream.outputMode("update").format("memory").queryName("states").trigger(availableNow=True).start()
+        q.awaitTermination(60)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {r.run_id: (r.steps, r.tokens, r.status) for r in spark.table("states").collect()} == {"a": (3, 35, "final"), "b": (12, 12, "halted"), "c": (2, 7000, "halted")}
+
+
+def test_windows_of_a_stream(spark, tmp_path):
+    rows = [("2024-01-01 10:05:00", "a", 1.0), ("2024-01-01 10:55:00", "a", 2.0), ("2024-01-01 11:01:00", "b", 4.0), ("2024-01-01 15:00:00", "a", 9.0)]
+    df = spark.createDataFrame(rows, "ts string, event_type string, value double").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    df.write.parquet(str(tmp_path / "ev"))
+    want = {tuple(r) for r in logs.tumbling(df).collect()}
+    q = logs.tumbling(spark.readStream.schema(df.schema).parquet(str(tmp_path / "ev"))).writeStream.outputMode("append").format("memory").queryName("hours").trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    got = {tuple(r) for r in spark.table("hours").collect()}
+    # the last window is still open when the stream ends
+    assert got == {r for r in want if r[0].hour < 15} and len(got) == 2
