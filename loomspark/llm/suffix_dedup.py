@@ -1,4 +1,4 @@
-"""Passages that occur more than once, by sparse suffix arrays.
+"""Passages that occur more than once, by sparse suffixes.
 
 A text is its white-space separated words, as they are. Suffixes are retained
 only where they start with the minimiser of a window, chosen by content: of
@@ -6,18 +6,20 @@ the k-word hashes at ``w = min_words - k + 1`` consecutive places the smallest,
 leftmost if equal. Every passage of ``min_words`` words so has one retained
 suffix that any other copy of the passage retains too.
 
-Sorting: suffixes are sorted by the digest of their first k words and then of
-their context (the words from the first to the last passage that this suffix
-stands for). Neighbours in that order are compared: a run with one suffix has
-no partner; a run whose first and last context are equal consists of copies
-throughout; in any other run each distinct context is extended, word by word,
-to the left and right of the minimiser, and each extension that covers
-``min_words`` words is compared with its neighbours again. Digests have 64
-bits, two of them always have to agree. Runs are only counted and minimised
-(sort or hash aggregation with partial results, Spark's choice) and joined
+Comparing: suffixes are not sorted but grouped by the digest of their first k
+words, which brings the same ones together as sorting would, and doesn't need a
+passage's copies in one task. Neighbours in a sorted order would not do: of the
+suffixes that agree to the right, those that also agree to the left need not be
+next to each other. A group of one suffix has no partner; a group whose first
+and last context digest are equal consists of copies throughout (the context is
+what lies between the first and the last passage that a suffix stands for); in
+any other group each distinct context is extended, word by word, to the left and
+right of the minimiser, and each extension that covers ``min_words`` words is
+compared with the others. Digests have 64 bits, two of them always have to
+agree. Groups are only counted and minimised (partial aggregates) and joined
 back by count (``join_counted``), so a passage that a third of the corpus holds
-never lands in one task, and copies of a context are one row before anything
-is extended.
+never lands in one task, and copies of a context are one row before anything is
+extended.
 
 The result is exact: a word is repeated if it lies in ``min_words`` words that
 occur at two places or more (of one document or of several). The first
@@ -25,6 +27,8 @@ occurrence is that of the smallest doc_id (null last), then place; words of
 the others are to be removed, but for words that a first occurrence needs (of
 a text that repeats itself). Null, empty or shorter texts have no passage.
 Rows equal in id and text repeat each other, and neither is removed for that.
+Long texts are read whole. Columns of any name may be there, and are kept by
+``drop_repeated_passages``.
 """
 
 from __future__ import annotations
