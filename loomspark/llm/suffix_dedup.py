@@ -1,4 +1,4 @@
-"""Passages that occur more than once, by sparse suffixes.
+"""Passages that occur more than once, by sparse suffix arrays.
 
 A text is its white-space separated words, as they are. Suffixes are retained
 only where they start with the minimiser of a window, chosen by content: of
@@ -6,20 +6,21 @@ the k-word hashes at ``w = min_words - k + 1`` consecutive places the smallest,
 leftmost if equal. Every passage of ``min_words`` words so has one retained
 suffix that any other copy of the passage retains too.
 
-Comparing: suffixes are not sorted but grouped by the digest of their first k
-words, which brings the same ones together as sorting would, and doesn't need a
-passage's copies in one task. Neighbours in a sorted order would not do: of the
-suffixes that agree to the right, those that also agree to the left need not be
-next to each other. A group of one suffix has no partner; a group whose first
-and last context digest are equal consists of copies throughout (the context is
-what lies between the first and the last passage that a suffix stands for); in
-any other group each distinct context is extended, word by word, to the left and
-right of the minimiser, and each extension that covers ``min_words`` words is
-compared with the others. Digests have 64 bits, two of them always have to
-agree. Groups are only counted and minimised (partial aggregates) and joined
-back by count (``join_counted``), so a passage that a third of the corpus holds
-never lands in one task, and copies of a context are one row before anything is
-extended.
+Sorting: suffixes are sorted by the digest of their first k words, then of their
+context (the words from the first to the last passage that the suffix stands
+for), then by document and place, so the suffixes of a very common passage are
+spread over many ranges. In each range neighbours are compared: a suffix that
+agrees with neither of them in its first k words has no partner; the others are
+told by run, a row for each context and range. Runs are summed up over ranges.
+
+Extending: a run whose first and last context are equal consists of copies
+throughout. In any other run each distinct context is extended, word by word, to
+the left and right of the minimiser, and each extension that covers
+``min_words`` words is compared with the others, as those that agree to the left
+too need not be next to each other. Digests have 64 bits, two of them always have
+to agree. What a run or passage is known to be is joined back by count
+(``join_counted``), so a passage that a third of the corpus holds never lands in
+one task, and copies of a context are one row before anything is extended.
 
 The result is exact: a word is repeated if it lies in ``min_words`` words that
 occur at two places or more (of one document or of several). The first
@@ -88,6 +89,50 @@ def _order(place: str):
     return F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"), F.col("text_key").alias("text_key"), F.col(place).alias("at"))
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of sorted suffixes a row for each prefix and context, with its first suffix and how many there are; without those that no neighbour agrees with in the prefix."""
+    held: pa.Table | None = None  # the last context so far, which may go on
+    before: int | None = None  # the prefix of the context before it
+    for b in batches:
+        if not b.num_rows:
+            continue
+        prefix, context = (b.column(c).to_numpy(zero_copy_only=False) for c in ("prefix", "context"))
+        cut = np.flatnonzero(np.concatenate(([True], (prefix[1:] != prefix[:-1]) | (context[1:] != context[:-1]))))
+        copies = np.diff(np.append(cut, len(prefix)))
+        found = pa.Table.from_batches([b]).take(pa.array(cut)).append_column("copies", pa.array(copies))
+        edge = held is None
+        if held is not None:
+            if all(held.column(c)[0] == found.column(c)[0] for c in ("prefix", "context")):
+                copies = copies.copy()
+                copies[0] += held.column("copies")[0].as_py()
+                found = pa.concat_tables([held, found.slice(1)]).set_column(found.num_columns - 1, "copies", pa.array(copies))
+            else:
+                found = pa.concat_tables([held, found])
+        prefix, copies = (found.column(c).to_numpy() for c in ("prefix", "copies"))
+        same = prefix[1:] == prefix[:-1]
+        keep = copies > 1
+        keep[1:] |= same
+        keep[:-1] |= same
+        # ends of a range may have partners in the next one
+        keep[0] |= edge or before == prefix[0]
+        held = found.slice(found.num_rows - 1)
+        before = int(prefix[-2]) if len(prefix) > 1 else before
+        told = found.slice(0, found.num_rows - 1).filter(pa.array(keep[:-1]))
+        yield from told.to_batches()
+    if held is not None:
+        yield from held.to_batches()
+
+
+def runs_of(found: DataFrame) -> DataFrame:
+    """prefix, copies, low and high (contexts), first (suffix) of the runs of two suffixes or more."""
+    order = ["prefix", "context", "no_id", "doc_id", "text_key", "place"]
+    rows = found.select("prefix", "context", F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "place")
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    told = rows.mapInArrow(_runs, "prefix long, context long, no_id boolean, doc_id long, text_key long, place int, copies long")
+    runs = told.groupBy("prefix").agg(F.sum("copies").alias("copies"), F.min("context").alias("low"), F.max("context").alias("high"), F.min(_order("place")).alias("first"))
+    return runs.where("copies > 1")
+
+
 def _extend(min_words: int):
     """For the contexts (place, lo, hi) of a text, a row for each extension that covers min_words words."""
 
@@ -172,10 +217,7 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, k: int = 20) -> Data
     if not 1 <= k <= min_words or min_words - k + 1 > 62:
         raise ValueError("k: 1 to min_words, and min_words - k at most 61")
     found = materialise(suffixes(docs, min_words, k), "suffixes")
-    runs = found.groupBy("prefix").agg(
-        F.count(F.lit(1)).alias("copies"), F.min("context").alias("low"), F.max("context").alias("high"), F.min(_order("place")).alias("first")
-    )
-    runs = materialise(runs.where("copies > 1").select("prefix", "copies", (F.col("low") == F.col("high")).alias("same"), "first"), "runs")
+    runs = materialise(runs_of(found).select("prefix", "copies", (F.col("low") == F.col("high")).alias("same"), "first"), "runs")
     shared = materialise(join_counted(found, runs, ["prefix"], "copies").drop("copies"), "shared")
     shifted = lambda x, by: F.call_function("shiftleft", x, by)
     one = F.lit(1).cast("long")
