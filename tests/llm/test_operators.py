@@ -328,6 +328,28 @@ def spread(spans):
     return {x for s in spans for x in range(s.start, s.end)}
 
 
+def test_runs_of_sorted_suffixes(spark):
+    """However batches and ranges cut the sorted rows."""
+    rng = random.Random(2)
+    rows = [(rng.randint(0, 60), rng.randint(0, 2), rng.choice([None, *range(20)]), rng.randint(0, 3), rng.randint(0, 5)) for _ in range(400)] + [(7, 1, i, 0, 0) for i in range(300)]
+    df = spark.createDataFrame(rows, "prefix long, context long, doc_id long, text_key long, place int")
+    want = {}
+    for p in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == p]
+        if len(own) > 1:
+            first = min((r[2] is None, r[2] or 0, r[3], r[4]) for r in own)
+            want[p] = (len(own), min(r[1] for r in own), max(r[1] for r in own), first)
+    for size in ("3", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            got = suffix_dedup.runs_of(df).collect()
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        assert {r.prefix: (r.copies, r.low, r.high, (r.first.no_id, r.first.doc_id or 0, r.first.text_key, r.first["at"])) for r in got} == want
+
+
 def check_repeats(df, n, k):
     docs = sorted({(r.doc_id, r.text) for r in df.collect()}, key=str)
     got = {r.doc_id: (spread(r.repeated), spread(r.removed)) for r in suffix_dedup.repeated_passages(df, n, k).collect()}
