@@ -1,9 +1,11 @@
-"""Readers and writers (S1-S8, S12, S13, K2, K3, K8, K10-K12, O4, P17, P23, P24). All but the small configuration files are read by Spark."""
+"""Readers and writers (S1-S9, S12, S13, K2, K3, K8, K10-K12, O4, P17, P23, P24). All but the small configuration files are read by Spark."""
 
 from __future__ import annotations
 
 import os
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -95,12 +97,39 @@ def json_documents(spark: SparkSession, path: str) -> DataFrame:
 
 def jailed_file(spark: SparkSession, root: str, name: str, limit: int = 6000) -> DataFrame:
     """S12"""
-    return spark.read.text(f"{root}/{jailed(name)}", wholetext=True).select(truncate(F.col("value"), limit, "\n[truncated]").alias("text"))
+    return spark.read.text(f"{root}/{jailed(name, root)}", wholetext=True).select(truncate(F.col("value"), limit, "\n[truncated]").alias("text"))
+
+
+def page_text(pages: Iterable[Callable[[], str]], probe: int = 3, least: int = 200, most: int = 60) -> tuple[str, int, bool]:
+    """The text of a document's first ``most`` pages (the feature), how many were read, and whether it is a scan: its first ``probe`` pages hold under ``least`` characters, and no more are read. A page that fails is empty."""
+    out: list[str] = []
+    for number, page in enumerate(pages):
+        if number == most or (number == probe and sum(map(len, out)) < least):
+            break
+        try:
+            out.append(page())
+        except Exception:  # noqa: BLE001  whatever the reader of one page raises, the others are read
+            out.append("")
+    return "\n".join(out), len(out), sum(map(len, out[:probe])) < least
+
+
+def paged_documents(spark: SparkSession, folder: str, suffix: str, reader: Callable[[bytes], Iterable[Callable[[], str]]]) -> DataFrame:
+    """doc_id (the file's stem), text, pages, scanned of every file; ``reader`` is any library's way to a file's pages."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").load(folder).select("path", "content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                text, pages, scanned = page_text(reader(b.column("content")[i].as_py()))
+                stem = b.column("path")[i].as_py().rsplit("/", 1)[-1].removesuffix(suffix)
+                yield pa.RecordBatch.from_pylist([{"doc_id": stem, "text": text, "pages": pages, "scanned": scanned}])
+
+    return files.mapInArrow(run, "doc_id string, text string, pages long, scanned boolean")
 
 
 def write_text(spark: SparkSession, root: str, name: str, content: str, limit: int = 50_000) -> int:
     """K8: the first ``limit`` characters (the feature) as one file in the jail, through whatever store holds it; its size."""
-    fs, path = hadoop_path(spark, f"{root}/{jailed(name)}")
+    fs, path = hadoop_path(spark, f"{root}/{jailed(name, root)}")
     body = content[:limit].encode()
     stream = fs.create(path, True)
     try:
@@ -129,7 +158,7 @@ def attachments(spark: SparkSession, root: str, names: list[str] | None = None,
         wanted, base = [], hadoop_path(spark, root)[0].makeQualified(hadoop_path(spark, root)[1]).toString()
         for name in names:
             try:
-                wanted.append((name, f"{base}/{jailed(name)}"))
+                wanted.append((name, f"{base}/{jailed(name, root)}"))
             except ValueError as e:
                 problems.append((name, str(e)))
         asked = spark.createDataFrame(wanted, "name string, _path string").where(F.regexp_like(F.lower("name"), F.lit("(" + "|".join(x.replace(".", r"\.") for x in IMAGES) + ")$")))
