@@ -190,6 +190,10 @@ def test_files(spark, tmp_path):
     assert files.attachments(spark, str(root))[0].count() == 2
     assert files.write_text(spark, str(root), "out/n.txt", "é" * 9, limit=5) == 10 and (root / "out" / "n.txt").read_text() == "é" * 5
     assert files.jailed_file(spark, str(root), "out/n.txt").first()[0] == "é" * 5
+    (root / "way").symlink_to(tmp_path)
+    with pytest.raises(ValueError, match="leaves"):
+        files.jailed_file(spark, str(root), " way/big.jsonl")
+    (root / "way").unlink()
     assert [r.path.rsplit("/", 1)[1] for r in files.nearby(spark, str(root), 2).collect()] == ["a.PNG", "c.gif"]
     assert files.settings(str(tmp_path / "none.yaml"), {"host": "127.0.0.1"}) == {"host": "127.0.0.1"}
     for body, why in (("host: 10.0.0.1", "this machine"), ("odd: 1", "unknown"), ("- a", "mapping")):
@@ -216,6 +220,19 @@ def test_files(spark, tmp_path):
     assert [tuple(r) for r in files.traces(spark, str(tmp_path / "t.jsonl")).collect()] == [(0, 0, "user", "q"), (0, 1, "assistant", "a")]
 
 
+def test_paged_documents(spark, tmp_path):
+    """A reader whose pages are the lines of a file; one page of each can't be read."""
+    for name, lines in (("long", ["x" * 100] * 80), ("scan", ["", "a", "", "never read " * 50]), ("none", [" "])):
+        (tmp_path / f"{name}.pdf").write_text("\n".join(lines))
+
+    def reader(body):
+        for i, line in enumerate(body.decode().split("\n") if body else []):
+            yield lambda i=i, line=line: line if i != 1 else line[1000]
+
+    got = {r.doc_id: (len(r.text), r.pages, r.scanned) for r in files.paged_documents(spark, str(tmp_path), ".pdf", reader).collect()}
+    assert got == {"long": (59 * 100 + 59, 60, False), "scan": (2, 3, True), "none": (1, 1, True)}
+
+
 def test_tools(spark):
     assert tools.TOOLS["calc"](spark, "next_interval(4)").first()[0].endswith("2.0000 years")
     docs = spark.createDataFrame([(1, "# T\n\n- **a** b\nplain")], "doc_id long, text string")
