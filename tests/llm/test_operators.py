@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, and its defined results for odd rows."""
 
 import hashlib
+import math
 import random
 import re
 import time
@@ -111,6 +112,15 @@ def test_chat_odd_rows(spark):
     assert chat_format.format_turns(df.limit(0), "conv_id", ["turn"]).count() == 0
 
 
+def test_chat_long_conversation_and_clashing_columns(spark):
+    n = 4000
+    df = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.repeat(F.concat(F.lit("</s>"), "id"), F.lit(20)).alias("text"))
+    odd = df.withColumns({c: F.lit("x") for c in ("formatted", "loss_mask", "turns", "n_turns", "part", "layout", "content", "_key")})
+    out = chat_format.format_turns(odd.drop("part"), "conv_id", ["turn"])
+    row = out.select(F.size(chat_format.read_turns(F.col("formatted"))).alias("n"), F.length(chat_format.masked_text(F.col("formatted"), F.col("loss_mask"))).alias("loss")).first()
+    assert row.n == n and row.loss == sum(20 * (4 + len(str(i))) for i in range(1, n, 2))
+
+
 # -- 2 --------------------------------------------------------------------------------------------
 
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -730,6 +740,50 @@ def test_quality_fences_alone_decide(spark):
     assert got[300].word_length_most < got[601].word_length_most and got[300].dup_line_rate_most > 0
 
 
+def brute_kept(rows, spread=4.0, min_group=200):
+    """rows: (id, lang, source, text); the verdicts from sorted values, by the definition: quartiles are the values at places ceil(p n)."""
+    rates = {}
+    for i, _, _, text in rows:
+        n, chars, symbols, lines, repeats, failed = brute_counts(text)
+        all_lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        per = lambda a, b: a / b if b else 0.0
+        rates[i] = None if failed else (per(chars, n), per(symbols, chars), per(lines, len(all_lines)), per(repeats, n))
+
+    def quantiles(keys, column):
+        values = sorted(rates[i][column] for i, lang, source, _ in rows if rates[i] and (lang, source)[: len(keys)] == keys)
+        at = lambda p: values[max(math.ceil(p * len(values)) - 1, 0)]
+        if not values or (keys and len(values) < min_group):
+            return None
+        return at(0.25), at(0.75), at(0.75) - at(0.25), at(0.9) - at(0.1)
+
+    kept = {}
+    for i, lang, source, _ in rows:
+        kept[i] = rates[i] is not None
+        for c in range(4) if kept[i] else ():
+            levels = [quantiles(keys, c) for keys in ((lang, source), (lang,), ())]
+            low, high = next((x[0], x[1]) for x in levels if x)
+            widths = [x[k] for x, k in ((levels[0], 2), (levels[1], 2), (levels[1], 3), (levels[2], 2), (levels[2], 3)) if x]
+            width = next((w for w in widths if w), quality.MIN_WIDTH)
+            kept[i] &= rates[i][c] <= high + spread * width and (c > 0 or rates[i][c] >= low - spread * width)
+    return kept
+
+
+def test_quality_kept_against_brute_force(spark):
+    """Groups just below, at and above ``min_group``, and one of a language that is too small; all small enough for exact sketches."""
+    rng = random.Random(8)
+    rows = []
+    for lang, source, n, (a, z) in (("en", "p", 60, (3, 5)), ("en", "q", 59, (6, 8)), ("en", None, 61, (2, 9)), ("de", "p", 30, (4, 4)), (None, "q", 70, (3, 7))):
+        for k in range(n):
+            words = ["".join(rng.choice("abcdef") for _ in range(rng.randint(a, z) + (4 if k % 13 == 0 else 0))) for _ in range(70 if k % 17 else 20)]
+            words = [w + "#" * (k % 11 == 0) * rng.randint(0, 3) for w in words]
+            lines = [" ".join(words[i : i + 10]) for i in range(0, len(words), 10)]
+            rows.append((len(rows), lang, source, "\n".join(lines + lines[:1] * (k % 9 == 0) + lines[:3] * (k % 23 == 0))))
+    df = spark.createDataFrame([(i, t, lang, source, len(t)) for i, lang, source, t in rows], DOCS)
+    got = {r.doc_id: r.kept for r in quality.judged(df, ["doc_id"], min_group=56).collect()}
+    want = brute_kept(rows, min_group=56)
+    assert got == want and 20 < sum(not x for x in want.values()) < len(rows) / 2
+
+
 def test_quality_odd_rows(spark):
     got = quality.judged(odd_frame(spark), ["doc_id"]).collect()
     assert len(got) == len(ODD) + 3 and not any(r.kept for r in got)
