@@ -57,29 +57,30 @@ NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 def words_of(text: Column) -> Column:
     lower = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.filter(F.split(lower, NOT_WORD), lambda w: w != "")
+    return F.array_remove(F.split(lower, NOT_WORD), "")
 
 
-def grams(words: Column) -> Column:
-    """place, hash and words of each two consecutive words; the last word has no second one."""
-    return F.transform(words, lambda w, i: F.struct(i.alias("p"), F.xxhash64(w, F.get(words, i + 1)).alias("gram"), w.alias("one"), F.get(words, i + 1).alias("two")))
+def grams(rows: DataFrame, words: Column, keep: list[str]) -> DataFrame:
+    """keep, p, one, two, gram: each word with the one behind it, and the hash of both; the last word has none, a row without words gets one row. No step is interpreted."""
+    pairs = rows.select(*keep, words.alias("one")).select(*keep, "one", F.slice("one", F.lit(2), F.size("one") + 1).alias("two"))
+    pairs = pairs.select(*keep, F.posexplode_outer(F.arrays_zip("one", "two")).alias("p", "g")).select(*keep, "p", "g.one", "g.two")
+    return pairs.withColumn("gram", F.xxhash64("one", "two"))
 
 
 def templates(spark: SparkSession) -> DataFrame:
-    """template, label, phrase (must stand word for word), size (words), t (position), gram, one, two"""
-    rows = [(i, label, True, text) for i, (text, label) in enumerate(PHRASES.items())]
-    rows += [(len(PHRASES) + i, label, False, text) for i, (label, text) in enumerate(TEMPLATES)]
-    df = spark.createDataFrame(rows, "template int, label string, phrase boolean, body string")
-    words = F.split("body", " ")
-    df = df.select("template", "label", "phrase", F.size(words).alias("size"), F.explode(grams(words)).alias("g")).where("g.two IS NOT NULL")
-    return df.select("template", "label", "phrase", "size", F.col("g.p").alias("t"), "g.gram", F.col("g.one").alias("_one"), F.col("g.two").alias("_two"))
+    """template, label, phrase (must stand word for word), size (words), t (position), gram, _one, _two"""
+    rows = [(i, label, True, text, len(text.split())) for i, (text, label) in enumerate(PHRASES.items())]
+    rows += [(len(PHRASES) + i, label, False, text, len(text.split())) for i, (label, text) in enumerate(TEMPLATES)]
+    df = spark.createDataFrame(rows, "template int, label string, phrase boolean, body string, size int")
+    out = grams(df, F.split("body", " "), ["template", "label", "phrase", "size"]).where("two IS NOT NULL")
+    return out.withColumnsRenamed({"p": "t", "one": "_one", "two": "_two"})
 
 
 def hits(docs: DataFrame) -> DataFrame:
     """uid (of the row), doc_id, n_words, p, template, label, phrase, size, t: verified hits, and a row without template for each document."""
     base = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), words_of(F.col("text")).alias("words"))
-    at = base.select("uid", "doc_id", F.size("words").cast("long").alias("n_words"), F.explode_outer(grams(F.col("words"))).alias("g"))
-    at = at.select("uid", "doc_id", "n_words", "g.*")
+    base = base.withColumn("n_words", F.size("words").cast("long"))
+    at = grams(base, F.col("words"), ["uid", "doc_id", "n_words"])
     found = at.join(F.broadcast(templates(docs.sparkSession)), "gram", "left")  # as many rows as this file has template words
     same = (F.col("one") == F.col("_one")) & (F.col("two") == F.col("_two"))
     return found.where(same | (F.coalesce("p", F.lit(0)) == 0)).select("uid", "doc_id", "n_words", "p", *[F.when(same, F.col(c)).alias(c) for c in ("template", "label", "phrase", "size", "t")])
