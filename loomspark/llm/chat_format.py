@@ -13,7 +13,8 @@ so no control string is left and the way back is exact.
 Null role or text: empty. A conversation without turns has no row. Turns with
 equal order are put in order of role and text; repeated rows are repeated
 turns. A null conversation id is an id like any other. An empty table gives
-an empty table. A record whose paths no mapping declares keeps its
+an empty table. A conversation is one row of the result and is put together in
+one task, however long it is; other columns aren't read. A record whose paths no mapping declares keeps its
 fingerprint, has no layout and gives no turn (``canonical_turns`` with
 ``keep_unmapped`` returns it for a report).
 """
