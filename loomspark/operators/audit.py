@@ -74,7 +74,7 @@ def verify(rows: DataFrame) -> DataFrame:
 
 
 def text_chain(rows: DataFrame, order: str, payload: Column, chain: str | None = None) -> DataFrame:
-    """order, payload digest and link to the one before: for logs whose records are digested by themselves."""
+    """order, payload digest and link to the one before, a chain for each key; for one chain over all rows ``text_log`` is there, which no task holds."""
     w = W.partitionBy(*([chain] if chain else [])).orderBy(order)
     digested = rows.select(*([chain] if chain else []), order, F.sha2(payload, 256).alias("hash"))
     return digested.withColumn("prev_hash", F.lag("hash", 1, GENESIS).over(w)).withColumn("seq", F.row_number().over(w) - 1)
