@@ -28,17 +28,19 @@ def tokens(text: Column) -> Column:
 
 
 def router_tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9]+"), F.lit(0))
+    return F.array_remove(F.split(F.lower(text), "[^a-z0-9]+"), "")
 
 
 def router_features(text: Column) -> Column:
-    """words, pairs of neighbours, and the first word and pair marked as such."""
+    """words, pairs of neighbours, and the first word and pair marked as such. Pairs are made within one string, which needs no interpreted step."""
     t = router_tokens(text)
     n = F.size(t)
-    pairs = F.when(n > 1, F.zip_with(F.slice(t, 1, n - 1), F.slice(t, 2, n - 1), lambda a, b: F.concat(a, F.lit("_"), b))).otherwise(F.array().cast("array<string>"))
-    start = F.when(n > 0, F.array(F.concat(F.lit("@start:"), F.get(t, 0)))).otherwise(F.array().cast("array<string>"))
-    start2 = F.when(n > 1, F.array(F.concat(F.lit("@start2:"), F.get(t, 0), F.lit("_"), F.get(t, 1)))).otherwise(F.array().cast("array<string>"))
-    return F.concat(t, pairs, start, start2)
+    none = F.array().cast("array<string>")
+    joined = F.regexp_replace(F.array_join(t, " "), "([a-z0-9]+) (?=([a-z0-9]+))", "$1_$2 ")
+    pairs = F.when(n > 1, F.slice(F.split(joined, " "), F.lit(1), n - 1)).otherwise(none)
+    first = F.when(n > 0, F.array(F.concat(F.lit("@start:"), F.get(t, 0)))).otherwise(none)
+    second = F.when(n > 1, F.array(F.concat(F.lit("@start2:"), F.get(t, 0), F.lit("_"), F.get(t, 1)))).otherwise(none)
+    return F.concat(t, pairs, first, second)
 
 
 def truncate(text: Column, n: int, suffix: str) -> Column:

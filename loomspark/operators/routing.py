@@ -27,8 +27,9 @@ DOCUMENT_REASON = "explicit .docx -> document deliverable routes only"
 
 
 def features(docs: DataFrame, label: str, key: str = "doc_id") -> DataFrame:
-    """key, label, term, tf; written once, as centroids, weights and scores all read it."""
-    each = docs.select(F.col(key).alias("id"), F.col(label).alias("label"), F.explode(router_features(F.coalesce("text", F.lit("")))).alias("term"))
+    """key, label, term, tf; written once, as centroids, weights and scores all read it. Texts are dealt out by key, so their many terms are counted where they are."""
+    dealt = docs.select(F.col(key).alias("id"), F.col(label).alias("label"), F.coalesce("text", F.lit("")).alias("text")).repartition("id")
+    each = dealt.select("id", "label", F.explode(router_features(F.col("text"))).alias("term"))
     return materialise(each.groupBy("id", "label", "term").agg(F.count(F.lit(1)).alias("tf")), "features")
 
 
