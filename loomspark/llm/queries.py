@@ -82,7 +82,23 @@ OP3_SQL = "SELECT * EXCLUDE (text), sha256(text) AS text_sha256 FROM documents"
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.repeated_passages(table(spark, sf_dir, "documents"))
     words = lambda spans: F.aggregate(spans, F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
-    return found.select("doc_id", words("repeated").alias("repeated_words"), words("removed").alias("removed_words"), "repeated", "removed")
+    shown = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat(x["start"].cast("string"), F.lit("-"), x["end"].cast("string"))), ",")
+    return found.select("doc_id", words("repeated").alias("repeated_words"), words("removed").alias("removed_words"), shown("repeated").alias("repeated"), shown("removed").alias("removed"))
+
+
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+n AS (SELECT doc_id, w, unnest(range(len(w) - 49)) AS s FROM d WHERE len(w) >= 50),
+p AS (SELECT doc_id, s, md5(array_to_string(w[s + 1:s + 50], ' ')) AS h FROM n),
+c AS (SELECT doc_id, s, count(*) OVER (PARTITION BY h) AS copies, row_number() OVER (PARTITION BY h ORDER BY doc_id, s) > 1 AS later FROM p),
+w AS (SELECT doc_id, s + unnest(range(50)) AS word, later FROM c WHERE copies > 1),
+k AS (SELECT doc_id, word, bool_and(later) AS removed FROM w GROUP BY ALL),
+i AS (SELECT doc_id, word, removed, word - row_number() OVER (PARTITION BY doc_id ORDER BY word) AS run, word - row_number() OVER (PARTITION BY doc_id, removed ORDER BY word) AS part FROM k),
+a AS (SELECT doc_id, min(word) AS s, max(word) + 1 AS e FROM i GROUP BY doc_id, run), r AS (SELECT doc_id, min(word) AS s, max(word) + 1 AS e FROM i WHERE removed GROUP BY doc_id, part),
+x AS (SELECT doc_id, sum(e - s)::BIGINT AS repeated_words, string_agg(s || '-' || e, ',' ORDER BY s) AS repeated FROM a GROUP BY doc_id),
+y AS (SELECT doc_id, sum(e - s)::BIGINT AS removed_words, string_agg(s || '-' || e, ',' ORDER BY s) AS removed FROM r GROUP BY doc_id)
+SELECT doc_id, repeated_words, coalesce(removed_words, 0) AS removed_words, repeated, coalesce(removed, '') AS removed FROM x LEFT JOIN y USING (doc_id)
+"""
 
 
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,6 +122,32 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_report(table(spark, sf_dir, "documents"))
 
 
+def _op7_sql() -> str:
+    """The definition of spans in SQL; texts of phrases and templates are those of the operator."""
+    rows = [(i, label, "true", body) for i, (body, label) in enumerate(license_scan.PHRASES.items())]
+    rows += [(len(license_scan.PHRASES) + i, label, "false", body) for i, (label, body) in enumerate(license_scan.TEMPLATES)]
+    values = ", ".join(f"({i}, '{label}', {phrase}, '{body}')" for i, label, phrase, body in rows)
+    return rf"""
+WITH tw AS (SELECT template, label, phrase, string_split(body, ' ') AS w FROM (VALUES {values}) x(template, label, phrase, body)),
+tg AS (SELECT template, label, phrase, len(w) AS size, unnest(range(len(w) - 1)) AS t, unnest(w[:-2]) AS one, unnest(w[2:]) AS two FROM tw),
+d AS (SELECT row_number() OVER () AS uid, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT uid, unnest(range(len(w) - 1)) AS p, unnest(w[:-2]) AS one, unnest(w[2:]) AS two FROM d WHERE len(w) > 1),
+v AS (SELECT uid, template, label, phrase, size, p - t AS diag, bit_or(1::BIGINT << t::INT) AS held, min(p) AS low, max(p) AS high FROM g JOIN tg USING (one, two) GROUP BY ALL),
+m AS (SELECT uid, template, label, size, diag, bit_count(bit_or(held) OVER near) AS votes FROM v WHERE NOT phrase WINDOW near AS (PARTITION BY uid, template ORDER BY diag RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING)),
+n AS (SELECT *, votes::DOUBLE / (size - 1) AS share, votes::BIGINT * 1000000000 - diag AS own, round(votes * 1e9 / (size - 1))::HUGEINT * 1000000 + votes * 1000 - template AS among FROM m WHERE votes::DOUBLE / (size - 1) >= 0.7),
+b AS (SELECT *, own = max(own) OVER (PARTITION BY uid, template ORDER BY 2.0::DOUBLE * diag / (2 * size - 1) RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS first,
+  among = max(among) OVER (PARTITION BY uid ORDER BY diag RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS fits FROM n),
+s AS (SELECT uid, label, diag AS start, true AS base, 1.0::DOUBLE AS share FROM v WHERE phrase AND bit_count(held) = size - 1 UNION ALL SELECT uid, label, NULL, false, share FROM b WHERE first AND fits),
+a AS (SELECT uid, count(*) FILTER (base) AS n_base, min(start)::BIGINT AS first_word, max(start)::BIGINT AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels,
+  string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score, count(*) AS n_spans FROM s GROUP BY uid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score,
+  coalesce(n_spans, 0) AS n_spans FROM d LEFT JOIN a USING (uid)"""
+
+
+OP7_SQL = _op7_sql()
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_key")
 
@@ -140,4 +182,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": pipeline,
 }
 
-ORACLE_SQL = {"op1_chat_format": OP1_SQL, "op3_sharding": OP3_SQL}
+ORACLE_SQL = {"op1_chat_format": OP1_SQL, "op3_sharding": OP3_SQL, "op4_suffix_dedup": OP4_SQL, "op7_license_scan": OP7_SQL}
