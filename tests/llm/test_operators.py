@@ -16,6 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from loomspark.llm import bpe, chat_format, components, decontaminate, langid, license_scan, near_copies, quality, queries, sharding, simhash, suffix_dedup, toxicity
+from tests.oracle import both, connection
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -514,6 +515,13 @@ def brute_license(text):
     return len(words), len(found), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in found}))
 
 
+@pytest.mark.parametrize("name", sorted(set(queries.ORACLE_SQL) - {"op1_chat_format"}))
+def test_query_against_sql(spark, name):
+    sf_dir = "/root/testdata/sf0.01"
+    got, want = both(spark, connection(sf_dir), queries.QUERIES[name], queries.ORACLE_SQL[name], sf_dir)
+    assert got == want and want
+
+
 def test_license_query(spark):
     sf_dir = "/root/testdata/sf0.01"
     want = {r.doc_id: brute_license(r.text) for r in rows_of(spark, sf_dir)}
