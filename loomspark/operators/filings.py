@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.functions.text import figures, period, repaired_number
+from loomspark.functions.text import figure_cents, figures, period
 
 LOOKBACK = 40
 
@@ -15,21 +17,20 @@ def lines(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def line_figures(rows: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, line, ord, cents of each figure that can be read."""
+    """key, line, ord, cents of each figure."""
     each = rows.select(key, "line", F.posexplode(figures(F.col("value"))).alias("ord", "token"))
-    return each.select(key, "line", "ord", cents(F.col("token")).alias("cents")).where(F.col("cents").isNotNull())
+    return each.select(key, "line", "ord", figure_cents(F.col("token")).alias("cents"))
 
 
-def cents(token: Column) -> Column:
-    return (repaired_number(token) * 100).try_cast("long")
+def _line_totals(line: Column) -> Column:
+    """Cents of every figure behind "total income"; a short parenthesis right behind the words is no figure. Null without the words."""
+    tail = F.regexp_replace(line, r"(?is)^.*?total income(?:\s*\([^)]{0,10}\))?", "")
+    return F.when(F.regexp_like(line, F.lit("(?i)total income")), F.transform(figures(tail), figure_cents))
 
 
 def totals(rows: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Key, line, ord, total (cents): every figure behind "total income" in lines with two of them or more; a short parenthesis right behind the words is no figure."""
-    at = F.instr(F.lower("value"), "total income")
-    tail = F.regexp_replace(F.col("value").substr(at + len("total income"), F.length("value")), r"^\s*\([^)]{0,10}\)", "")
-    read = F.filter(F.transform(figures(tail), cents), lambda x: x.isNotNull())
-    found = rows.where(at > 0).select(key, "line", read.alias("f")).where(F.size("f") >= 2)
+    """Key, line, ord, total (cents): every figure behind "total income" in lines with two of them or more."""
+    found = rows.select(key, "line", _line_totals(F.col("value")).alias("f")).where(F.size("f") >= 2)
     return found.select(key, "line", F.posexplode("f").alias("ord", "total"))
 
 
@@ -56,15 +57,43 @@ def two_sum(figs: DataFrame, sums: DataFrame, key: str = "doc_id", lookback: int
     return out.select(key, "row", F.col("nth").alias("ord"), "total", "a", (F.col("total") - F.col("a")).alias("b"))
 
 
-def reconciled(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, chars, checks_run, checks_passed, verdict of each statement; one with under 1000 characters is taken for a scan and not checked."""
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it occurs there."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _checks(text: Column, lookback: int = LOOKBACK) -> Column:
+    """``two_sum`` of a text's lines within its row: an array with, for each total that is checked, whether two figures add up to it."""
+
+    def adds_up(window: Column, total: Column) -> Column:
+        # the larger summands whose complement is there too: by hashes, not by pairs
+        both = F.array_intersect(window, F.transform(window, lambda x: total - x))
+        return F.exists(both, lambda a: (a > 0) & (a <= total) & (total - a <= a))
+
+    def of_line(sums: Column, i: Column, figs: Column) -> Column:
+        window = F.flatten(F.slice(figs, F.greatest(i - lookback, F.lit(0)) + 1, F.least(i, F.lit(lookback))))
+        return F.when(F.size(sums) >= 2, _let(window, lambda w: F.when(F.size(w) >= 2, F.transform(sums, lambda total: adds_up(w, total)))))
+
+    def of_lines(each: Column) -> Column:
+        figs = F.transform(each, lambda x: F.transform(figures(x), figure_cents))
+        return _let(figs, lambda f: F.flatten(F.array_compact(F.transform(F.transform(each, _line_totals), lambda sums, i: of_line(sums, i, f)))))
+
+    return _let(F.split(text, "\n"), of_lines)
+
+
+def checked(docs: DataFrame) -> DataFrame:
+    """The statements with chars, checks_run, checks_passed and verdict; one with under 1000 characters is taken for a scan and not checked."""
     text = F.coalesce("text", F.lit(""))
-    rows = lines(docs.where(F.length(text) >= 1000), key)
-    checks = two_sum(line_figures(rows, key), totals(rows, key), key)
-    per = checks.groupBy(key).agg(F.count(F.lit(1)).alias("run"), F.count("a").alias("passed"))
-    out = docs.select(key, F.length(text).alias("chars")).join(per, key, "left")
-    passed = F.coalesce("passed", F.lit(0))
-    return out.select(key, "chars", F.coalesce("run", F.lit(0)).alias("checks_run"), passed.alias("checks_passed"), verdict(F.col("chars"), passed).alias("verdict"))
+    # the text is in one row, so its checks need no join
+    found = F.when(F.length(text) >= 1000, _checks(text)).otherwise(F.array().cast("array<boolean>"))
+    out = docs.withColumns({"chars": F.length(text), "_checks": found})
+    out = out.withColumns({"checks_run": F.size("_checks").cast("long"), "checks_passed": F.size(F.array_remove("_checks", False)).cast("long")})
+    return out.withColumn("verdict", verdict(F.col("chars"), F.col("checks_passed"))).drop("_checks")
+
+
+def reconciled(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, chars, checks_run, checks_passed, verdict of each statement, as ``checked``."""
+    return checked(docs).select(key, "chars", "checks_run", "checks_passed", "verdict")
 
 
 def verdict(chars: Column, facts: Column) -> Column:

@@ -129,8 +129,8 @@ rc AS (SELECT doc_id, length(text)::INT AS chars, coalesce(run, 0) AS checks_run
 def _statements(spark, d):
     """An order's lines as the rows of a statement, the sum of the first two and that of all as its totals; two of three are long enough to be checked."""
     price = F.col("l_extendedprice").cast("decimal(18,2)")
-    row = F.concat(F.lit("Row "), F.char(64 + F.col("l_linenumber")), F.lit(" "), price.cast("string"))
-    rows = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", price.alias("p"), row.alias("row")))), lambda x: x["row"])
+    row = lambda x: F.concat(F.lit("Row "), F.char(64 + x["l_linenumber"]), F.lit(" "), x["p"].cast("string"))
+    rows = F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", price.alias("p")))), row)
     per = t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(
         F.array_join(rows, "\n").alias("body"), F.coalesce(F.sum(F.when(F.col("l_linenumber") <= 2, price)), F.sum(price)).cast("string").alias("t1"), F.sum(price).cast("string").alias("t2")
     )

@@ -1,4 +1,5 @@
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -67,6 +68,41 @@ def test_statement(spark):
     assert done == {1: (3, 2, "text+facts"), 2: (0, 0, "scanned"), 3: (0, 0, "text-only"), 4: (0, 0, "scanned"), 5: (0, 0, "text-only")}
 
 
+def test_statements_are_checked_within_their_rows(spark):
+    """Lines, figures and totals in odd places: as the joins of ``two_sum`` have it, but with nothing shuffled."""
+    pad = "no figures in these words. " * 40
+    far = [f"Item {i}.50 {'x' * 30}" for i in range(45)]
+    texts = [
+        f"{pad}\n100.00 50.00\nTotal Income (I+II) 150.00 151.00", f"TOTAL INCOME 1.00 2.00\n{pad}", f"{pad}\n15.00\nTotal income 30.00 15.00", f"{pad}\n15.00 15.00\ntotal income 30.00 15.00 7.00",
+        f"{pad}\nRegd. Office 100.00\n(100.00) 60 00\n40,00\ntotal income 100.00 total income 60.00", "\n".join([*far, "Total Income 3.00 46.00", pad, "total income 88.00 (9.00)"]),
+        f"{pad}\n31.03.2021 2021 1,23,456.78 1234567890123\nTotal income (see note 12 below) 1,23,456.78 5", "short", None, f"{pad}\n5 0.00\nTotal Income 5.00 (5.00)\n0.01 4.99\nTotal Income 10 5", f"{pad}\r\n1.00 2.00\r\nTotal Income 3.00 4.00\r\n",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = filings.lines(docs.where(F.length("text") >= 1000))
+    want = {i: (0, 0) for i in range(len(texts))}
+    for r in filings.two_sum(filings.line_figures(rows), filings.totals(rows)).collect():
+        run, passed = want[r.doc_id]
+        want[r.doc_id] = (run + 1, passed + (r.a is not None))
+    done = filings.reconciled(docs)
+    assert {r.doc_id: (r.checks_run, r.checks_passed) for r in done.collect()} == want
+    assert want[0] == (2, 1) and want[2] == (0, 0) and want[3] == (3, 1) and sum(passed for _, passed in want.values()) >= 6
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_cents_of_figures(spark):
+    odd = ["(1,234.56)", "-12", "12 34", "1,23,4", "12.3", "(5", "7)", "1999", "20-21", "(2021)", "31.03.2021", "1.2.20", "31.03. 21", "123456789012", "1234567890123", "1,2,3,4,5,6,7,8,9,0,1,2", "1 9 99", "(-3.10)", "9,,", "0.00", "x", "Mangaluru 5", "CIN:5", "a\t5\t67 8"]
+    texts = odd + [f"{a} {b}" for a in odd for b in odd]
+    rows = spark.createDataFrame([(x,) for x in texts], "t string").select("t", F.explode(text.figures(F.col("t"))).alias("f"))
+    got = rows.select("f", text.figure_cents(F.col("f")).alias("a"), (text.repaired_number(F.col("f")) * 100).cast("long").alias("b")).collect()
+    assert len(got) > 500 and all(r.a == r.b for r in got)
+    digits = lambda x: "".join(c for c in x if c.isdigit())
+    date, year = re.compile(r"\d{1,2}\s*[.\-/]\s*\d{1,2}\s*[.\-/]\s*\d{2,4}"), re.compile(r"(19|20)\d{2}")
+    address = lambda x: any(m in x.lower() for m in text.ADDRESS_MARKERS)
+    want = [f for x in texts if not address(x) for f in re.findall(text.FIGURE, x) if not date.search(f) and not year.fullmatch(digits(f)) and len(digits(f)) <= 12]
+    assert sorted(r.f for r in got) == sorted(want)
+
+
 def test_numbers(spark):
     cases = {
         "20,988 03": 20988.03, "28.785 92": 28785.92, "3,818,05": 3818.05, "(481.45)": -481.45, "-": None, "—": None, "1234": 1234.0, "-5.00": 5.0, "x": None, "": None, ".05": 0.05,
