@@ -108,10 +108,14 @@ def roll_up(filings: DataFrame) -> DataFrame:
     )
 
 
-def markdown(docs: DataFrame, checks: DataFrame, title: str = "Financial Results", notes: tuple[str, ...] = (), key: str = "doc_id") -> DataFrame:
-    """K4: title and period, where it comes from, how many checks passed, and the lines that aren't blank."""
+def markdown(docs: DataFrame, checks: DataFrame | None = None, title: str = "Financial Results", notes: tuple[str, ...] = (), key: str = "doc_id") -> DataFrame:
+    """K4: title and period, where it comes from, how many checks passed, and the lines that aren't blank.
+
+    Without ``checks`` (as of ``reconciled``) a statement is checked here, within its row; with them they are joined by key.
+    """
     body = F.array_join(F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.regexp_replace(x, r"\s+$", "")), lambda x: x != ""), "\n")
     when = F.coalesce(F.nullif(period(F.col("text")), F.lit("")), F.lit("period not stated"))
     passed = F.format_string("> totals (%d/%d identity checks passed).", "checks_passed", "checks_run")
     head = F.concat_ws("\n", F.concat(F.lit("> Source: "), F.coalesce("source", F.lit(""))), *[F.lit(f"> {x}") for x in notes], F.lit("> Figures machine-extracted and reconciled against the statement's own"), passed)
-    return docs.join(checks, key).select(key, F.concat(F.lit(f"# {title} — "), when, F.lit("\n\n"), head, F.lit("\n\n"), body, F.lit("\n")).alias("markdown"))
+    both = checked(docs) if checks is None else docs.join(checks, key)
+    return both.select(key, F.concat(F.lit(f"# {title} — "), when, F.lit("\n\n"), head, F.lit("\n\n"), body, F.lit("\n")).alias("markdown"))

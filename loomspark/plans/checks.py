@@ -152,8 +152,7 @@ def filing_verdict(spark, d):
 @query(f"""WITH {CHECKED} SELECT doc_id, sha256('# Financial Results — Year Ended 31.03.2021' || chr(10) || chr(10) || '> Source: file' || chr(10) || '> Figures machine-extracted and reconciled against the statement''s own' || chr(10) ||
 '> totals (' || checks_passed || '/' || checks_run || ' identity checks passed).' || chr(10) || chr(10) || replace(replace(replace(text, chr(10) || chr(10), chr(10)), '  ' || chr(10), chr(10)), '. ' || chr(10), '.' || chr(10)) || chr(10)) AS digest FROM rc""")
 def filing_markdown(spark, d):
-    docs = _statements(spark, d)
-    return filings.markdown(docs, filings.reconciled(docs)).select("doc_id", F.sha2("markdown", 256).alias("digest"))
+    return filings.markdown(_statements(spark, d)).select("doc_id", F.sha2("markdown", 256).alias("digest"))
 
 
 @query(r"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS v, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS line FROM documents),

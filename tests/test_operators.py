@@ -90,6 +90,16 @@ def test_statements_are_checked_within_their_rows(spark):
     assert "Exchange" not in plan and "Join" not in plan
 
 
+def test_markdown_checks_within_the_row(spark):
+    body = "no figures in these words. " * 40 + "\n\n  Half year ENDED 30.09.2020  \n \nRow 100.00 50.00\nTotal Income (I+II) 150.00 151.00 "
+    docs = spark.createDataFrame([(1, body, "a.pdf"), (2, "\n\n", None), (3, None, "b")], "doc_id long, text string, source string")
+    own = filings.markdown(docs, notes=("n",))
+    got = {r.doc_id: r.markdown for r in own.collect()}
+    assert got == {r.doc_id: r.markdown for r in filings.markdown(docs, filings.reconciled(docs), notes=("n",)).collect()}
+    assert got[1].startswith("# Financial Results — Half Year Ended 30.09.2020\n\n> Source: a.pdf\n> n\n") and "(1/2 identity" in got[1] and "(0/0 identity" in got[2]
+    assert "Join" not in own._jdf.queryExecution().executedPlan().toString()
+
+
 def test_cents_of_figures(spark):
     odd = ["(1,234.56)", "-12", "12 34", "1,23,4", "12.3", "(5", "7)", "1999", "20-21", "(2021)", "31.03.2021", "1.2.20", "31.03. 21", "123456789012", "1234567890123", "1,2,3,4,5,6,7,8,9,0,1,2", "1 9 99", "(-3.10)", "9,,", "0.00", "x", "Mangaluru 5", "CIN:5", "a\t5\t67 8"]
     texts = odd + [f"{a} {b}" for a in odd for b in odd]
