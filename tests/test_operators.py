@@ -100,6 +100,15 @@ def test_markdown_checks_within_the_row(spark):
     assert "Join" not in own._jdf.queryExecution().executedPlan().toString()
 
 
+def test_verdicts_are_rolled_up_in_one_shuffle(spark):
+    pad = "no figures in these words. " * 40
+    docs = spark.createDataFrame([(1, f"{pad}\n100.00 50.00\nTotal Income 150.00 151.00"), (2, f"{pad}\n1.00 2.00\nTotal Income 7.00 8.00"), (3, None), (4, pad)], "doc_id long, text string")
+    rolled = filings.roll_up(filings.reconciled(docs))
+    assert {tuple(r) for r in rolled.collect()} == {("text+facts", 1, 2, 1, 1), ("text-only", 2, 2, 0, 1), ("scanned", 1, 0, 0, 0)}
+    plan = rolled._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan
+
+
 def test_cents_of_figures(spark):
     odd = ["(1,234.56)", "-12", "12 34", "1,23,4", "12.3", "(5", "7)", "1999", "20-21", "(2021)", "31.03.2021", "1.2.20", "31.03. 21", "123456789012", "1234567890123", "1,2,3,4,5,6,7,8,9,0,1,2", "1 9 99", "(-3.10)", "9,,", "0.00", "x", "Mangaluru 5", "CIN:5", "a\t5\t67 8"]
     texts = odd + [f"{a} {b}" for a in odd for b in odd]
