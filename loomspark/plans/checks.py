@@ -227,12 +227,14 @@ fa AS (SELECT doc_id, arg_min({{grid: grid, current: current, life: life, t_min:
 
 
 def _readings(spark, d):
+    """An order's lines as readings; line numbers repeat, so ``place`` is where a line stands in the table's files."""
     two = lambda c: c.cast("decimal(18,2)").cast("double")
     k, n = F.col("l_orderkey"), F.col("l_linenumber")
     wall, x = 10 + F.col("l_quantity") / 10, F.col("l_tax") * 20
     grown = F.when((k % 17 == 0) & (n == 1), 0.3 + x).otherwise(0.0)
+    place = F.struct("_metadata.file_name", "_metadata.row_index")
     return t(spark, d, "lineitem").select(
-        k.alias("doc_id"), n.alias("ord"), F.concat(F.lit("S"), n).alias("grid"), F.lit("shell").alias("location"), two(wall).alias("previous"), two(wall - x + grown).alias("current"),
+        place.alias("place"), k.alias("doc_id"), n.alias("ord"), F.concat(F.lit("S"), n).alias("grid"), F.lit("shell").alias("location"), two(wall).alias("previous"), two(wall - x + grown).alias("current"),
         two(x + F.when(k % 11 == 0, 0.5).otherwise(0.0)).alias("loss"), F.when(k % 13 == 0, 0.0).otherwise(5.0).alias("years"), (7.4 + 2 * (k % 5)).cast("double").alias("t_min"),
     )
 
