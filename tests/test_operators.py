@@ -109,6 +109,25 @@ def test_verdicts_are_rolled_up_in_one_shuffle(spark):
     assert "Join" not in plan and "Generate" not in plan
 
 
+def test_checks_read_figures_in_passes_over_the_text(spark):
+    """Not line by line and figure by figure; with the marks of the passes, dates, years, long numbers and addresses in the text."""
+    pad = "no figures in these words. " * 40
+    texts = [
+        f"{pad}\n=5;3~2.00=;\n~1 =(2.00)\nTotal Income = 8 ; 7.00~10.00", f"{pad}\n12 34\n00\nTOTAL INCOME(I+II)12 34 12;total income 12.34", f"{pad}\n2021 (1999) 20,21 31.03. 21 1.2.20 1,2,3,4,5,6,7,8,9,0,1,2,3 123456789012 0\ntotal income 123456789012 2.00",
+        f"{pad}\nCIN: 5 total income 5 6\n5\n1\nKarnatakA total income 5 6\n5\ntotal income Karnataka 5 10\ntotal income 10 5", f"= 5 5\n{pad}\n" + "x\n" * 37 + "total income 10 5\n\ntotal income 10 5", f"{pad}\n5\r12\x0b34 9,, 9.\x1c7)\ntotal income\t( 12 345 )5.12 14.12 18",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = filings.lines(docs)
+    want = {i: [0, 0] for i in range(len(texts))}
+    for r in filings.two_sum(filings.line_figures(rows), filings.totals(rows)).collect():
+        want[r.doc_id][0] += 1
+        want[r.doc_id][1] += r.a is not None
+    done = filings.reconciled(docs)
+    assert {r.doc_id: [r.checks_run, r.checks_passed] for r in done.collect()} == want
+    assert all(run for run, _ in want.values()) and sum(passed for _, passed in want.values()) >= 6
+    assert "regexp_extract_all" not in done._jdf.queryExecution().executedPlan().toString()
+
+
 def test_cents_of_figures(spark):
     odd = ["(1,234.56)", "-12", "12 34", "1,23,4", "12.3", "(5", "7)", "1999", "20-21", "(2021)", "31.03.2021", "1.2.20", "31.03. 21", "123456789012", "1234567890123", "1,2,3,4,5,6,7,8,9,0,1,2", "1 9 99", "(-3.10)", "9,,", "0.00", "x", "Mangaluru 5", "CIN:5", "a\t5\t67 8"]
     texts = odd + [f"{a} {b}" for a in odd for b in odd]
